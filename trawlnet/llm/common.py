@@ -116,3 +116,10 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 
+
+
+def without(docs: DataFrame, ids: DataFrame, limit: int = 4_000_000) -> DataFrame:
+    """docs whose doc_id isn't among ids (one column). Up to `limit` ids (32 MB) go to every executor and the texts stay where they are; more are joined by a shuffle."""
+    dropped = checkpointed(ids.toDF("__dropped").filter("__dropped is not null").distinct())
+    few = dropped.limit(limit + 1).count() <= limit
+    return docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id").cast("bigint") == F.col("__dropped"), "left_anti")

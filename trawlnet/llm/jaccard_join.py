@@ -22,7 +22,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FLUSH, blob, bucket_of, buckets, checkpointed, column, exchange, ranges, runs, split
+from .common import FLUSH, blob, bucket_of, buckets, checkpointed, column, exchange, ranges, runs, split, without
 from .textkit import Words, chunks, mix, window_hashes, window_mask, words
 
 NGRAM = 3
@@ -382,5 +382,4 @@ def groups(pairs: DataFrame) -> DataFrame:
 
 def one_per_group(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that near_pairs links to a document of lower doc_id in their group; all its columns stay."""
-    dropped = groups(near_pairs(docs, n, threshold)).filter("doc_id <> group_id").select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped, F.col("doc_id").cast("bigint") == F.col("__dropped"), "left_anti")
+    return without(docs, groups(near_pairs(docs, n, threshold)).filter("doc_id <> group_id").select("doc_id"))

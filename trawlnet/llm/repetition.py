@@ -102,6 +102,13 @@ def measure(w: Words, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     return covered, longest
 
 
+def keeps(w: Words, min_words: int, max_covered: float, max_repeat: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Covered words, covered fraction, longest repeat and whether to keep, for each text."""
+    covered, longest = measure(w, min_words)
+    fraction = covered / np.maximum(w.counts, 1)
+    return covered, fraction, longest, (fraction <= max_covered) & (longest <= max_repeat)
+
+
 def quality(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """One row for each row of docs (doc_id, text): words, words covered by repeats, their fraction, longest repeat, keep.
 
@@ -113,13 +120,21 @@ def quality(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches):
             w = words(piece.column("text"))
-            covered, longest = measure(w, min_words)
-            n = w.counts
-            fraction = covered / np.maximum(n, 1)
-            keep = (fraction <= max_covered) & (longest <= max_repeat)
+            covered, fraction, longest, keep = keeps(w, min_words, max_covered, max_repeat)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(n, pa.int32()), pa.array(covered, pa.int32()), pa.array(fraction), pa.array(longest, pa.int32()), pa.array(keep)],
+                [piece.column("doc_id"), pa.array(w.counts, pa.int32()), pa.array(covered, pa.int32()), pa.array(fraction), pa.array(longest, pa.int32()), pa.array(keep)],
                 ["doc_id", "n_words", "covered_words", "covered_fraction", "longest_repeat", "keep"],
             )
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCHEMA)
+
+
+def kept(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """The rows of docs that quality() keeps, with all their columns, in the same pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in chunks(batches):
+            keep = keeps(words(piece.column("text")), min_words, max_covered, max_repeat)[-1]
+            yield piece if keep.all() else piece.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
