@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, packing, pii, repetition
+from . import decontaminate, html_blocks, jaccard_join, packing, pii, repetition, toxicity
 
 #: Words of a text, in SQL: split at the white space that textkit knows.
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), x -> x <> '')"
@@ -24,6 +24,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_pairs(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(_table(spark, sf_dir, "documents"))
 
@@ -39,8 +47,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_html_extraction": op3_html_extraction,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_decontamination": op7_decontamination,
+    "op8_toxicity": op8_toxicity,
     "op10_pii": op10_pii,
 }
 
