@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_blocks, jaccard_join, packing, pii, repetition, toxicity
+from . import decontaminate, html_blocks, jaccard_join, packing, pii, recompression, repetition, suffix_array, toxicity
 
 #: Words of a text, in SQL: split at the white space that textkit knows.
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), x -> x <> '')"
@@ -28,6 +28,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(_table(spark, sf_dir, "pages"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(_table(spark, sf_dir, "documents"))
 
@@ -48,9 +56,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_html_extraction": op3_html_extraction,
+    "op5_suffix_array": op5_suffix_array,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op9_recompression": op9_recompression,
     "op10_pii": op10_pii,
 }
 
