@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textkit import release_memory
+
 #: Values that a worker gathers before it sends them to their buckets.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -73,6 +75,7 @@ def gathered(batches: Iterator[pa.RecordBatch], **columns: type) -> tuple[np.nda
     for batch in batches:
         for k, dtype in columns.items():
             parts[k].append(column(batch, k, dtype).copy())
+    release_memory()
     return tuple(np.concatenate(v) if v else np.zeros(0, columns[k]) for k, v in parts.items())
 
 

@@ -27,7 +27,7 @@ SLOP = 2
 #: Test words that one pass over the corpus takes with it; a larger test set is cut into passes.
 TEST_WORDS_AT_ONCE = 4_000_000
 MATCHES = "doc_id bigint, item_id bigint, kind string, windows bigint, first_word bigint, last_word bigint"
-_SHARD_BYTES = 4 << 20
+_SHARD_BYTES = 2 << 20
 _POS = np.uint64(32)
 
 

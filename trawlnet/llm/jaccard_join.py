@@ -176,7 +176,7 @@ def _df_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fragment_of(grams: np.ndarray, df: np.ndarray, levels: np.ndarray, counts: np.ndarray, fragments: int) -> np.ndarray:
     """Fragment of each gram: its place in the global order (df, gram), of all places, cut in equal parts.
 
-    levels are the distinct df, counts the gram occurrences at each; within a level the place is that of the gram's hash.
+    levels are the distinct df, counts the weight of the grams at each; within a level the place is that of the gram's hash.
     """
     before = np.cumsum(counts) - counts
     at = np.searchsorted(levels, df)
@@ -224,36 +224,73 @@ def _fragment(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+#: Posting lists up to this length are expanded many at a time.
+_SHORT = 48
+
+
+class _PairSet:
+    """Distinct pairs of numbers below n, gathered in bounded memory beyond the distinct ones."""
+
+    def __init__(self, n: int):
+        self.n, self.parts, self.size, self.limit = n, [], 0, 2 << 20
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.parts.append(a * self.n + b)
+        self.size += len(a)
+        if self.size > self.limit:
+            self.values()
+
+    def values(self) -> np.ndarray:
+        out = np.unique(np.concatenate(self.parts)) if self.parts else np.zeros(0, np.int64)
+        self.parts, self.size, self.limit = [out], len(out), max(2 << 20, 2 * len(out))
+        return out
+
+
 def _candidates(threshold: float):
     """Distinct pairs (a < b) that share a prefix gram in this fragment and whose sizes allow the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, s, g = _fragment(batches)
-        order = np.lexsort((d, g))
-        d, s, g = d[order], s[order], g[order]
+        if not len(d):
+            return
+        ids, first = np.unique(d, return_index=True)
+        by_size = np.lexsort((ids, s[first]))  # records are numbered by size, so partners of fitting size are a range of a posting list
+        ids, sizes = ids[by_size], s[first][by_size]
+        number = np.empty(len(ids), np.int64)
+        number[by_size] = np.arange(len(ids))
+        x = number[np.searchsorted(np.sort(ids), d)]
+        order = np.lexsort((x, g))
+        x, g = x[order], g[order]
         starts, lengths = runs(g)
-        found: list[np.ndarray] = []
-        held = 0
-        last_key = None
-        for lo, n in zip(starts[lengths > 1], lengths[lengths > 1]):
-            key = d[lo : lo + n].tobytes()
-            if key == last_key:  # grams of the same records, next to each other
+        found = _PairSet(len(ids))
+        for n in np.unique(lengths[(lengths > 1) & (lengths <= _SHORT)]):
+            at = starts[lengths == n]
+            i, j = np.triu_indices(n, 1)
+            step = max(1, (1 << 20) // len(i))
+            for lo in range(0, len(at), step):
+                posting = np.unique(x[at[lo : lo + step, None] + np.arange(n)], axis=0) if n > 8 else x[at[lo : lo + step, None] + np.arange(n)]
+                a, b = posting[:, i].ravel(), posting[:, j].ravel()
+                ok = sizes[a] >= threshold * sizes[b] - _SLACK
+                found.add(a[ok], b[ok])
+        met = set()
+        for lo, n in zip(starts[lengths > _SHORT], lengths[lengths > _SHORT]):
+            posting = x[lo : lo + n]
+            if (key := posting.tobytes()) in met:  # grams of the same records list the same pairs
                 continue
-            last_key = key
-            x, y = d[lo : lo + n], s[lo : lo + n]
-            for i in range(n - 1):
-                ok = np.minimum(y[i + 1 :], y[i]) >= threshold * np.maximum(y[i + 1 :], y[i]) - _SLACK
-                if ok.any():
-                    b = x[i + 1 :][ok]
-                    found.append(np.stack([np.full(len(b), x[i]), b], 1))
-                    held += len(b)
-            if held > 2 * FLUSH:
-                found = [np.unique(np.concatenate(found), axis=0)]
-                held = len(found[0]) // 2
-        if found:
-            pairs = np.unique(np.concatenate(found), axis=0)
-            for at in range(0, len(pairs), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + (1 << 16), 0]), pa.array(pairs[at : at + (1 << 16), 1])], ["doc_a", "doc_b"])
+            met.add(key)
+            more = np.searchsorted(sizes[posting], sizes[posting] / threshold + _SLACK, "right") - np.arange(1, n + 1)
+            ends = np.cumsum(more)
+            lo_i = 0
+            while lo_i < n:
+                hi_i = max(lo_i + 1, int(np.searchsorted(ends, (ends[lo_i - 1] if lo_i else 0) + (2 << 20), "right")))
+                i = np.arange(lo_i, min(hi_i, n))
+                found.add(np.repeat(posting[i], more[i]), posting[ranges(i + 1, more[i])])
+                lo_i = hi_i
+        pairs = found.values()
+        a, b = ids[pairs // len(ids)], ids[pairs % len(ids)]
+        for at in range(0, len(pairs), 1 << 16):
+            p, q = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["doc_a", "doc_b"])
 
     return run, "doc_a bigint, doc_b bigint"
 
@@ -338,7 +375,8 @@ def near_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) ->
     levels = several.select("df").mapInArrow(_df_counts, "df bigint, n bigint").groupBy("df").agg(F.sum("n").alias("n")).orderBy("df").collect()  # at most one row per distinct count
     if not levels:
         return copies
-    df, counts = np.array([r[0] for r in levels], np.uint32), np.array([r[1] for r in levels], np.float64)
+    df = np.array([r[0] for r in levels], np.uint32)
+    counts = np.array([r[1] * r[0] for r in levels], np.float64)  # a gram's work grows with the square of its records
     prefixes = several.mapInArrow(*_segments(df, counts, p, threshold, True))
     candidates = exchange(prefixes).mapInArrow(*_candidates(threshold)).distinct()
     candidates = candidates.persist(StorageLevel.DISK_ONLY)

@@ -34,7 +34,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BINS = "bin_id bigint, doc_id bigint, piece int, start_token bigint, n_tokens int"
 #: Segments whose token counts a worker remembers before it forgets them all; only speed depends on it.
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 
 
 class TokenCounter:

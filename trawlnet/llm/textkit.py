@@ -7,6 +7,7 @@ object is made per word. A null text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; it bounds the memory of a Python worker, not the length of a text.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
@@ -75,6 +76,16 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             to = max(at + 1, int(np.searchsorted(total, limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker lives on, and the next task may be another's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
