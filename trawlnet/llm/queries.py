@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_blocks, jaccard_join, packing, pii, recompression, repetition, suffix_array, toxicity
+from . import decontaminate, html_blocks, jaccard_join, licenses, packing, pii, recompression, repetition, suffix_array, toxicity
 
 #: Words of a text, in SQL: split at the white space that textkit knows.
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), x -> x <> '')"
@@ -28,6 +28,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(_table(spark, sf_dir, "pages"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_html_extraction": op3_html_extraction,
+    "op4_license_scan": op4_license_scan,
     "op5_suffix_array": op5_suffix_array,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_decontamination": op7_decontamination,
