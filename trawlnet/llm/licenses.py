@@ -89,7 +89,7 @@ class Library:
     def signature(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
         """A key per band: the combined minima of its rows' hash functions."""
         seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64))
-        least = np.array([mix(shingles ^ s).min() for s in seeds]).reshape(bands, rows)
+        least = mix(shingles[None, :] ^ seeds[:, None]).min(1).reshape(bands, rows)
         return mix((least * (2 * np.arange(rows, dtype=np.uint64) + np.uint64(1))).sum(1, dtype=np.uint64))
 
     def scan(self, hashes: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, float, int, int]]:
