@@ -130,7 +130,7 @@ def _records(wanted: DataFrame, root: str) -> DataFrame:
                 for k, v in head:
                     headers.setdefault("-".join(w.capitalize() for w in k.split("-")), []).append(v)
                 first = lambda k: (headers.get(k) or [None])[0]  # noqa: E731, B023
-                out.append((target, code, first("Location"), list(headers.items()), content, first("Content-Type"), record.get("WARC-Truncated") is not None))
+                out.append((target, code, first("Location"), headers, content, first("Content-Type"), record.get("WARC-Truncated") is not None))
             yield pd.DataFrame(out, columns=["target", "code", "location", "headers", "content", "content_type", "truncated"])
 
     schema = "target string, code int, location string, headers map<string,array<string>>, content binary, content_type string, truncated boolean"
