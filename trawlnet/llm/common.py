@@ -61,6 +61,37 @@ def blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned numbers in as many bytes each as the largest needs, the lowest bytes of all first."""
+    x = np.ascontiguousarray(x, np.uint64)
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+def packed_rising(x: np.ndarray) -> bytes:
+    """The same for numbers that rise, by their differences."""
+    x = np.ascontiguousarray(x, np.uint64)
+    return x[:1].tobytes().ljust(8, b"\0") + packed(np.diff(x))
+
+
+def unpacked_rising(data: bytes, n: int) -> np.ndarray:
+    """The n numbers that packed_rising had."""
+    if not n:
+        return np.zeros(0, np.uint64)
+    out = np.empty(n, np.uint64)
+    out[0] = np.frombuffer(data, np.uint64, 1)[0]
+    out[1:] = unpacked(data[8:])
+    return np.cumsum(out, dtype=np.uint64)
+
+
 def column(batch: pa.RecordBatch, name: str, dtype: type | np.dtype) -> np.ndarray:
     """All of a binary column's values, joined, as numbers."""
     values = batch.column(name).cast(pa.large_binary())

@@ -2,7 +2,9 @@
 
 The text is the concatenation, per home partition, of all regions that could hold a repeated passage: words around
 fingerprints that occur twice, chosen by winnowing, which guarantees one in every window of `min_words` words (Schleimer and others, 2003).
-A suffix is ordered by its first words, at least `min_words` of them; what follows can't matter here.
+A suffix is ordered by its first words, at least `min_words` of them; what follows can't matter here. Words are 40 bits of
+their hashes: that two different words are one symbol (1 in 10**12) would have to befall each word in which two passages differ. Numbers travel
+in as many bytes as the largest of a row needs.
 
 Down: the suffixes at places 1 and 2 modulo 3 are the sample. Their triples of symbols are sorted over all
 partitions by range and named by their rank; the names, those of places 1 before those of places 2, are the text of the next level.
@@ -23,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob, bucket_of, buckets, checkpointed, column, exchange, gathered, release, runs, split
+from .common import blob, bucket_of, buckets, checkpointed, column, exchange, packed, packed_rising, release, split, unpacked, unpacked_rising
 from .passages import MIN_WORDS, records, region_words, regions, spread
 from .textkit import Words, mix, sliding_min, window_hashes, window_mask
 
 FINGERPRINT = 16
 #: Triples per range that choose the borders of the ranges.
 SAMPLES = 64
+#: Low bits of a word's hash that aren't kept, and of a window's.
+_DROPPED, _WINDOW_DROPPED = np.uint64(24), np.uint64(16)
 
 
 def winnowed(min_words: int, k: int):
@@ -93,10 +97,10 @@ def _concatenate(n: int):
             for k, (record, first) in enumerate(zip(batch.column("record").to_pylist(), batch.column("first").to_pylist())):
                 own = column(batch.slice(k, 1), "words", np.uint64)
                 aux.append((at, record, first, len(own)))
-                parts += [np.maximum(own, np.uint64(1)), np.zeros(1, np.uint64)]
+                parts += [np.maximum(own >> _DROPPED, np.uint64(1)), np.zeros(1, np.uint64)]
                 at += len(own) + 1
         if parts:
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "symbols": [blob(np.concatenate(parts))], "aux": [blob(np.array(aux, np.int64))]})
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "symbols": [packed(np.concatenate(parts))], "aux": [blob(np.array(aux, np.int64))]})
 
     return run, _TEXT
 
@@ -106,16 +110,6 @@ def _ahead(x: np.ndarray, k: int) -> np.ndarray:
     return np.r_[x[k:], np.zeros(min(k, len(x)), x.dtype)]
 
 
-def _sample_places(n: int) -> np.ndarray:
-    """Places 1, then places 2 modulo 3 of a text of n symbols: the order of the next level's text, without its separators."""
-    return np.r_[np.arange(1, n, 3), np.arange(2, n, 3)]
-
-
-def _pairs_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bytes whose order is that of the pairs."""
-    return np.ascontiguousarray(np.stack([a, b], 1).astype(">u8")).view("V16").ravel()
-
-
 def _range_of(splitters: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Number of splitters (pairs, sorted) at or before each pair (a, b)."""
     if not len(splitters):
@@ -138,7 +132,7 @@ def _splitters(texts: DataFrame, n: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                s = column(batch.slice(k, 1), "symbols", np.uint64)
+                s = unpacked(batch.column("symbols")[k].as_py())
                 at = (np.linspace(0, max(0, len(s) - 1), min(len(s), per_home), dtype=np.int64) * 7919 + 13) % max(1, len(s))
                 yield pa.RecordBatch.from_pydict({"a": pa.array(s[at].view(np.int64)), "b": pa.array(_ahead(s, 1)[at].view(np.int64))})
 
@@ -153,27 +147,26 @@ def _triples(splitters: np.ndarray, every: bool, n: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 home = batch.column("bucket")[k].as_py()
-                s = column(batch.slice(k, 1), "symbols", np.uint64)
-                at = np.arange(len(s)) if every else _sample_places(len(s))
+                s = unpacked(batch.column("symbols")[k].as_py())
+                at = np.arange(len(s)) if every else np.flatnonzero(np.arange(len(s)) % 3)
                 t = [s[at], _ahead(s, 1)[at], _ahead(s, 2)[at]]
-                for b, (p, x, y, z) in split(_range_of(splitters, t[0], t[1]), n, at.astype(np.uint32), *t):
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "home": pa.array([home], pa.int32()), "places": [blob(p)], "a": [blob(x)], "b": [blob(y)], "c": [blob(z)]})
+                for b, (p, x, y, z) in split(_range_of(splitters, t[0], t[1]), n, at, *t):
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "home": pa.array([home], pa.int32()), "places": [packed_rising(p)], "a": [packed(x)], "b": [packed(y)], "c": [packed(z)]})
 
     return run, "bucket int, home int, places binary, a binary, b binary, c binary"
 
 
 def _read(batches: Iterator[pa.RecordBatch], *names: str) -> tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Bucket, home and place of each item, and the named uint64 columns."""
+    """Bucket, home and place of each item, and the named columns."""
     bucket, homes, places, cols = -1, [], [], {k: [] for k in names}
     for batch in batches:
         bucket = batch.column("bucket")[0].as_py()
         for k in range(batch.num_rows):
-            row = batch.slice(k, 1)
-            p = column(row, "places", np.uint32)
-            places.append(p)
-            homes.append(np.full(len(p), row.column("home")[0].as_py(), np.int32))
             for c in names:
-                cols[c].append(column(row, c, np.uint64).copy())
+                cols[c].append(unpacked(batch.column(c)[k].as_py()))
+            n = len(cols[names[0]][-1])
+            places.append(unpacked_rising(batch.column("places")[k].as_py(), n).astype(np.uint32))
+            homes.append(np.full(n, batch.column("home")[k].as_py(), np.int32))
     if bucket < 0:
         return bucket, np.zeros(0, np.int32), np.zeros(0, np.uint32), [np.zeros(0, np.uint64)] * len(names)
     return bucket, np.concatenate(homes), np.concatenate(places), [np.concatenate(v) for v in cols.values()]
@@ -181,7 +174,7 @@ def _read(batches: Iterator[pa.RecordBatch], *names: str) -> tuple[int, np.ndarr
 
 def _by_home(bucket: int, homes: np.ndarray, places: np.ndarray, ranks: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
     for h, (p, r) in split(homes.astype(np.int64), n, places, ranks):
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array([h], pa.int32()), "source": pa.array([bucket], pa.int32()), "size": pa.array([len(ranks)], pa.int64()), "places": [blob(p)], "ranks": [blob(r.astype(np.uint64))]})
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([h], pa.int32()), "source": pa.array([bucket], pa.int32()), "size": pa.array([len(ranks)], pa.int64()), "places": [packed_rising(p)], "ranks": [packed(r)]})
 
 
 _RANKS = "bucket int, source int, size bigint, places binary, ranks binary"
@@ -229,12 +222,11 @@ def _home(batches: Iterator[pa.RecordBatch], offsets: np.ndarray) -> tuple[int,
     for batch in batches:
         home = batch.column("bucket")[0].as_py()
         for k in range(batch.num_rows):
-            row = batch.slice(k, 1)
-            if row.column("source")[0].as_py() is None:
-                symbols, aux = column(row, "symbols", np.uint64).copy(), row.column("aux")[0].as_py()
+            if (source := batch.column("source")[k].as_py()) is None:
+                symbols, aux = unpacked(batch.column("symbols")[k].as_py()), batch.column("aux")[k].as_py()
             else:
-                places.append(column(row, "places", np.uint32).copy())
-                ranks.append(column(row, "ranks", np.uint64) + np.uint64(offsets[row.column("source")[0].as_py()]))
+                ranks.append(unpacked(batch.column("ranks")[k].as_py()) + np.uint64(offsets[source]))
+                places.append(unpacked_rising(batch.column("places")[k].as_py(), len(ranks[-1])).astype(np.uint32))
     return None if home < 0 else (home, symbols, aux, np.concatenate(places), np.concatenate(ranks))
 
 
@@ -247,7 +239,7 @@ def _next_text(offsets: np.ndarray):
         home, symbols, _, places, ranks = found
         name = np.zeros(len(symbols), np.uint64)
         name[places] = ranks
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "symbols": [blob(np.r_[name[1::3], np.zeros(3, np.uint64), name[2::3], np.zeros(3, np.uint64)])], "aux": [b""]})
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "symbols": [packed(np.r_[name[1::3], np.zeros(3, np.uint64), name[2::3], np.zeros(3, np.uint64)])], "aux": [b""]})
 
     return run, _TEXT
 
@@ -261,7 +253,7 @@ def _place_ranks(offsets: np.ndarray):
         home, symbols, _, places, ranks = found
         out = np.zeros(len(symbols), np.uint64)
         out[places] = ranks
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "symbols": [blob(out)], "aux": [b""]})
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "symbols": [packed(out)], "aux": [b""]})
 
     return run, _TEXT
 
@@ -270,15 +262,14 @@ def _merge_items(splitters: np.ndarray, min_words: int, lowest: bool, n: int):
     """All suffixes of a home with what the merge compares: two symbols, and the ranks of the sample places among the next two and itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, s, aux, up = -1, np.zeros(0, np.uint64), b"", np.zeros(0, np.uint64)
+        home, s, up = -1, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         for batch in batches:
             home = batch.column("bucket")[0].as_py()
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                if row.column("source")[0].as_py() is None:
-                    s, aux = column(row, "symbols", np.uint64).copy(), row.column("aux")[0].as_py()
+                if batch.column("source")[k].as_py() is None:
+                    s = unpacked(batch.column("symbols")[k].as_py())
                 else:
-                    up = column(row, "ranks", np.uint64).copy()
+                    up = unpacked(batch.column("ranks")[k].as_py())
         if home < 0:
             return
         m = len(s)
@@ -291,17 +282,19 @@ def _merge_items(splitters: np.ndarray, min_words: int, lowest: bool, n: int):
         window = np.zeros(m, np.uint64)
         if lowest:
             h = window_hashes(s, min_words)
-            window[: len(h)] = np.maximum(h, np.uint64(1))
+            window[: len(h)] = np.maximum(h >> _WINDOW_DROPPED, np.uint64(1))
             ends = np.flatnonzero(s == 0)
             cut = np.zeros(m + 1, np.int64)
             np.add.at(cut, np.maximum(ends - min_words + 1, 0), 1)
             np.add.at(cut, ends + 1, -1)
             window[np.cumsum(cut)[:m] > 0] = 0
         t1 = _ahead(s, 1)
-        for b, (p, k, x, y, u, v, w) in split(_range_of(splitters, s, t1), n, np.arange(m, dtype=np.uint32), kind.astype(np.uint8), s, t1, first, second, window):
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "home": pa.array([home], pa.int32()), "places": [blob(p)], "kinds": [blob(k)], "a": [blob(x)], "b": [blob(y)], "u": [blob(u)], "v": [blob(v)], "w": [blob(w) if lowest else b""]})
+        bucket = _range_of(splitters, s, t1)
+        t1[kind == 1] = 0  # no comparison needs it
+        for b, (p, x, y, u, v, w) in split(bucket, n, np.arange(m), s, t1, first, second, window):
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "home": pa.array([home], pa.int32()), "places": [packed_rising(p)], "a": [packed(x)], "b": [packed(y)], "u": [packed(u)], "v": [packed(v)], "w": [packed(w)]})
 
-    return run, "bucket int, home int, places binary, kinds binary, a binary, b binary, u binary, v binary, w binary"
+    return run, "bucket int, home int, places binary, a binary, b binary, u binary, v binary, w binary"
 
 
 def merge_order(kind: np.ndarray, a: np.ndarray, b: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -331,17 +324,10 @@ def merge_order(kind: np.ndarray, a: np.ndarray, b: np.ndarray, u: np.ndarray, v
 
 def _merge(lowest: bool, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds: list[np.ndarray] = []
-
-        def noted() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kinds.append(column(batch, "kinds", np.uint8).copy())
-                yield batch
-
-        bucket, homes, places, cols = _read(noted(), "a", "b", "u", "v", *["w"] * lowest)
+        bucket, homes, places, cols = _read(batches, "a", "b", "u", "v", *["w"] * lowest)
         if bucket < 0:
             return
-        order = merge_order(np.concatenate(kinds), *cols[:4])
+        order = merge_order(places % 3, *cols[:4])
         if not lowest:
             ranks = np.empty(len(order), np.int64)
             ranks[order] = np.arange(len(order))
@@ -349,7 +335,7 @@ def _merge(lowest: bool, n: int):
             return
         w = cols[4][order]
         same = (w[1:] == w[:-1]) & (w[1:] != 0)
-        hit = order[np.r_[same, False] | np.r_[False, same]]
+        hit = np.sort(order[np.r_[same, False] | np.r_[False, same]])
         yield from _by_home(bucket, homes[hit], places[hit], np.zeros(len(hit), np.int64), n)
 
     return run, _RANKS
@@ -417,4 +403,5 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, fingerprint:
 
     parts = region_words(docs, found, known, min_words, finish, "bucket int, record bigint, first bigint, words binary")
     text = checkpointed(exchange(parts).mapInArrow(*_concatenate(n)))
+    release(docs.sparkSession)
     return spread(repeated_places(text, min_words), known, min_words)
