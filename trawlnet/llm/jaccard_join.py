@@ -181,7 +181,7 @@ def fragment_of(grams: np.ndarray, df: np.ndarray, levels: np.ndarray, counts: n
     before = np.cumsum(counts) - counts
     at = np.searchsorted(levels, df)
     place = before[at] + counts[at] * (grams >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-    return np.minimum((place * (fragments / max(1, counts.sum()))).astype(np.int64), fragments - 1)
+    return np.minimum((place * (fragments / counts.sum())).astype(np.int64), fragments - 1)
 
 
 def _segments(levels: np.ndarray, counts: np.ndarray, fragments: int, threshold: float, prefix_only: bool):
@@ -376,7 +376,8 @@ def near_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) ->
     if not levels:
         return copies
     df = np.array([r[0] for r in levels], np.uint32)
-    counts = np.array([r[1] * r[0] for r in levels], np.float64)  # a gram's work grows with the square of its records
+    n_grams, work = np.array([r[1] for r in levels], np.float64), np.array([r[1] * r[0] for r in levels], np.float64)  # a gram's work grows with the square of its records
+    counts = work / work.sum() + n_grams / n_grams.sum()  # no fragment gets over twice its share of either the work or the grams
     prefixes = several.mapInArrow(*_segments(df, counts, p, threshold, True))
     candidates = exchange(prefixes).mapInArrow(*_candidates(threshold)).distinct()
     candidates = candidates.persist(StorageLevel.DISK_ONLY)
