@@ -46,10 +46,14 @@ def without_archived(states: DataFrame, archived: DataFrame) -> DataFrame:
 def fetch_queue(states: DataFrame, size: int = QUEUE_SIZE, min_score: float = 0.0, shard: Column | None = None, order: Column | None = None) -> DataFrame:
     """states with `rank`: of each shard (all together if none is named) the `size` unfetched URLs of the highest scores, none below min_score; of equals the first by `order` (url).
 
-    The ranking is cut to `size` rows in each task before anything is shuffled.
+    A single queue is the top `size` of each task, then of those. With shards each shard is ranked in a task of its own.
     """
-    window = W.partitionBy(F.lit(0) if shard is None else shard).orderBy(F.desc("score"), F.col("url") if order is None else order)
-    return states.filter((F.col("status") == "UNFETCHED") & (F.col("score") >= min_score)).withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= size)
+    by = F.col("url") if order is None else order
+    ready = states.filter((F.col("status") == "UNFETCHED") & (F.col("score") >= min_score))
+    if shard is None:
+        ready = ready.orderBy(F.desc("score"), by).limit(size)
+    window = W.partitionBy(F.lit(0) if shard is None else shard).orderBy(F.desc("score"), by)
+    return ready.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= size)
 
 
 def queued(states: DataFrame, chosen: DataFrame, now: int) -> DataFrame:

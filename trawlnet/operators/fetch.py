@@ -132,7 +132,7 @@ def _filled(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class TableFetcher:
-    """Answers from a table (url, code, content and any more of RESPONSES); a URL that isn't there is not found."""
+    """Answers from a table (url, code, content and any more of RESPONSES), a row a URL; a URL that isn't there is not found."""
 
     pages: DataFrame
     settings: FetchSettings = field(default_factory=FetchSettings)

@@ -381,11 +381,12 @@ def crawl_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.select(F.col("url").cast("bigint").alias("node"), "status", "score")
 
 
-@query(f"""SELECT 'FETCHED' AS status, count(DISTINCT regexp_replace(url, '#.*$', '')) AS n FROM pages UNION ALL SELECT 'HTTP_NOT_FOUND', count(DISTINCT url) FROM ({_FRONTIER}) WHERE url NOT IN (SELECT regexp_replace(url, '#.*$', '') FROM pages)""")
+@query(f"""WITH p AS (SELECT regexp_replace(url, '#.*$', '') AS url, arg_min(url, page_id) AS raw FROM pages GROUP BY 1)
+    SELECT 'FETCHED' AS status, count(*) AS n FROM p UNION ALL SELECT 'HTTP_NOT_FOUND', count(DISTINCT url) FROM (SELECT page, {_NORMAL} AS url FROM ({_LINKS})) WHERE page IN (SELECT raw FROM p) AND url NOT IN (SELECT url FROM p)""")
 def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A crawl of two rounds from all pages; what they link to and isn't there is not found."""
+    """A crawl of two rounds from all pages; what they link to and isn't there is not found. Of pages of the same normal URL the first is the one that is there."""
     pages = table(spark, sf_dir, "pages")
-    known = pages.select(urls.normalized(F.col("url")).alias("url"), F.lit(200).alias("code"), F.encode("html", "UTF-8").alias("content"), F.lit("text/html; charset=utf-8").alias("content_type"))
+    known = pages.groupBy(urls.normalized(F.col("url")).alias("url")).agg(F.min_by("html", "page_id").alias("html")).select("url", F.lit(200).alias("code"), F.encode("html", "UTF-8").alias("content"), F.lit("text/html; charset=utf-8").alias("content_type"))
     job = crawl.Crawl(fetch.TableFetcher(known), default_delay_ms=0, queue_size=100_000_000, shards=8, max_rounds=2)
     return crawldb.status_counts(crawl.run(spark, job, pages.select("url", F.lit(1.0).alias("score")), start_ms=1_000_000).states)
 
