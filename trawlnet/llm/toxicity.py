@@ -1,9 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney models of characters.
 
-Two models, of toxic and of ordinary texts, give the log-likelihood of a text; the score is their difference per character.
-A model's highest order (`ORDER` characters) has counts of its class with absolute discounting. What it discounts goes to lower
-orders that both classes share: continuation counts over all labelled texts, so that an expression too rare for either class is judged
-alike by both. Texts are folded to 32 symbols, so a model has at most 32**ORDER numbers however large the corpus; the
+Two models, of toxic and of ordinary texts, give the log-likelihood of a text; the score is their difference per character, as if
+`PRIOR` characters more were neutral. A model's orders from `ORDER` characters down to `SHARED` + 1 have counts of its class (continuation counts
+below the highest) with absolute discounting. What they discount goes in the end to orders that both classes share: continuation counts over all
+labelled texts, so that an expression too rare for either class is judged alike by both. Texts are folded to 32 symbols, so a model has at most 32**ORDER numbers however large the corpus; the
 counts are of all labelled texts, gathered in packed partial sums. The threshold is the one of best F1 on
 labelled texts that the models in use for it haven't seen.
 """
@@ -23,7 +23,9 @@ from .common import blob, column, exchange, runs, split
 from .textkit import chunks
 
 ORDER = 5
+SHARED = 2
 DISCOUNT = 0.75
+PRIOR = 100
 #: Of this many parts of the labelled documents, by hash of doc_id, one is held out to set the threshold.
 PARTS = 5
 #: Labelled rows that are sent to every executor; more are joined by a shuffle.
@@ -77,37 +79,51 @@ def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Ratio:
-    """log P(symbol | toxic) - log P(symbol | ordinary): at the seen codes, and at each context for all others."""
+class Level:
+    """Of one order log P(symbol | toxic) - log P(symbol | ordinary) at the codes seen in either class, and the log ratio of what is left to lower orders at the contexts."""
 
+    order: int
     seen: np.ndarray
     at_seen: np.ndarray
     contexts: np.ndarray
     at_context: np.ndarray
 
-    def dense(self) -> np.ndarray:
-        by_context = np.zeros(1 << _BITS * (ORDER - 1), np.float32)
-        by_context[self.contexts] = self.at_context
-        out = np.repeat(by_context, _SYMBOLS)
-        out[self.seen] = self.at_seen
-        return out
 
+def dense(levels: list[Level]) -> np.ndarray:
+    """The ratio at every code of ORDER symbols: where a code wasn't seen, that of its suffix and what its context leaves."""
+    out = np.zeros(1 << _BITS * SHARED, np.float32)
+    for level in levels:
+        left = np.zeros(1 << _BITS * (level.order - 1), np.float32)
+        left[level.contexts] = level.at_context
+        out = np.tile(out, _SYMBOLS)
+        out += np.repeat(left, _SYMBOLS)
+        out[level.seen] = level.at_seen
+    return out
 
-def kneser_ney(seen: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Ratio:
-    """Ratio from the counts of the codes seen in either class; seen is sorted and distinct."""
-    shared = lower_order(seen, ORDER - 1)  # shared P(symbol | ORDER - 2 symbols), for the suffix of each seen code
+
+def kneser_ney(seen: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, order: int = ORDER) -> list[Level]:
+    """Levels, the lowest order first, from the counts of the codes seen in either class; seen is sorted and distinct."""
+    return _levels(seen, [toxic.astype(float), ordinary.astype(float)], order)[1]
+
+
+def _levels(seen: np.ndarray, counts: list[np.ndarray], order: int) -> tuple[list[np.ndarray], list[Level]]:
+    """P(symbol | context) of each class at the codes, and the levels."""
+    if order == SHARED:
+        shared = lower_order(seen, order)
+        return [shared, shared], []
+    names, at = np.unique(seen & np.uint32((1 << _BITS * (order - 1)) - 1), return_inverse=True)
+    lower, levels = _levels(names, [np.bincount(at, (n > 0).astype(float), len(names)) for n in counts], order - 1)
     context = seen >> np.uint32(_BITS)
     starts, lengths = runs(context)
-    logs = []
-    at_context = []
-    for n in (toxic.astype(float), ordinary.astype(float)):
+    found, rest = [], []
+    for n, p in zip(counts, lower):
         total = np.add.reduceat(n, starts) if len(starts) else np.zeros(0)
         types = np.add.reduceat((n > 0).astype(float), starts) if len(starts) else np.zeros(0)
         left = np.where(total > 0, DISCOUNT * types / np.maximum(total, 1), 1.0)
-        total, rest = np.repeat(total, lengths), np.repeat(left, lengths)
-        logs.append(np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1) + rest * shared))
-        at_context.append(np.log(left))
-    return Ratio(seen, (logs[0] - logs[1]).astype(np.float32), context[starts], (at_context[0] - at_context[1]).astype(np.float32))
+        found.append(np.maximum(n - DISCOUNT, 0) / np.repeat(np.maximum(total, 1), lengths) + np.repeat(left, lengths) * p[at])
+        rest.append(np.log(left))
+    level = Level(order, seen, np.log(found[0] / found[1]).astype(np.float32), context[starts], (rest[0] - rest[1]).astype(np.float32))
+    return found, [*levels, level]
 
 
 def lower_order(seen: np.ndarray, order: int) -> np.ndarray:
@@ -166,15 +182,15 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _scorer(ratio, lowest: float | None):
-    """Maps (doc_id, text, ...) to scores under a broadcast Ratio."""
+    """Maps (doc_id, text, ...) to scores under broadcast levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = ratio.value.dense()
+        by_code = dense(ratio.value)
         for piece in chunks(batches):
             own, bounds = codes(piece.column("text").to_pylist())
-            total = np.r_[0.0, np.cumsum(dense[own], dtype=np.float64)]
+            total = np.r_[0.0, np.cumsum(by_code[own], dtype=np.float64)]
             n = np.diff(bounds)
-            score = (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(n, 1)
+            score = (total[bounds[1:]] - total[bounds[:-1]]) / (n + PRIOR)
             cols = {"doc_id": piece.column("doc_id"), "n_symbols": pa.array(n), "log_ratio": pa.array(score)}
             if lowest is None:
                 cols["toxic"] = piece.column("toxic")
@@ -209,7 +225,7 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, n_symbols, log_ratio, toxic) for each row of docs (doc_id, text), learnt from labels (doc_id, toxic 0 or 1).
 
-    log_ratio is the mean over the text's characters of log P(toxic model) - log P(ordinary model). A null or empty text scores 0.0 and isn't
+    log_ratio is the sum over the text's characters of log P(toxic model) - log P(ordinary model), over the characters and PRIOR more. A null or empty text scores 0.0 and isn't
     toxic. Labels that are null, contradict each other or have no document are left out; without labelled texts of both classes all ratios are 0.0 and nothing is
     toxic. A null doc_id stays null; repeated rows give repeated results; other columns are ignored.
     """
@@ -227,8 +243,8 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     lowest = 0.0
     if n[0].any() and n[2].any():
         part = spark.sparkContext.broadcast(kneser_ney(every[fitted], n[2][fitted], n[0][fitted]))
-        rows = held_out.mapInArrow(_scorer(part, None), "doc_id bigint, n_symbols bigint, log_ratio double, toxic int").filter("n_symbols > 0").groupBy((F.round(F.col("log_ratio") * 1e4)).cast("bigint").alias("s"), "toxic").agg(F.count("*").alias("n")).collect()
-        s = np.repeat([r[0] / 1e4 for r in rows], [r[2] for r in rows])
+        rows = held_out.mapInArrow(_scorer(part, None), "doc_id bigint, n_symbols bigint, log_ratio double, toxic int").filter("n_symbols > 0").groupBy((F.round(F.col("log_ratio") * 1e6)).cast("bigint").alias("s"), "toxic").agg(F.count("*").alias("n")).collect()
+        s = np.repeat([r[0] / 1e6 for r in rows], [r[2] for r in rows])
         y = np.repeat([r[1] for r in rows], [r[2] for r in rows])
         lowest = best_threshold(s, y) if y.any() else 0.0
     ratio = spark.sparkContext.broadcast(kneser_ney(every, n[2] + n[3], n[0] + n[1]))
