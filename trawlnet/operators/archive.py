@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from trawlnet.functions import http, urls
 from trawlnet.functions.warc import http_parts, opened, read
 from trawlnet.operators.fetch import FetchSettings
+from trawlnet.sources.warc import located
 
 _TEXTUAL = ("text/html", "text/plain", "application/xhtml+xml", "text/xml", "application/xml")
 _TEMPORARY, _REDIRECTS = (302, 303, 307), (301, 302, 303, 307)
@@ -116,9 +117,7 @@ def _records(wanted: DataFrame, root: str) -> DataFrame:
     """(target, code, location, headers, content, content_type, truncated) of the records at (filename, offset, length)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(root)
+        system, base = located(root)
         for batch in batches:
             out = []
             for target, name, offset, length in batch.itertuples(index=False):

@@ -6,12 +6,14 @@
 
 from __future__ import annotations
 
-import glob
 import gzip
+import io
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatch
 
+from pyarrow import fs
 from pyspark.sql import Row
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -22,6 +24,15 @@ SCHEMA = "headers array<struct<name:string,value:string>>, content binary"
 SEGMENT_BYTES = 1_000_000_000
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a path or URI; s3a is s3."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    if "://" not in path:
+        return fs.LocalFileSystem(), os.path.abspath(path)
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
 @dataclass
 class _File(InputPartition):
     path: str
@@ -37,13 +48,17 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        found = [self.path] if os.path.isfile(self.path) else sorted(glob.glob(os.path.join(self.path, "*.warc*")) or glob.glob(self.path))
-        return [_File(p) for p in found if not os.path.basename(p).startswith(("_", "."))]
+        system, path = located(self.path)
+        if system.get_file_info(path).type == fs.FileType.File:
+            return [_File(path)]
+        folder, pattern = (path, "*.warc*") if "*" not in os.path.basename(path) else os.path.split(path)
+        names = sorted(i.path for i in system.get_file_info(fs.FileSelector(folder)) if i.type == fs.FileType.File and fnmatch(i.base_name, pattern) and i.base_name[0] not in "._")
+        return [_File(p) for p in names]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        opener = gzip.open if partition.path.endswith(".gz") else open
-        with opener(partition.path, "rb") as stream:
-            for record in read(stream):
+        with located(self.path)[0].open_input_stream(partition.path, compression=None) as raw:
+            stream = io.BufferedReader(raw)
+            for record in read(gzip.GzipFile(fileobj=stream) if partition.path.endswith(".gz") else stream):
                 yield (record.headers, record.content)
 
 
@@ -56,38 +71,43 @@ class _Writer(DataSourceWriter):
 
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
-        os.makedirs(self.path, exist_ok=True)
-        out, paths, stream = 0, [], None
+        system, folder = located(self.path)
+        system.create_dir(folder, recursive=True)
+        paths, stream, size = [], None, 0
         try:
             for row in rows:
-                if stream is None or stream.tell() > self.most:  # the record that goes beyond stays
+                if stream is None or size > self.most:  # the record that goes beyond stays
                     if stream:
                         stream.close()
-                    name = f"part-{part:05d}-{attempt}-seg-{out:05d}.warc{'.gz' if self.compressed else ''}"
-                    paths.append(os.path.join(self.path, f".{name}"))
-                    stream = open(paths[-1], "wb")
-                    out += 1
+                    name = f"part-{part:05d}-{attempt}-seg-{len(paths):05d}.warc{'.gz' if self.compressed else ''}"
+                    paths.append(f"{folder}/.{name}")
+                    stream, size = system.open_output_stream(paths[-1], compression=None), 0
                 data = Record([(h[0], h[1]) for h in row[0] or []], bytes(row[1] or b"")).encode()
-                stream.write(gzip.compress(data) if self.compressed else data)
+                data = gzip.compress(data) if self.compressed else data
+                stream.write(data)
+                size += len(data)
         finally:
             if stream:
                 stream.close()
         return _Written(paths)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, _ = located(self.path)
         for m in messages:
             for p in m.paths if m else []:
-                os.replace(p, os.path.join(os.path.dirname(p), os.path.basename(p)[1:]))
+                folder, name = os.path.split(p)
+                system.move(p, f"{folder}/{name[1:]}")
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, _ = located(self.path)
         for m in messages:
             for p in m.paths if m else []:
-                if os.path.exists(p):
-                    os.remove(p)
+                if system.get_file_info(p).type == fs.FileType.File:
+                    system.delete_file(p)
 
 
 class WarcSource(DataSource):
-    """Rows (headers, content); path is a folder all executors share, a file or a pattern. Segments show up under their names when the whole write is committed."""
+    """Rows (headers, content); path is a folder all executors reach, a file or a pattern, as a path or a URI that pyarrow knows. Segments show up under their names when the whole write is committed."""
 
     @classmethod
     def name(cls) -> str:
