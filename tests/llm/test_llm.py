@@ -121,6 +121,18 @@ def test_near_pairs_against_brute_force(spark, threshold):
     assert groups == closure(want)
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.8])
+def test_near_pairs_are_all_pairs(spark, threshold, monkeypatch):
+    docs = random_docs(3, 80)
+    docs += [(1000 + k, docs[0][1] if k % 3 else docs[3][1]) for k in range(40)] + [(2000 - k, docs[1][1] + " x") for k in range(9)]
+    want, _ = brute_pairs(docs, 3, threshold)
+    monkeypatch.setattr(jaccard_join, "_MEMBERS", 7)  # so that records have several blocks here too
+    got = [(r.doc_a, r.doc_b) for r in jaccard_join.near_pairs(spark.createDataFrame(docs + docs[:9], DOC), 3, threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    links = {(r.doc_a, r.doc_b) for r in jaccard_join.linking_pairs(spark.createDataFrame(docs, DOC), 3, threshold).collect()}
+    assert links <= want and closure(links) == closure(want)
+
+
 def test_near_duplicates_odd_rows(spark):
     got = jaccard_join.near_pairs(odd(spark))
     assert [(r.doc_a, r.doc_b, r.jaccard) for r in got.collect()] == [(4, 5, 1.0)]

@@ -29,6 +29,8 @@ NGRAM = 3
 THRESHOLD = 0.5
 PAIRS = "doc_a bigint, doc_b bigint, overlap bigint, jaccard double"
 _SLACK = 1e-9
+#: Documents of one record that a row of members holds; a larger record has several rows.
+_MEMBERS = 512
 
 
 def ngram_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,8 +132,8 @@ def _shared(n: int):
 
 
 def _survivors(threshold: float):
-    """Copies (a row for each with the least doc_id of its record) and records that may have a partner, grams in global order."""
-    schema = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("size", pa.int64()), ("grams", pa.binary()), ("df", pa.binary())])
+    """Rows of members (the doc_ids of a record of several, rising, by blocks) and records that may have a partner, grams in global order; doc_a is the record's least doc_id."""
+    schema = pa.schema([("doc_a", pa.int64()), ("size", pa.int64()), ("block", pa.int32()), ("members", pa.list_(pa.int64())), ("grams", pa.binary()), ("df", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[str, list[np.ndarray]] = {"records": [], "grams": [], "df": [], "meta": []}
@@ -146,13 +148,18 @@ def _survivors(threshold: float):
         m = m[order]
         starts, lengths = runs(m[:, 0])
         names, sizes, least = m[starts, 0], m[starts, 1].astype(np.int64), m[starts, 2].view(np.int64)
-        copy = np.ones(len(m), bool)
-        copy[starts] = False
-        a, b, s = np.repeat(least, lengths)[copy], m[copy, 2].view(np.int64), np.repeat(sizes, lengths)[copy]
-        distinct = np.ones(len(a), bool) if not len(a) else (a != b) & np.r_[True, (b[1:] != b[:-1]) | (a[1:] != a[:-1])]
-        a, b, s = a[distinct], b[distinct], s[distinct]
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.binary())], schema=schema)
+        fresh = np.ones(len(m), bool)
+        fresh[1:] = (m[1:, 0] != m[:-1, 0]) | (m[1:, 2] != m[:-1, 2])
+        docs = m[fresh, 2].view(np.int64)
+        firsts, counts = runs(m[fresh, 0])
+        cols: list[list] = [[], [], [], []]
+        for k in np.flatnonzero(counts > 1):
+            for block, at in enumerate(range(firsts[k], firsts[k] + counts[k], _MEMBERS)):
+                for c, v in zip(cols, (least[k], sizes[k], block, docs[at : min(at + _MEMBERS, firsts[k] + counts[k])])):
+                    c.append(v)
+        if cols[0]:
+            none = pa.nulls(len(cols[0]), pa.binary())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(cols, schema)), none, none], schema=schema)
         order = np.lexsort((g, df, r))
         r, g, df = r[order], g[order], df[order]
         starts, lengths = runs(r)
@@ -161,10 +168,10 @@ def _survivors(threshold: float):
         for k in np.flatnonzero(ok):
             lo, hi = starts[k], starts[k] + lengths[k]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([least[at[k]]]), pa.nulls(1, pa.int64()), pa.array([sizes[at[k]]]), pa.array([blob(g[lo:hi])]), pa.array([blob(df[lo:hi])])], schema=schema
+                [pa.array([least[at[k]]]), pa.array([sizes[at[k]]]), pa.nulls(1, pa.int32()), pa.nulls(1, schema.field("members").type), pa.array([blob(g[lo:hi])]), pa.array([blob(df[lo:hi])])], schema=schema
             )
 
-    return run, "doc_a bigint, doc_b bigint, size bigint, grams binary, df binary"
+    return run, "doc_a bigint, size bigint, block int, members array<bigint>, grams binary, df binary"
 
 
 def _df_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,14 +362,31 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a_out, b_out, n_out)], ["doc_a", "doc_b", "overlap"])
 
 
-def near_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (doc_a, doc_b, overlap, jaccard) of docs (doc_id, text) whose sets of word n-grams have Jaccard >= threshold.
-
-    Documents of equal sets are one record: each is paired, at 1.0, with the least doc_id of its record, and that one
-    stands for the record in all other pairs; doc_a < doc_b. So the pairs' connected groups are those of the full join, which
-    would repeat each pair for all combinations of copies. Rows of null doc_id and null, empty or blank texts are in no pair; rows
-    repeated with the same doc_id count once; an empty table gives no pairs; other columns are ignored.
-    """
+def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """PAIRS of each member of members_a with each of members_b; where within is set both are the same and each pair comes once."""
+    for batch in batches:
+        left, right = batch.column("members_a"), batch.column("members_b")
+        n_a, n_b = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (left, right))
+        at_a, at_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        a, b = left.flatten().to_numpy(), right.flatten().to_numpy()
+        within = batch.column("within").to_numpy(zero_copy_only=False)
+        overlap, jaccard = batch.column("overlap").to_numpy(), batch.column("jaccard").to_numpy()
+        n = n_a * n_b
+        ends = np.cumsum(n)
+        lo = 0
+        while lo < len(n):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - n[lo] + _MEMBERS * _MEMBERS, "right")))
+            row = np.repeat(np.arange(lo, hi), n[lo:hi])
+            place = ranges(np.zeros(hi - lo, np.int64), n[lo:hi])
+            x, y = a[at_a[row] + place // n_b[row]], b[at_b[row] + place % n_b[row]]
+            ok = np.where(within[row], x < y, x != y)
+            x, y, row = x[ok], y[ok], row[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(overlap[row]), pa.array(jaccard[row])], ["doc_a", "doc_b", "overlap", "jaccard"])
+            lo = hi
+
+
+def _record_pairs(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """Members (doc_a, size, block, members) of records of several documents, and PAIRS of the records, each named by its least doc_id (None: there are no pairs)."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
@@ -370,11 +394,11 @@ def near_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) ->
     packed = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(*_pack(n, p))
     shared = exchange(packed).mapInArrow(*_shared(p))
     records = checkpointed(exchange(shared).mapInArrow(*_survivors(threshold)))
-    copies = records.filter("doc_b is not null").select("doc_a", "doc_b", F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard"))
-    several = records.filter("doc_b is null")
+    members = records.filter("members is not null").select("doc_a", "size", "block", "members")
+    several = records.filter("members is null").select("doc_a", "size", "grams", "df")
     levels = several.select("df").mapInArrow(_df_counts, "df bigint, n bigint").groupBy("df").agg(F.sum("n").alias("n")).orderBy("df").collect()  # at most one row per distinct count
     if not levels:
-        return copies
+        return members, None
     df = np.array([r[0] for r in levels], np.uint32)
     n_grams, work = np.array([r[1] for r in levels], np.float64), np.array([r[1] * r[0] for r in levels], np.float64)  # a gram's work grows with the square of its records
     counts = work / work.sum() + n_grams / n_grams.sum()  # no fragment gets over twice its share of either the work or the grams
@@ -393,7 +417,35 @@ def near_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) ->
         .filter(F.col("jaccard") >= threshold - _SLACK)
         .select("doc_a", "doc_b", "overlap", "jaccard")
     )
-    return copies.unionByName(near)
+    return members, near
+
+
+def near_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (doc_a, doc_b, overlap, jaccard) of docs (doc_id, text) whose sets of word n-grams have Jaccard >= threshold.
+
+    All such pairs are listed, those of copies (at 1.0) too; doc_a < doc_b. Documents of equal sets are joined as one record, whose pairs
+    are then written out for all its members, by blocks, so that no task or row holds all of a large record's. Rows of null doc_id and null, empty or
+    blank texts are in no pair; rows repeated with the same doc_id count once; an empty table gives no pairs; other columns are ignored.
+    """
+    members, near = _record_pairs(docs, n, threshold)
+    form = ["members_a", "members_b", "within", "overlap", "jaccard"]
+    same = members.select(F.col("members").alias("members_a"), F.col("members").alias("members_b"), F.lit(True).alias("within"), F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard"))
+    later = members.filter("block > 0").select("doc_a", F.col("block").alias("block_b"), F.col("members").alias("members_b"))
+    across = members.withColumnRenamed("members", "members_a").join(later, "doc_a").filter("block < block_b").repartition(buckets(docs.sparkSession), "doc_a", "block", "block_b")
+    found = same.unionByName(across.select("members_a", "members_b", F.lit(False).alias("within"), F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard")))
+    if near is not None:
+        for side in ("b", "a"):
+            near = near.join(members.select(F.col("doc_a").alias(f"doc_{side}"), F.col("members").alias(f"members_{side}")), f"doc_{side}", "left")
+        all_of = lambda side: F.coalesce(f"members_{side}", F.array(f"doc_{side}")).alias(f"members_{side}")
+        found = found.unionByName(near.select(all_of("a"), all_of("b"), F.lit(False).alias("within"), "overlap", "jaccard"))
+    return found.select(*form).mapInArrow(_expanded, PAIRS)
+
+
+def linking_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """Of near_pairs those that suffice for groups(): each copy with the least doc_id of its record, and that one with those of other records."""
+    members, near = _record_pairs(docs, n, threshold)
+    copies = members.select("doc_a", F.explode("members").alias("doc_b"), F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard")).filter("doc_a <> doc_b")
+    return copies if near is None else copies.unionByName(near)
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -421,4 +473,4 @@ def groups(pairs: DataFrame) -> DataFrame:
 
 def one_per_group(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that near_pairs links to a document of lower doc_id in their group; all its columns stay."""
-    return without(docs, groups(near_pairs(docs, n, threshold)).filter("doc_id <> group_id").select("doc_id"))
+    return without(docs, groups(linking_pairs(docs, n, threshold)).filter("doc_id <> group_id").select("doc_id"))
