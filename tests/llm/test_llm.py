@@ -154,6 +154,24 @@ def test_html_extraction(spark):
     assert got[1].n_blocks == 0 and got[1].main_text == ""
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>t</title><body><p>main text</p></body>",
+        "<head><meta charset=utf-8><title>t</title><p>main text",
+        "<head><title>t</title></head><svg viewBox='0 0'/><p>main text</p><svg><text>no</text></svg>",
+        "<head><title>t</title></head><body><select><p>main text</p><select><option>no</select>",
+        "<head-line>main text</head-line>",
+        "<svg-icon></svg-icon><p>main text</p><template-x>",
+        "<textarea><p>main text</p>",
+        "<noscript>no</noscript><svg><svg>no</svg>no</svg><!--><p>main text</p><!-- no",
+        "<head><title>a<b</title><script>var head='<p>no'</script></HEAD ><body>main text<script>no",
+    ],
+)
+def test_html_parts_without_end_tags(page):
+    assert [b[0] for b in html_blocks.blocks(page)] == ["main text"]
+
+
 def test_html_tree_on_held_out_rows():
     x, y = html_blocks.labelled_table()
     parts = np.random.default_rng(0).permutation(len(y)) % 5

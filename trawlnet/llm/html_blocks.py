@@ -22,7 +22,11 @@ from .textkit import chunks
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after")
 PAGES = "page_id bigint, url string, n_blocks int, n_main int, main_words int, main_text string"
-_SKIPPED = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|textarea|select|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!doctype[^>]*>")
+_UNREAD = re.compile(r"(?is)<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<!doctype[^>]*>")
+_SKIPPED = re.compile(r"(?i)<(/?)(noscript|template|textarea|select|svg)(?=[\s/>])[^>]*>")
+_HEAD = re.compile(r"(?i)<head(?=[\s/>])[^>]*>")
+_IN_HEAD = re.compile(r"(?is)\s+|<title(?=[\s/>])[^>]*>(?:(?!</?title[\s/>]).)*</title\s*>|</?(?:title|meta|link|base|basefont|bgsound|noscript|template)(?=[\s/>])[^>]*>|<[!?][^>]*>")
+_HEAD_END = re.compile(r"(?i)</head(?=[\s/>])[^>]*>")
 _TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title\s*>")
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -98,9 +102,41 @@ def tree() -> Node:
     return fit_tree(*labelled_table())
 
 
+def readable(page: str) -> str:
+    """page without comments, scripts and styles (to their end or that of the page), its head and other elements that hold no text of the page.
+
+    The head ends at its end tag or at the first thing that can't be in one, as either of its tags may be left out; an element
+    without an end tag, or closed in its own tag, loses just the tag.
+    """
+    source = _UNREAD.sub(" ", page)
+    opened: dict[str, list[int]] = {}
+    cuts: list[tuple[int, int]] = []
+    for m in _SKIPPED.finditer(source):
+        starts = opened.setdefault(m[2].lower(), [])
+        if m[1]:
+            if starts:
+                cuts.append((starts.pop(), m.end()))
+        elif not m[0].endswith("/>"):
+            starts.append(m.start())
+    parts, at = [], 0
+    for a, b in sorted(cuts):
+        if a >= at:  # else within the cut before
+            parts += [source[at:a], " "]
+        at = max(at, b)
+    source = "".join([*parts, source[at:]])
+    if m := _HEAD.search(source):
+        at = m.end()
+        while inside := _IN_HEAD.match(source, at):
+            at = inside.end()
+        if end := _HEAD_END.match(source, at):
+            at = end.end()
+        source = f"{source[: m.start()]} {source[at:]}"
+    return source
+
+
 def blocks(page: str | None) -> list[tuple[str, int, int]]:
     """(text, words, words within links) of each non-empty block, in order; entities are resolved and white space is collapsed."""
-    source = _SKIPPED.sub(" ", page or "")
+    source = readable(page or "")
     out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = at = depth = 0
