@@ -1,7 +1,7 @@
 """Personal data and secrets: generators propose spans, boosted trees judge them, calibrated thresholds choose what to redact.
 
-Generators aim at recall: any address, phone-like, card-like, dotted-quad, account-like, national-number-like or key-like run of
-characters is proposed, and proposals may overlap. Every proposal is described by its format (length, digits, checksums,
+Generators aim at recall: any address, phone-like, card-like, dotted-quad, IPv6, account-like, national-number-like or key-like run of
+characters (16 or more, digits or not) is proposed in every text, and proposals may overlap. Every proposal is described by its format (length, digits, checksums,
 octets, entropy) and its context (neighbouring words). The trees are fitted here, on labelled proposals made from templates by a
 seeded generator; nothing of a corpus is used. A split of those rows calibrates the probabilities; another sets, per
 kind, the lowest threshold that reaches the wanted precision. Of overlapping choices the likeliest stays.
@@ -9,6 +9,7 @@ kind, the lowest threshold that reaches the wanted precision. Of overlapping cho
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted
-from .textkit import chunks, text_bytes
+from .textkit import chunks
 
 KINDS = ("email", "phone", "card", "ip", "account", "national", "secret")
 PRECISION = 0.98
@@ -34,6 +35,7 @@ _GENERATORS = {
     "national": re.compile(r"(?<![\w-])\d{3}[- ]\d{2}[- ]\d{4}(?![\w-])"),
     "secret": re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}(?![A-Za-z0-9_+/=-])"),
 }
+_IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]{0,4})(?!\w|:[\w:])")
 _LOCAL, _HOST = re.compile(r"[\w.+%'-]+$"), re.compile(r"[\w-]+(?:\.[\w-]+)*")
 _WORD = re.compile(r"\w+")
 _HINTS = {
@@ -43,11 +45,17 @@ _HINTS = {
     "ip": {"ip", "host", "server", "address", "client", "from"},
     "account": {"iban", "account", "bank", "transfer"},
     "national": {"ssn", "social", "security"},
-    "secret": {"token", "key", "secret", "password", "passwd", "api", "apikey", "bearer", "auth", "credential", "pwd"},
+    "secret": {"token", "key", "secret", "password", "passwd", "api", "apikey", "bearer", "auth", "credential", "pwd", "passphrase"},
 }
 _AGAINST = {"version", "v", "release", "build", "order", "invoice", "isbn", "issn", "page", "section", "figure", "fig", "commit", "sha", "md5", "checksum", "hash", "revision", "id", "ref", "part", "serial", "chapter", "doi", "date", "total", "population", "number", "no", "tracking"}
-_FLAGGED = np.zeros(256, bool)
-_FLAGGED[list(b"0123456789@")] = True
+_PASSWORD = {"password", "passwd", "pwd", "passphrase", "secret"}
+
+
+def _is_ipv6(s: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(s))
+    except ValueError:
+        return False
 
 
 def proposals(text: str) -> list[tuple[str, int, int]]:
@@ -61,9 +69,8 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
             out.append(("email", left.start(), right.end()))
         at = text.find("@", at + 1)
     for kind, pattern in _GENERATORS.items():
-        for m in pattern.finditer(text):
-            if kind != "secret" or any(c.isdigit() for c in m[0]):
-                out.append((kind, m.start(), m.end()))
+        out += [(kind, *m.span()) for m in pattern.finditer(text)]
+    out += [("ip", *m.span()) for m in _IPV6.finditer(text) if _is_ipv6(m[0])]
     return out
 
 
@@ -85,7 +92,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     digits = "".join(c for c in s if "0" <= c <= "9")
     before = [w.lower() for w in _WORD.findall(text[max(0, start - 48) : start])][-4:]
     after = [w.lower() for w in _WORD.findall(text[end : end + 32])][:2]
-    octets = [int(x) for x in s.split(".")] if kind == "ip" else []
+    octets = [int(x) for x in s.split(".")] if kind == "ip" and ":" not in s else []
     moved = s.replace(" ", "")
     iban = kind == "account" and len(moved) >= 15 and int("".join(str(int(c, 36)) for c in moved[4:] + moved[:4])) % 97 == 1
     host = s.rpartition("@")[2].split(".") if kind == "email" else [""]
@@ -116,11 +123,13 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(any(w.isdigit() for w in before[-1:] + after[:1])),
         float(text[start - 1 : start] in ("'", '"', "=", ":") and start > 0),
         float(text[end : end + 1] in ("%", "€", "$")),
+        float(s.count(":")),
+        float(any(w in _PASSWORD for w in before)),
     ]
 
 
-def _training_rows(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of proposals in made-up sentences: n of each kind and label."""
+def _training_texts(seed: int, n: int) -> Iterator[tuple[str, int, str, int, int]]:
+    """Kind, label, made-up sentence and where in it the value stands: n of each kind and label."""
     rng = np.random.default_rng(seed)
     digit = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     letters = lambda k, of="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(list(of), k))
@@ -140,46 +149,65 @@ def _training_rows(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         s = f"{country}{check:02d}{body}"
         return pick(s, " ".join(re.findall(".{1,4}", s)))
 
+    def ipv6() -> str:
+        groups = [pick(letters(4, "0123456789abcdef"), f"{rng.integers(0, 1 << 16):x}", "0") for _ in range(8)]
+        groups[0] = pick("2001", "2a02", "fe80", "fd" + letters(2, "0123456789abcdef"))
+        s = str(ipaddress.IPv6Address(":".join([*groups[:1], *pick(groups[1:], [*groups[1:3], *"0000", groups[7]][:7])])))
+        return pick(s, s, s.upper())
+
+    def phrase(least: int, joint: str) -> str:
+        s = word()
+        while len(s) < least:
+            s += joint + word()
+        return s
+
+    def title(s: str) -> str:
+        return "".join(x.capitalize() for x in s.split("-"))
+
     octets = lambda top, low=0: ".".join(str(x) for x in rng.integers(low, top, 4))
     good = {
         "email": lambda: f"{word()}{pick('', '.' + word(), digit(2), '.' + digit(2))}@{word()}{digit(int(rng.integers(0, 2)))}.{pick('example.com', 'com', 'org', 'net', 'de', 'co.uk')}",
         "phone": lambda: pick(f"+1 ({digit(3)}) 555-{digit(4)}", f"+{digit(2)} {digit(3)} {digit(7)}", f"({digit(3)}) {digit(3)}-{digit(4)}", f"{digit(3)}-{digit(3)}-{digit(4)}", f"+{digit(11)}", f"0{digit(2)} {digit(4)} {digit(4)}"),
         "card": lambda: card(True),
-        "ip": lambda: octets(256),
+        "ip": lambda: pick(octets(256), octets(256), ipv6()),
         "account": iban,
         "national": lambda: f"{rng.integers(1, 666):03d}-{digit(2)}-{digit(4)}",
-        "secret": lambda: pick(letters(40, "0123456789abcdef"), letters(32, "0123456789abcdef"), letters(24, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), "AKIA" + letters(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), "ghp_" + letters(36, "ABCDEFGHabcdefgh0123456789")),
+        "secret": lambda: pick(letters(40, "0123456789abcdef"), letters(32, "0123456789abcdef"), letters(24, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), "AKIA" + letters(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), "ghp_" + letters(36, "ABCDEFGHabcdefgh0123456789"), "AKIA" + letters(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), letters(24, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), phrase(20, pick("-", "_", ""))),
     }
     bad = {
         "email": lambda: pick(f"{word()}@{word()}", f"{word()}@{digit(3)}", f"{digit(2)}@{digit(2)}.{digit(2)}", f"{word()}@{word()}.{digit(2)}"),
         "phone": lambda: pick(f"{rng.integers(1900, 2030)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}", f"{rng.integers(1900, 2030)}-{rng.integers(1900, 2030)}", digit(8), f"{digit(1)}.{digit(2)}.{digit(4)}", digit(13), f"{digit(4)} {digit(4)} {digit(4)}", digit(7), octets(256), f"978-{digit(1)}-{digit(4)}-{digit(4)}-{digit(1)}"),
         "card": lambda: pick(card(False), card(False), digit(14)),
-        "ip": lambda: pick(octets(1000, 200), octets(10), octets(20)),
+        "ip": lambda: pick(octets(1000, 200), octets(10), octets(20), f"{letters(int(rng.integers(1, 5)), 'abcdef')}::{letters(int(rng.integers(1, 5)), 'abcdef')}", "::"),
         "account": lambda: f"{letters(2, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')}{digit(2)} {letters(4, 'ABCDEF0123456789')} {letters(4, 'ABCDEF0123456789')} {digit(4)}",
         "national": lambda: f"{digit(3)}-{digit(2)}-{digit(4)}",
-        "secret": lambda: pick(f"{word()}-{word()}-{word()}-{digit(4)}", f"{word()}_{word()}_{word()}_{digit(2)}", letters(40, "0123456789abcdef"), digit(20), f"{word()}/{word()}/{word()}/{digit(4)}", "=" * 12 + digit(2) + "=" * 12),
+        "secret": lambda: pick(f"{word()}-{word()}-{word()}-{digit(4)}", f"{word()}_{word()}_{word()}_{digit(2)}", letters(40, "0123456789abcdef"), digit(20), f"{word()}/{word()}/{word()}/{digit(4)}", "=" * 12 + digit(2) + "=" * 12, phrase(16, "-"), phrase(16, "_"), phrase(16, "/"), phrase(16, ""), title(phrase(16, "-")), phrase(16, "").upper(), pick("-", "=", "_", "+") * int(rng.integers(16, 80))),
     }
     needs_against = {"ip", "national"}  # right format, but named as something else
-    x, y = [], []
     for kind in KINDS:
         for label, make in ((1, good[kind]), (0, bad[kind])):
-            made = 0
-            while made < n:
+            for _ in range(n):
                 s = make()
                 lead = [word() for _ in range(int(rng.integers(2, 6)))]
                 if label and (rng.random() < 0.35 or (kind == "secret" and (rng.random() < 0.9 or s[:4] not in ("AKIA", "ghp_")))):
-                    lead.append(pick(*sorted(_HINTS[kind])) + pick("", ":", " =", " is"))
-                elif not label and (kind in needs_against and not (kind == "ip" and max(map(int, s.split("."))) > 255) or rng.random() < 0.3):
+                    of = _PASSWORD if kind == "secret" and s.islower() and not re.search(r"\d", s) else _HINTS[kind]
+                    lead.append(pick(*sorted(of)) + pick("", ":", " =", " is"))
+                elif not label and (kind in needs_against and ":" not in s and not (kind == "ip" and max(map(int, s.split("."))) > 255) or rng.random() < 0.3):
                     lead.append(pick(*sorted(_AGAINST)) + pick("", "", ":"))
                 quote = pick("", '"') if kind == "secret" else ""
-                text = f"{' '.join(lead)} {quote}{s}{quote}{pick('', '', '.', ',')} {word()} {word()}"
-                at = text.index(s)
-                for k, a, b in proposals(text):
-                    if k == kind and a <= at + 1 and b >= at + len(s) - 1:
-                        x.append(features(text, k, a, b))
-                        y.append(label)
-                        break
-                made += 1
+                before = f"{' '.join(lead)} {quote}"
+                yield kind, label, f"{before}{s}{quote}{pick('', '', '.', ',')} {word()} {word()}", len(before), len(before) + len(s)
+
+
+def _training_rows(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of those of the texts' values that are proposed."""
+    x, y = [], []
+    for kind, label, text, start, end in _training_texts(seed, n):
+        for k, a, b in proposals(text):
+            if k == kind and a <= start + 1 and b >= end - 1:
+                x.append(features(text, k, a, b))
+                y.append(label)
+                break
     return np.array(x), np.array(y, float)
 
 
@@ -215,13 +243,6 @@ def judged(texts: list[str], judge: tuple[Boosted, dict[str, float]]) -> list[li
     return out
 
 
-def _flagged(texts: pa.Array) -> np.ndarray:
-    """Which texts hold a digit or an @; no generator proposes anything in others."""
-    raw, offsets = text_bytes(texts)
-    seen = np.r_[0, np.cumsum(_FLAGGED[raw])]
-    return np.flatnonzero(seen[offsets[1:]] > seen[offsets[:-1]])
-
-
 def spans(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """(doc_id, kind, start, end, probability) of each span of docs (doc_id, text) to redact; offsets in characters.
 
@@ -231,8 +252,7 @@ def spans(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches):
-            some = _flagged(piece.column("text"))
-            texts, ids = piece.column("text").take(pa.array(some)).to_pylist(), piece.column("doc_id").take(pa.array(some)).to_pylist()
+            texts, ids = [t or "" for t in piece.column("text").to_pylist()], piece.column("doc_id").to_pylist()
             rows = [(i, *s) for i, chosen in zip(ids, judged(texts, judge)) for s in chosen]
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64()))], ["doc_id", "kind", "start", "end", "probability"])
@@ -247,16 +267,15 @@ def redacted(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches):
-            some = _flagged(piece.column("text"))
-            texts = piece.column("text").take(pa.array(some)).to_pylist()
+            texts = [t or "" for t in piece.column("text").to_pylist()]
             changed = {}
-            for k, t, chosen in zip(some, texts, judged(texts, judge)):
+            for k, (t, chosen) in enumerate(zip(texts, judged(texts, judge))):
                 if chosen:
                     parts, at = [], 0
                     for kind, a, b, _ in chosen:
                         parts += [t[at:a], f"[{kind.upper()}]"]
                         at = b
-                    changed[int(k)] = "".join([*parts, t[at:]])
+                    changed[k] = "".join([*parts, t[at:]])
             if changed:
                 columns = list(piece.columns)
                 mask = np.zeros(piece.num_rows, bool)
