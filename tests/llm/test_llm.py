@@ -72,6 +72,19 @@ def test_quality_against_brute_force(spark):
         assert got[k].keep == (covered / max(1, len(split(t))) <= 0.5 and longest <= 9)
 
 
+def test_quality_of_short_repeats_at_production_parameters(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(12))
+    line = " ".join(word() for _ in range(12))
+    prose = [f"{k} " + " ".join(word() for _ in range(12)) for k in range(1000)]
+    docs = [(1, "".join(f"{line}\n{k}\n" for k in range(1000))), (2, " ".join(f"{line} name{k}" for k in range(1000))), (3, "".join(f"read more\n{word()}\n" for _ in range(50))), (4, "\n".join(prose)), (5, f"one two three {word()} one two three {word()}"), (6, " ".join(f"{' '.join(line.split()[:5])} n{k}" for k in range(50)))]
+    got = {r.doc_id: r for r in repetition.quality(spark.createDataFrame(docs, DOC)).collect()}
+    assert [k for k, r in got.items() if r.keep] == [4, 5]
+    assert [got[k].longest_any for k in (1, 2, 3, 4, 5, 6)] == [12, 12, 2, 0, 3, 5]
+    assert got[1].line_fraction == 12 / 13 and got[2].short_fractions == [12 / 13, 12 / 13] and got[3].line_fraction == 2 / 3
+    assert [r.doc_id for r in repetition.kept(spark.createDataFrame(docs, DOC)).collect()] == [4, 5]
+
+
 def test_quality_odd_rows(spark):
     got = repetition.quality(odd(spark)).collect()
     assert len(got) == len(odd_rows()) and sum(r.doc_id == 4 for r in got) == 2
