@@ -352,3 +352,11 @@ def test_warc_source(spark, tmp_path, compressed):
 def test_json_of_rules_is_plain(spark):
     rules = robots.rules_of(spark.createDataFrame([("o", 200, ROBOTS)], "origin string, code int, body string"), 0)
     assert json.loads(rules.select(F.to_json("rules")).first()[0])[0] == {"allowed": False, "prefix": "/private", "size": 8}
+
+
+def test_language_of_prose_after_a_long_numeric_heading():
+    from trawlnet.functions.language import detect
+
+    prose = "the people who live in this house have been there for many years and they do not want to move"
+    assert detect("0123 456 | 789 -- " * 200 + prose) == detect(prose) == "en"
+    assert detect("12 345 " * 200 + "the people") == ""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
@@ -32,7 +33,7 @@ def _profiles() -> dict[str, dict[str, float]]:
 
 def detect(text: str | None, least_margin: float = 0.02, least_letters: int = 20) -> str:
     """The likeliest language, or '' if the text is too short or two are about as likely."""
-    if not text or sum(c.isalpha() for c in text[:200]) < least_letters:
+    if not text or sum(1 for _ in islice(filter(str.isalpha, text), least_letters)) < least_letters:
         return ""
     counts = trigrams(text)
     norm = np.sqrt(sum(v * v for v in counts.values())) or 1.0
