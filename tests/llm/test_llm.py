@@ -410,6 +410,14 @@ def test_matches_odd_rows(spark):
     assert decontaminate.clean(odd(spark).limit(0), items).count() == 0
 
 
+def test_clean_counts_proximity(spark):
+    passage = [f"w{k}" for k in range(14)]
+    swapped = [passage[k ^ 1] for k in range(14)]
+    docs = [(1, " ".join(["a", *passage, "b"])), (2, " ".join(["a", *swapped, "b"])), (3, "a b " + " ".join(passage[:6]))]
+    left = decontaminate.clean(spark.createDataFrame(docs, DOC), spark.createDataFrame([(1, " ".join(passage))], "item_id bigint, text string"))
+    assert [r.doc_id for r in left.collect()] == [3]
+
+
 # 8 toxicity
 
 

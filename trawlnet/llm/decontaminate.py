@@ -199,5 +199,8 @@ def _one_pass(docs: DataFrame, test: list, phrase: int, near_phrase: int, slop:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **settings: int) -> DataFrame:
-    """docs without those that hold an exact phrase of the benchmark; all columns stay."""
-    return without(docs, matches(docs, benchmark, **settings).filter("kind = 'exact'").select("doc_id"))
+    """docs without those that matches() reports, exact or by proximity; all columns stay.
+
+    Rows go by doc_id: all rows of a matched doc_id go, whatever their texts, and rows of null doc_id stay even where they match.
+    """
+    return without(docs, matches(docs, benchmark, **settings).select("doc_id"))
