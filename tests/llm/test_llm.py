@@ -119,40 +119,79 @@ def closure(pairs):
     return {x: find(x) for x in list(root)}
 
 
+def brute_links(docs, n, threshold):
+    want, sets = brute_pairs(docs, n, threshold)
+    root, out = closure(want), set()
+    for k in root:
+        out.add((k, root[k], min(d for d in sets if sets[d] == sets[k]), sum(k in p for p in want)))
+    return out
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
-def test_near_pairs_against_brute_force(spark, threshold):
+def test_links_and_pairs_against_brute_force(spark, threshold, monkeypatch):
     docs = random_docs(3, 80)
+    docs += [(1000 + k, docs[0][1] if k % 3 else docs[3][1]) for k in range(40)] + [(2000 - k, docs[1][1] + f" x{k // 2}") for k in range(9)]
+    table = spark.createDataFrame(docs + docs[:9], DOC)
+    got = [tuple(r) for r in jaccard_join.links(table, 3, threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_links(docs, 3, threshold)
     want, sets = brute_pairs(docs, 3, threshold)
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard_join.near_pairs(spark.createDataFrame(docs, DOC), 3, threshold).collect()}
-    assert set(got) <= want
-    for (a, b), j in got.items():
-        assert j == pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b]))
-    assert closure(got) == closure(want)
     stands = {k: min(d for d in sets if sets[d] == s) for k, s in sets.items()}
-    assert {(a, b) for a, b in want if a == stands[a] and b == stands[b]} <= set(got)
-    groups = {r.doc_id: r.group_id for r in jaccard_join.groups(jaccard_join.near_pairs(spark.createDataFrame(docs, DOC), 3, threshold)).collect()}
-    assert groups == closure(want)
+    pairs = {(r.doc_a, r.doc_b): (r.overlap, r.jaccard) for r in jaccard_join.near_pairs(table, 3, threshold).collect()}
+    assert set(pairs) == {(a, b) for a, b in want if stands[a] == a and stands[b] == b and sets[a] != sets[b]}
+    assert all(o == len(sets[a] & sets[b]) and j == pytest.approx(o / len(sets[a] | sets[b])) for (a, b), (o, j) in pairs.items())
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.8])
-def test_near_pairs_are_all_pairs(spark, threshold, monkeypatch):
-    docs = random_docs(3, 80)
-    docs += [(1000 + k, docs[0][1] if k % 3 else docs[3][1]) for k in range(40)] + [(2000 - k, docs[1][1] + " x") for k in range(9)]
-    want, _ = brute_pairs(docs, 3, threshold)
-    monkeypatch.setattr(jaccard_join, "_MEMBERS", 7)  # so that records have several blocks here too
-    got = [(r.doc_a, r.doc_b) for r in jaccard_join.near_pairs(spark.createDataFrame(docs + docs[:9], DOC), 3, threshold).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
-    links = {(r.doc_a, r.doc_b) for r in jaccard_join.linking_pairs(spark.createDataFrame(docs, DOC), 3, threshold).collect()}
-    assert links <= want and closure(links) == closure(want)
+def run_arrow(spark, make, batches):
+    """What a function of batches gives for batches, in this process."""
+    return list(make[0](iter(batches)))
+
+
+def test_candidates_of_a_gram_of_very_many_records(spark, monkeypatch):
+    """Cut into blocks, a gram's records are still listed in all pairs."""
+    docs = random_docs(11, 60)
+    table = spark.createDataFrame(docs, DOC)
+    want = brute_links(docs, 3, 0.3)
+    monkeypatch.setattr(jaccard_join, "_BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "_SHORT", 3)
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    records = [(k, np.unique(rng.integers(0, 60, 25)).astype(np.uint64) << np.uint64(20)) for k in range(50)]
+    df = {g: sum(g in r for _, r in records) for g in np.unique(np.concatenate([r for _, r in records]))}
+    rows = []
+    for k, r in records:
+        r = np.array(sorted(r, key=lambda g: (df[g], g)), np.uint64)
+        rows.append({"record": k, "size": len(r), "grams": jaccard_join._named(r), "df": common.packed(np.array([df[g] for g in r]))})
+    levels, n = np.unique(list(df.values()), return_counts=True)
+    sent = run_arrow(spark, jaccard_join._prefixes(levels.astype(np.uint64), n.astype(float), 5, 0.4), [pa.RecordBatch.from_pylist(rows)])
+    pairs = set()
+    for b in range(5):
+        for out in run_arrow(spark, jaccard_join._candidates(0.4), [x for x in sent if x.column("bucket")[0].as_py() == b]):
+            pairs |= {(r["doc_a"], r["doc_b"]) for r in out.to_pylist()}
+    sets = {k: set(r.tolist()) for k, r in records}
+    truly = {(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.4 * len(sets[a] | sets[b])}
+    assert truly and truly <= pairs and want == {tuple(r) for r in jaccard_join.links(table, 3, 0.3).collect()}
 
 
 def test_near_duplicates_odd_rows(spark):
-    got = jaccard_join.near_pairs(odd(spark))
-    assert [(r.doc_a, r.doc_b, r.jaccard) for r in got.collect()] == [(4, 5, 1.0)]
+    assert sorted(tuple(r) for r in jaccard_join.links(odd(spark)).collect()) == [(4, 4, 4, 1), (5, 4, 4, 1)]
     left = jaccard_join.one_per_group(odd(spark))
     assert left.columns == odd(spark).columns
-    assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == [1, 2, 3, 4, 4, 6, 7, 8]
-    assert jaccard_join.near_pairs(odd(spark).limit(0)).count() == 0
+    assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == [1, 2, 3, 4, 6, 7, 8]
+    assert all(r.doc_id is not None for r in left.collect())  # the row of null doc_id is a copy of 4
+    assert jaccard_join.links(odd(spark).limit(0)).count() == 0 == jaccard_join.one_per_group(odd(spark).limit(0)).count() == jaccard_join.near_pairs(odd(spark).limit(0)).count()
+
+
+def test_near_duplicates_are_judged_by_row(spark):
+    """Two texts under one doc_id don't go together; of null doc_ids and repeated rows one stays; any column names."""
+    text = [" ".join(f"{c}{k}" for k in range(30)) for c in "abc"]
+    rows = [(1, text[0], "p"), (5, text[0] + " x", "p"), (5, text[1], "p"), (None, text[2], "p"), (None, text[2], "q"), (None, text[2], "q"), (7, text[1] + " y", None), (8, None, "r"), (8, None, "r")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __dropped string")
+    got = sorted(jaccard_join.one_per_group(docs).collect(), key=str)
+    kept = {(r.doc_id, r.text) for r in got}
+    assert kept == {(1, text[0]), (5, text[1]), (None, text[2]), (8, None)} and len(got) == 5
+    same = spark.createDataFrame([(3, text[0], "p")] * 4, docs.schema)
+    assert [r.doc_id for r in jaccard_join.one_per_group(same).collect()] == [3]
 
 
 # 3 HTML extraction
@@ -405,11 +444,35 @@ def test_matches_odd_rows(spark):
     got = [(r.doc_id, r.item_id) for r in decontaminate.matches(odd(spark), items).filter("kind = 'exact'").collect()]
     assert sorted(map(str, got)) == sorted(map(str, [(None, 1), (4, 1), (4, 1), (5, 1), (None, None), (4, None), (4, None), (5, None)]))
     left = decontaminate.clean(odd(spark), items)
-    assert left.columns == odd(spark).columns and {r.doc_id for r in left.collect()} == {None, 1, 2, 3, 6, 7, 8}
+    assert left.columns == odd(spark).columns and {r.doc_id for r in left.collect()} == {1, 2, 3, 6, 7, 8}
     assert decontaminate.matches(odd(spark), items.limit(0)).count() == 0
     assert decontaminate.clean(odd(spark).limit(0), items).count() == 0
 
 
+def test_matches_name_large_ids_beside_nulls(spark):
+    passage = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(2**60 + 1, passage), (None, "x " + passage), (-(2**63), passage), (2**60 + 1, "another text"), (4, passage + " twice")], DOC).coalesce(1)
+    items = spark.createDataFrame([(2**61 + 1, passage), (None, passage)], "item_id bigint, text string").coalesce(1)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()}
+    assert got == set(itertools.product([2**60 + 1, None, -(2**63), 4], [2**61 + 1, None]))
+    assert [r.text for r in decontaminate.clean(docs, items).collect()] == ["another text"]
+
+
+def test_matches_in_blocks_of_the_test_set(spark, monkeypatch):
+    items = spark.createDataFrame([(k, " ".join(f"v{k}w{j}" for j in range(10))) for k in range(30)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(k, "x " + " ".join(f"v{k}w{j}" for j in range(10))) for k in range(40)], DOC)
+    want = {tuple(r) for r in decontaminate.matches(docs, items).collect()}
+    monkeypatch.setattr(decontaminate, "TEST_WORDS_AT_ONCE", 100)
+    assert {tuple(r) for r in decontaminate.matches(docs, items).collect()} == want and len(want) == 60
+
+
+def test_index_holds_every_token(spark):
+    docs = [(k, t) for k, t in random_docs(2, 9)]
+    rows = decontaminate.index(spark.createDataFrame(docs, DOC)).collect()
+    assert sum(len(common.unpacked(r.places)) for r in rows) == sum(len(fold(t)) for _, t in docs)
+    assert sum(len(common.unpacked(r.counts)) for r in rows) >= len({w for _, t in docs for w in fold(t)})
+
+
 def test_clean_counts_proximity(spark):
     passage = [f"w{k}" for k in range(14)]
     swapped = [passage[k ^ 1] for k in range(14)]

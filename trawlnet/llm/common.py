@@ -8,42 +8,52 @@ input is cut finer by the setting that sizes every other exchange.
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textkit import release_memory
 
 #: Values that a worker gathers before it sends them to their buckets.
 FLUSH = 1 << 19
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
+    """The shared folder named by spark.checkpoint.dir; on one machine, where that is unset, as in tests, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     have = spark.sparkContext.getCheckpointDir()
     if named and not have:
         spark.sparkContext.setCheckpointDir(named)
-    elif not named and not have:
+    elif not have:
+        if not re.fullmatch(r"local(\[[\w*,]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trawlnet-"))
     return spark.sparkContext.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the shared folder, without the lineage that made them."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """DataFrames made inside give up their shuffle files as soon as they have been run."""
+    before = spark.conf.get(_FREED, "false")
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREED, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of rounds that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once and kept in the shared folder, without the lineage and the shuffle files that made them."""
+    ensure_checkpoint_dir(df.sparkSession)
+    with freeing(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def buckets(spark: SparkSession) -> int:
@@ -148,12 +158,20 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(before, lengths) + np.repeat(starts, lengths)
 
 
+def row_key(df: DataFrame) -> Column:
+    """A 128-bit name of a row by all its columns: rows of one name are taken for repeated rows."""
+    own = [F.col(f"`{c}`") for c in df.columns]
+    nulls = F.concat_ws("", *(F.when(c.isNull(), "1").otherwise("0") for c in own))
+    return F.struct(F.xxhash64(*own, nulls).alias("a"), F.xxhash64(F.lit(1), nulls, *own).alias("b"))
 
 
-
-
-def without(docs: DataFrame, ids: DataFrame, limit: int = 4_000_000) -> DataFrame:
-    """docs whose doc_id isn't among ids (one column). Up to `limit` ids (32 MB) go to every executor and the texts stay where they are; more are joined by a shuffle."""
-    dropped = checkpointed(ids.toDF("__dropped").filter("__dropped is not null").distinct())
-    few = dropped.limit(limit + 1).count() <= limit
-    return docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id").cast("bigint") == F.col("__dropped"), "left_anti")
+def only(docs: DataFrame, dropped: DataFrame, limit: int = 2_000_000) -> DataFrame:
+    """docs without the rows whose row_key is in `dropped` (columns a and b). Up to `limit` keys (32 MB) go to every executor and the texts stay where they are; more are joined by a shuffle."""
+    gone = checkpointed(dropped.select("a", "b").distinct())
+    few = gone.limit(limit + 1).count() <= limit
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    keyed = docs.select("*", row_key(docs).alias(name))
+    gone = gone.select(F.struct("a", "b").alias(name))
+    return keyed.join(F.broadcast(gone) if few else gone, name, "left_anti").select(*(f"`{c}`" for c in docs.columns))

@@ -1,14 +1,15 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
 A document is the set of its word n-grams (a text of fewer words is one gram). Documents of equal sets are one
-*record*, named by a hash of the set. The global order of grams is by the number of records that hold them, rarest
-first. It is cut into fragments; each fragment sees only its segment of every record, counts the overlap there of
-the candidate pairs, and the partial counts are summed per pair.
+*record*, named by a hash of the set; the join is between records, so copies cost no pairs. The global order of grams is by the number of
+records that hold them, rarest first. It is cut into fragments; each fragment sees only its segment of every record, counts the overlap there of
+the candidate pairs, and the partial counts are summed per pair. Grams are named by 56 bits.
 
 1. Grams meet in buckets, which count records per gram. A gram of one record can't be shared: it only counts for sizes.
 2. A record of which fewer than `threshold` of all grams are shared has no partner and leaves.
 3. Two records at or above the threshold share one of the first n - ceil(threshold * n) + 1 grams of each. The
-   fragments list such pairs, with the filter by length; every pair found is kept.
+   fragments list such pairs, with the filters by length and by place: what follows the first shared gram must suffice for the
+   threshold. A gram of very many records is cut into blocks of records, and each pair of blocks is listed by a fragment of its own.
 4. Fragments count the pairs' overlaps; sum and exact Jaccard test per pair.
 """
 
@@ -18,19 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FLUSH, blob, bucket_of, buckets, checkpointed, column, exchange, ranges, runs, split, without
+from .common import FLUSH, blob, bucket_of, buckets, checkpointed, column, exchange, only, packed, ranges, row_key, runs, split, unpacked
 from .textkit import Words, chunks, mix, window_hashes, window_mask, words
 
 NGRAM = 3
 THRESHOLD = 0.5
-PAIRS = "doc_a bigint, doc_b bigint, overlap bigint, jaccard double"
+LINKS = "doc_id bigint, class_id bigint, copy_of bigint, n_links bigint"
 _SLACK = 1e-9
-#: Documents of one record that a row of members holds; a larger record has several rows.
-_MEMBERS = 512
+#: Records of a gram that one fragment lists pairs of; those of a gram of more are cut into blocks.
+_BLOCK = 1 << 14
 
 
 def ngram_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,63 +51,84 @@ def ngram_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return owners, grams
 
 
+def _named(grams: np.ndarray) -> bytes:
+    return packed(grams >> np.uint64(8))
+
+
+def _grams(data: bytes) -> np.ndarray:
+    return unpacked(data) << np.uint64(8)
+
+
+_META = np.dtype([("record", np.int64), ("size", np.int64), ("null", np.int64), ("doc", np.int64), ("a", np.int64), ("b", np.int64)])
+_PACKED = "bucket int, records binary, counts binary, grams binary, sizes binary, meta binary"
+
+
+def _row(bucket: int, **columns: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), **{k: pa.array([columns.get(k, b"")], pa.binary()) for k in ("records", "counts", "grams", "sizes", "meta")}})
+
+
 def _pack(n_gram: int, n: int):
-    schema = pa.schema([("bucket", pa.int32()), ("records", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()), ("meta", pa.binary())])
+    """Grams of the records of a task, each record once, in buckets of grams; sizes in buckets of records; meta of every row, in any bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         meta: list[np.ndarray] = []
+        met = np.zeros(0, np.uint64)
         size = 0
 
-        def flush() -> pa.RecordBatch:
-            cols: dict[str, list] = {f.name: [] for f in schema}
+        def flush() -> Iterator[pa.RecordBatch]:
             records, grams = (np.concatenate(x) for x in zip(*held))
             for b, (r, g) in split(bucket_of(grams, n), n, records, grams):
                 starts, lengths = runs(r)
-                for name, value in zip(cols, (b, blob(r[starts]), blob(lengths.astype(np.uint32)), blob(g), b"")):
-                    cols[name].append(value)
+                yield _row(b, records=blob(r[starts]), counts=packed(lengths), grams=_named(g))
+            starts, lengths = runs(records)
+            for b, (r, k) in split(bucket_of(records[starts], n), n, records[starts], lengths):
+                yield _row(b, sizes=blob(np.stack([r, k.astype(np.uint64)], 1)))
             m = np.concatenate(meta)
-            for b, (x,) in split(bucket_of(m[:, 0], n), n, m):
-                for name, value in zip(cols, (b, b"", b"", b"", blob(x))):
-                    cols[name].append(value)
-            return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
+            for b, (x,) in split(bucket_of(m["a"].view(np.uint64), n), n, m):
+                yield _row(b, meta=blob(x))
 
         for piece in chunks(batches):
-            ids = piece.column("doc_id")
-            if ids.null_count:
-                piece = piece.filter(ids.is_valid())
-                ids = piece.column("doc_id")
             owners, grams = ngram_sets(words(piece.column("text")), n_gram)
             if not len(grams):
                 continue
+            grams = grams >> np.uint64(8) << np.uint64(8)
             starts, lengths = runs(owners)
             record = mix(np.add.reduceat(mix(grams), starts) + lengths.astype(np.uint64))
-            meta.append(np.stack([record, lengths.astype(np.uint64), ids.to_numpy()[owners[starts]].view(np.uint64)], 1))
-            _, first = np.unique(record, return_index=True)
+            ids = piece.column("doc_id").take(pa.array(owners[starts]))
+            m = np.zeros(len(record), _META)
+            m["record"], m["size"], m["null"], m["doc"] = record.view(np.int64), lengths, ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+            m["a"], m["b"] = (piece.column(c).to_numpy()[owners[starts]] for c in ("a", "b"))
+            meta.append(m)
+            names, first = np.unique(record, return_index=True)
+            first = first[~np.isin(names, met)]
+            met = np.union1d(met, names)
             take = ranges(starts[first], lengths[first])
             held.append((np.repeat(record[first], lengths[first]), grams[take]))
             size += len(take)
             if size >= FLUSH:
-                yield flush()
+                yield from flush()
                 held, meta, size = [], [], 0
         if meta:
-            yield flush()
+            yield from flush()
 
-    return run, "bucket int, records binary, counts binary, grams binary, meta binary"
+    return run, _PACKED
 
 
 def _shared(n: int):
     """Of a bucket's grams those of two records or more, with how many, sent to the buckets of their records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records, grams = [], []
+        records, grams, bucket = [], [], -1
         for batch in batches:
-            if (m := column(batch, "meta", np.uint64)).size:
-                m = m.reshape(-1, 3)
-                b = int(bucket_of(m[:1, 0], n)[0])
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "records": [b""], "grams": [b""], "df": [b""], "meta": [blob(m)]})
-            records.append(np.repeat(column(batch, "records", np.uint64), column(batch, "counts", np.uint32)))
-            grams.append(column(batch, "grams", np.uint64).copy())
+            for k in range(batch.num_rows):
+                bucket = batch.column("bucket")[k].as_py()
+                get = lambda c: batch.column(c)[k].as_py()  # noqa: B023, E731
+                if get("grams"):
+                    records.append(np.repeat(np.frombuffer(get("records"), np.uint64), unpacked(get("counts")).astype(np.int64)))
+                    grams.append(_grams(get("grams")))
+                else:
+                    yield _row(bucket, sizes=get("sizes"), meta=get("meta"))
         if not grams:
             return
         r, g = np.concatenate(records), np.concatenate(grams)
@@ -126,57 +147,52 @@ def _shared(n: int):
         df = np.repeat(lengths, lengths)
         r, g, df = r[df > 1], g[df > 1], df[df > 1]
         for b, (x, y, z) in split(bucket_of(r, n), n, r, g, df):
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "records": [blob(x)], "grams": [blob(y)], "df": [blob(z.astype(np.uint32))], "meta": [b""]})
+            order = np.argsort(x, kind="stable")
+            x, y, z = x[order], y[order], z[order]
+            starts, lengths = runs(x)
+            yield _row(b, records=blob(x[starts]), counts=packed(lengths), grams=_named(y), sizes=packed(z))
 
-    return run, "bucket int, records binary, grams binary, df binary, meta binary"
+    return run, _PACKED
 
 
 def _survivors(threshold: float):
-    """Rows of members (the doc_ids of a record of several, rising, by blocks) and records that may have a partner, grams in global order; doc_a is the record's least doc_id."""
-    schema = pa.schema([("doc_a", pa.int64()), ("size", pa.int64()), ("block", pa.int32()), ("members", pa.list_(pa.int64())), ("grams", pa.binary()), ("df", pa.binary())])
+    """Rows of documents (record, doc_id, a, b) and of records that may have a partner (record, size, grams, df), grams in global order."""
+    schema = pa.schema([("record", pa.int64()), ("size", pa.int64()), ("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("grams", pa.binary()), ("df", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list[np.ndarray]] = {"records": [], "grams": [], "df": [], "meta": []}
+        sizes, parts = [np.zeros((0, 2), np.uint64)], []
         for batch in batches:
-            for k, dtype in (("records", np.uint64), ("grams", np.uint64), ("df", np.uint32), ("meta", np.uint64)):
-                parts[k].append(column(batch, k, dtype).copy())
-        if not parts["meta"]:
+            for k in range(batch.num_rows):
+                get = lambda c: batch.column(c)[k].as_py()  # noqa: B023, E731
+                if data := get("meta"):
+                    m = np.frombuffer(data, _META)
+                    none = pa.nulls(len(m), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(m["record"]), pa.array(m["size"]), pa.array(m["doc"], mask=m["null"] > 0), pa.array(m["a"]), pa.array(m["b"]), none, none], schema=schema)
+                elif data := get("grams"):
+                    parts.append((np.repeat(np.frombuffer(get("records"), np.uint64), unpacked(get("counts")).astype(np.int64)), _grams(data), unpacked(get("sizes"))))
+                else:
+                    sizes.append(np.frombuffer(get("sizes"), np.uint64).reshape(-1, 2))
+        if not parts:
             return
-        r, g, df, m = (np.concatenate(x) for x in parts.values())
-        m = m.reshape(-1, 3)
-        order = np.lexsort((m[:, 2].view(np.int64), m[:, 0]))
-        m = m[order]
-        starts, lengths = runs(m[:, 0])
-        names, sizes, least = m[starts, 0], m[starts, 1].astype(np.int64), m[starts, 2].view(np.int64)
-        fresh = np.ones(len(m), bool)
-        fresh[1:] = (m[1:, 0] != m[:-1, 0]) | (m[1:, 2] != m[:-1, 2])
-        docs = m[fresh, 2].view(np.int64)
-        firsts, counts = runs(m[fresh, 0])
-        cols: list[list] = [[], [], [], []]
-        for k in np.flatnonzero(counts > 1):
-            for block, at in enumerate(range(firsts[k], firsts[k] + counts[k], _MEMBERS)):
-                for c, v in zip(cols, (least[k], sizes[k], block, docs[at : min(at + _MEMBERS, firsts[k] + counts[k])])):
-                    c.append(v)
-        if cols[0]:
-            none = pa.nulls(len(cols[0]), pa.binary())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(cols, schema)), none, none], schema=schema)
+        r, g, df = (np.concatenate(x) for x in zip(*parts))
+        m = np.concatenate(sizes)
+        names, first = np.unique(m[:, 0], return_index=True)
+        of = m[first, 1].astype(np.int64)
         order = np.lexsort((g, df, r))
         r, g, df = r[order], g[order], df[order]
         starts, lengths = runs(r)
-        at = np.searchsorted(names, r[starts]) if len(starts) else starts
-        ok = lengths >= np.ceil(threshold * sizes[at] - _SLACK)
-        for k in np.flatnonzero(ok):
+        size = of[np.searchsorted(names, r[starts])]
+        none = pa.nulls(1, pa.int64())
+        for k in np.flatnonzero(lengths >= np.ceil(threshold * size - _SLACK)):
             lo, hi = starts[k], starts[k] + lengths[k]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([least[at[k]]]), pa.array([sizes[at[k]]]), pa.nulls(1, pa.int32()), pa.nulls(1, schema.field("members").type), pa.array([blob(g[lo:hi])]), pa.array([blob(df[lo:hi])])], schema=schema
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(r[lo : lo + 1].view(np.int64)), pa.array(size[k : k + 1]), none, none, none, pa.array([_named(g[lo:hi])], pa.binary()), pa.array([packed(df[lo:hi])], pa.binary())], schema=schema)
 
-    return run, "doc_a bigint, size bigint, block int, members array<bigint>, grams binary, df binary"
+    return run, "record bigint, size bigint, doc_id bigint, a bigint, b bigint, grams binary, df binary"
 
 
 def _df_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        value, count = np.unique(column(batch, "df", np.uint32), return_counts=True)
+        value, count = np.unique(np.concatenate([unpacked(x) for x in batch.column("df").to_pylist()] or [np.zeros(0, np.uint64)]), return_counts=True)
         yield pa.RecordBatch.from_pydict({"df": pa.array(value, pa.int64()), "n": pa.array(count, pa.int64())})
 
 
@@ -191,44 +207,58 @@ def fragment_of(grams: np.ndarray, df: np.ndarray, levels: np.ndarray, counts: n
     return np.minimum((place * (fragments / counts.sum())).astype(np.int64), fragments - 1)
 
 
-def _segments(levels: np.ndarray, counts: np.ndarray, fragments: int, threshold: float, prefix_only: bool):
-    """Every record cut into its segments; with prefix_only just the grams that a partner must share one of."""
+def _prefixes(levels: np.ndarray, counts: np.ndarray, fragments: int, threshold: float):
+    """Of every record the grams that a partner must share one of, each with the grams from it on, cut into fragments; a gram of more than _BLOCK records goes to a fragment per pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         total = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            frag, docs, sizes, grams = (np.concatenate(x) for x in zip(*held))
-            for b, (d, s, g) in split(frag, fragments, docs, sizes, grams):
+            frag, docs, sizes, grams, rest = (np.concatenate(x) for x in zip(*held))
+            for b, (d, s, g, m) in split(frag, fragments, docs, sizes, grams, rest):
                 starts, lengths = runs(d)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "docs": [blob(d[starts])], "sizes": [blob(s[starts])], "counts": [blob(lengths.astype(np.uint32))], "grams": [blob(g)]})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "docs": [blob(d[starts])], "sizes": [packed(s[starts])], "counts": [packed(lengths)], "grams": [_named(g)], "rest": [packed(m)]})
 
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                g, df = column(row, "grams", np.uint64), column(row, "df", np.uint32)
-                doc, size = batch.column("doc_a")[k].as_py(), batch.column("size")[k].as_py()
-                if prefix_only:
-                    first = size - int(np.ceil(threshold * size - _SLACK)) + 1
-                    g, df = g[: max(0, first - (size - len(g)))], df[: max(0, first - (size - len(g)))]
-                if len(g):
-                    held.append((fragment_of(g, df, levels, counts, fragments), np.full(len(g), doc), np.full(len(g), size, np.int64), g))
-                    total += len(g)
+                g, df = _grams(batch.column("grams")[k].as_py()), unpacked(batch.column("df")[k].as_py())
+                doc, size = batch.column("record")[k].as_py(), batch.column("size")[k].as_py()
+                first = size - int(np.ceil(threshold * size - _SLACK)) + 1
+                rest = np.arange(len(g), 0, -1)
+                cut = max(0, first - (size - len(g)))
+                g, df, rest = g[:cut], df[:cut], rest[:cut]
+                if not len(g):
+                    continue
+                frag = fragment_of(g, df, levels, counts, fragments)
+                hot = np.flatnonzero(df > _BLOCK)
+                if len(hot):
+                    blocks = -(-df[hot].astype(np.int64) // _BLOCK)
+                    mine = (mix(g[hot] ^ np.uint64(doc % (1 << 64))) % blocks.astype(np.uint64)).astype(np.int64)
+                    at, other = np.repeat(hot, blocks), ranges(np.zeros(len(hot), np.int64), blocks)
+                    mine = np.repeat(mine, blocks)
+                    names = mix(g[at] + np.minimum(mine, other).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.maximum(mine, other).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+                    cold = df <= _BLOCK
+                    frag, rest = np.r_[frag[cold], bucket_of(names, fragments)], np.r_[rest[cold], rest[at]]
+                    g = np.r_[g[cold], names]
+                held.append((frag, np.full(len(g), doc), np.full(len(g), size, np.int64), g, rest))
+                total += len(g)
                 if total >= FLUSH:
                     yield from flush()
                     held, total = [], 0
         if held:
             yield from flush()
 
-    return run, "bucket int, docs binary, sizes binary, counts binary, grams binary"
+    return run, "bucket int, docs binary, sizes binary, counts binary, grams binary, rest binary"
 
 
-def _fragment(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts = [(np.repeat(column(b, "docs", np.int64), c := column(b, "counts", np.uint32)), np.repeat(column(b, "sizes", np.int64), c), column(b, "grams", np.uint64).copy()) for b in batches]
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*parts))
+def _fragment(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    parts = []
+    for batch in batches:
+        for docs, sizes, counts, grams, rest in zip(*(batch.column(c).to_pylist() for c in ("docs", "sizes", "counts", "grams", "rest"))):
+            n = unpacked(counts).astype(np.int64)
+            parts.append((np.repeat(np.frombuffer(docs, np.int64), n), np.repeat(unpacked(sizes).astype(np.int64), n), _grams(grams), unpacked(rest).astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
 
 
 #: Posting lists up to this length are expanded many at a time.
@@ -254,10 +284,10 @@ class _PairSet:
 
 
 def _candidates(threshold: float):
-    """Distinct pairs (a < b) that share a prefix gram in this fragment and whose sizes allow the threshold."""
+    """Distinct pairs (a < b) that share a prefix gram in this fragment and whose sizes, and grams from that one on, allow the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, s, g = _fragment(batches)
+        d, s, g, rest = _fragment(batches)
         if not len(d):
             return
         ids, first = np.unique(d, return_index=True)
@@ -267,31 +297,38 @@ def _candidates(threshold: float):
         number[by_size] = np.arange(len(ids))
         x = number[np.searchsorted(np.sort(ids), d)]
         order = np.lexsort((x, g))
-        x, g = x[order], g[order]
+        x, g, rest = x[order], g[order], rest[order]
         starts, lengths = runs(g)
         found = _PairSet(len(ids))
+
+        def add(a: np.ndarray, b: np.ndarray, rest_a: np.ndarray, rest_b: np.ndarray) -> None:
+            ok = (sizes[a] >= threshold * sizes[b] - _SLACK) & (np.minimum(rest_a, rest_b) * (1 + threshold) >= threshold * (sizes[a] + sizes[b]) - _SLACK)
+            found.add(a[ok], b[ok])
+
         for n in np.unique(lengths[(lengths > 1) & (lengths <= _SHORT)]):
             at = starts[lengths == n]
             i, j = np.triu_indices(n, 1)
             step = max(1, (1 << 20) // len(i))
             for lo in range(0, len(at), step):
-                posting = np.unique(x[at[lo : lo + step, None] + np.arange(n)], axis=0) if n > 8 else x[at[lo : lo + step, None] + np.arange(n)]
-                a, b = posting[:, i].ravel(), posting[:, j].ravel()
-                ok = sizes[a] >= threshold * sizes[b] - _SLACK
-                found.add(a[ok], b[ok])
-        met = set()
-        for lo, n in zip(starts[lengths > _SHORT], lengths[lengths > _SHORT]):
-            posting = x[lo : lo + n]
-            if (key := posting.tobytes()) in met:  # grams of the same records list the same pairs
-                continue
-            met.add(key)
+                place = at[lo : lo + step, None] + np.arange(n)
+                posting, left = x[place], rest[place]
+                add(posting[:, i].ravel(), posting[:, j].ravel(), left[:, i].ravel(), left[:, j].ravel())
+        lists: dict[bytes, np.ndarray] = {}
+        for lo, n in zip(starts[lengths > _SHORT], lengths[lengths > _SHORT]):  # grams of the same records list the same pairs, the first of them the most
+            key = x[lo : lo + n].tobytes()
+            have = lists.get(key)
+            lists[key] = rest[lo : lo + n] if have is None else np.maximum(have, rest[lo : lo + n])
+        for key, left in lists.items():
+            posting = np.frombuffer(key, np.int64)
+            n = len(posting)
             more = np.searchsorted(sizes[posting], sizes[posting] / threshold + _SLACK, "right") - np.arange(1, n + 1)
             ends = np.cumsum(more)
             lo_i = 0
             while lo_i < n:
                 hi_i = max(lo_i + 1, int(np.searchsorted(ends, (ends[lo_i - 1] if lo_i else 0) + (2 << 20), "right")))
                 i = np.arange(lo_i, min(hi_i, n))
-                found.add(np.repeat(posting[i], more[i]), posting[ranges(i + 1, more[i])])
+                j, i = ranges(i + 1, more[i]), np.repeat(i, more[i])
+                add(posting[i], posting[j], left[i], left[j])
                 lo_i = hi_i
         pairs = found.values()
         a, b = ids[pairs // len(ids)], ids[pairs % len(ids)]
@@ -303,19 +340,19 @@ def _candidates(threshold: float):
 
 
 def _with_partners(levels: np.ndarray, counts: np.ndarray, fragments: int):
-    """Segments of records that are in a candidate pair; each carries the record's partners of greater doc_id."""
+    """Segments of records that are in a candidate pair; each carries the record's partners of greater name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                g, df = column(row, "grams", np.uint64), column(row, "df", np.uint32)
+                g, df = _grams(row.column("grams")[0].as_py()), unpacked(row.column("df")[0].as_py())
                 partners = row.column("partners")[0].values
                 b = blob(np.sort(partners.to_numpy())) if partners is not None and len(partners) else b""
                 out = list(split(fragment_of(g, df, levels, counts, fragments), fragments, g))
                 n = len(out)
                 yield pa.RecordBatch.from_pydict(
-                    {"bucket": pa.array([f for f, _ in out], pa.int32()), "doc": pa.array([row.column("doc_a")[0].as_py()] * n, pa.int64()), "grams": [blob(x) for _, (x,) in out], "partners": [b] * n}
+                    {"bucket": pa.array([f for f, _ in out], pa.int32()), "doc": pa.array([row.column("record")[0].as_py()] * n, pa.int64()), "grams": [_named(x) for _, (x,) in out], "partners": [b] * n}
                 )
 
     return run, "bucket int, doc bigint, grams binary, partners binary"
@@ -325,7 +362,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs, grams, partners = [], [], []
     for batch in batches:
         docs += batch.column("doc").to_pylist()
-        grams += [np.frombuffer(x, np.uint64) for x in batch.column("grams").to_pylist()]
+        grams += [_grams(x) for x in batch.column("grams").to_pylist()]
         partners += [np.frombuffer(x, np.int64) for x in batch.column("partners").to_pylist()]
     if not docs:
         return
@@ -362,54 +399,30 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a_out, b_out, n_out)], ["doc_a", "doc_b", "overlap"])
 
 
-def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """PAIRS of each member of members_a with each of members_b; where within is set both are the same and each pair comes once."""
-    for batch in batches:
-        left, right = batch.column("members_a"), batch.column("members_b")
-        n_a, n_b = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (left, right))
-        at_a, at_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-        a, b = left.flatten().to_numpy(), right.flatten().to_numpy()
-        within = batch.column("within").to_numpy(zero_copy_only=False)
-        overlap, jaccard = batch.column("overlap").to_numpy(), batch.column("jaccard").to_numpy()
-        n = n_a * n_b
-        ends = np.cumsum(n)
-        lo = 0
-        while lo < len(n):
-            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - n[lo] + _MEMBERS * _MEMBERS, "right")))
-            row = np.repeat(np.arange(lo, hi), n[lo:hi])
-            place = ranges(np.zeros(hi - lo, np.int64), n[lo:hi])
-            x, y = a[at_a[row] + place // n_b[row]], b[at_b[row] + place % n_b[row]]
-            ok = np.where(within[row], x < y, x != y)
-            x, y, row = x[ok], y[ok], row[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(overlap[row]), pa.array(jaccard[row])], ["doc_a", "doc_b", "overlap", "jaccard"])
-            lo = hi
-
-
-def _record_pairs(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame | None]:
-    """Members (doc_a, size, block, members) of records of several documents, and PAIRS of the records, each named by its least doc_id (None: there are no pairs)."""
+def _joined(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(record, size, doc_id, a, b) of each row of docs with words, named by a and b, and (doc_a, doc_b, overlap, jaccard) of the pairs of records."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
     p = buckets(spark)
-    packed = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(*_pack(n, p))
-    shared = exchange(packed).mapInArrow(*_shared(p))
+    key = row_key(docs)
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), key["a"].alias("a"), key["b"].alias("b"))
+    shared = exchange(rows.mapInArrow(*_pack(n, p))).mapInArrow(*_shared(p))
     records = checkpointed(exchange(shared).mapInArrow(*_survivors(threshold)))
-    members = records.filter("members is not null").select("doc_a", "size", "block", "members")
-    several = records.filter("members is null").select("doc_a", "size", "grams", "df")
+    members = records.filter("grams is null").select("record", "size", "doc_id", "a", "b")
+    several = records.filter("grams is not null").select("record", "size", "grams", "df")
     levels = several.select("df").mapInArrow(_df_counts, "df bigint, n bigint").groupBy("df").agg(F.sum("n").alias("n")).orderBy("df").collect()  # at most one row per distinct count
     if not levels:
-        return members, None
-    df = np.array([r[0] for r in levels], np.uint32)
+        return members, spark.createDataFrame([], "doc_a bigint, doc_b bigint, overlap bigint, jaccard double")
+    df = np.array([r[0] for r in levels], np.uint64)
     n_grams, work = np.array([r[1] for r in levels], np.float64), np.array([r[1] * r[0] for r in levels], np.float64)  # a gram's work grows with the square of its records
     counts = work / work.sum() + n_grams / n_grams.sum()  # no fragment gets over twice its share of either the work or the grams
-    prefixes = several.mapInArrow(*_segments(df, counts, p, threshold, True))
-    candidates = exchange(prefixes).mapInArrow(*_candidates(threshold)).distinct()
-    candidates = candidates.persist(StorageLevel.DISK_ONLY)
-    partners = candidates.groupBy("doc_a").agg(F.collect_list("doc_b").alias("partners"))
-    inside = candidates.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_a")).distinct()
-    paired = several.join(inside, "doc_a", "left_semi").join(partners, "doc_a", "left")
+    candidates = checkpointed(exchange(several.mapInArrow(*_prefixes(df, counts, p, threshold))).mapInArrow(*_candidates(threshold)).distinct())
+    partners = candidates.groupBy(F.col("doc_a").alias("record")).agg(F.collect_list("doc_b").alias("partners"))
+    inside = candidates.select(F.explode(F.array("doc_a", "doc_b")).alias("record")).distinct()
+    paired = several.join(inside, "record", "left_semi").join(partners, "record", "left")
     partial = exchange(paired.mapInArrow(*_with_partners(df, counts, p))).mapInArrow(_overlaps, "doc_a bigint, doc_b bigint, overlap bigint")
-    sizes = several.select(F.col("doc_a").alias("doc"), "size")
+    sizes = several.select(F.col("record").alias("doc"), "size")
     near = (
         partial.groupBy("doc_a", "doc_b").agg(F.sum("overlap").alias("overlap"))
         .join(sizes.toDF("doc_a", "size_a"), "doc_a").join(sizes.toDF("doc_b", "size_b"), "doc_b")
@@ -417,35 +430,38 @@ def _record_pairs(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame,
         .filter(F.col("jaccard") >= threshold - _SLACK)
         .select("doc_a", "doc_b", "overlap", "jaccard")
     )
-    return members, near
+    return members, checkpointed(near)
 
 
 def near_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (doc_a, doc_b, overlap, jaccard) of docs (doc_id, text) whose sets of word n-grams have Jaccard >= threshold.
+    """Pairs (doc_a, doc_b, overlap, jaccard) between the least doc_ids of different sets of word n-grams with Jaccard >= threshold, doc_a < doc_b.
 
-    All such pairs are listed, those of copies (at 1.0) too; doc_a < doc_b. Documents of equal sets are joined as one record, whose pairs
-    are then written out for all its members, by blocks, so that no task or row holds all of a large record's. Rows of null doc_id and null, empty or
-    blank texts are in no pair; rows repeated with the same doc_id count once; an empty table gives no pairs; other columns are ignored.
+    Rows of docs (doc_id, text) with equal sets are one set. Rows of null doc_id name no set; null, empty or
+    blank texts are in no pair; a doc_id with several texts stands for each of them; an empty table gives no pairs; other columns don't matter.
     """
-    members, near = _record_pairs(docs, n, threshold)
-    form = ["members_a", "members_b", "within", "overlap", "jaccard"]
-    same = members.select(F.col("members").alias("members_a"), F.col("members").alias("members_b"), F.lit(True).alias("within"), F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard"))
-    later = members.filter("block > 0").select("doc_a", F.col("block").alias("block_b"), F.col("members").alias("members_b"))
-    across = members.withColumnRenamed("members", "members_a").join(later, "doc_a").filter("block < block_b").repartition(buckets(docs.sparkSession), "doc_a", "block", "block_b")
-    found = same.unionByName(across.select("members_a", "members_b", F.lit(False).alias("within"), F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard")))
-    if near is not None:
-        for side in ("b", "a"):
-            near = near.join(members.select(F.col("doc_a").alias(f"doc_{side}"), F.col("members").alias(f"members_{side}")), f"doc_{side}", "left")
-        all_of = lambda side: F.coalesce(f"members_{side}", F.array(f"doc_{side}")).alias(f"members_{side}")
-        found = found.unionByName(near.select(all_of("a"), all_of("b"), F.lit(False).alias("within"), "overlap", "jaccard"))
-    return found.select(*form).mapInArrow(_expanded, PAIRS)
-
-
-def linking_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """Of near_pairs those that suffice for groups(): each copy with the least doc_id of its record, and that one with those of other records."""
-    members, near = _record_pairs(docs, n, threshold)
-    copies = members.select("doc_a", F.explode("members").alias("doc_b"), F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard")).filter("doc_a <> doc_b")
-    return copies if near is None else copies.unionByName(near)
+    members, near = _joined(docs, n, threshold)
+    least = members.groupBy("record").agg(F.min("doc_id").alias("least")).dropna()
+    named = near.join(least.toDF("doc_a", "a"), "doc_a").join(least.toDF("doc_b", "b"), "doc_b")
+    return named.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "overlap", "jaccard")
+
+
+def links(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, copy_of, n_links) of each document (doc_id, text) whose set of word n-grams has Jaccard >= threshold with that of another.
+
+    n_links counts the other documents with such a set, copies included. copy_of is the least doc_id of those with an equal set, class_id the
+    least of all that are connected by links. Every pair of different sets is found and counted; copies aren't expanded into pairs. A document is a doc_id and a
+    set: rows repeated with the same doc_id are one, a doc_id with two different texts has a row for each. Rows of null doc_id and null, empty or
+    blank texts have no links; an empty table gives no rows; other columns don't matter.
+    """
+    members, near = _joined(docs, n, threshold)
+    named = members.select("record", "doc_id").filter("doc_id is not null").distinct()
+    sets = named.groupBy("record").agg(F.count("*").alias("n"), F.min("doc_id").alias("copy_of"))
+    both = near.select("doc_a", "doc_b").unionByName(near.select(F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b")))
+    linked = both.join(sets.select(F.col("record").alias("doc_b"), "n"), "doc_b").groupBy(F.col("doc_a").alias("record")).agg(F.sum("n").alias("near"))
+    sets = sets.join(linked, "record", "left").withColumn("n_links", F.col("n") - 1 + F.coalesce("near", F.lit(0))).filter("n_links > 0")
+    sets = checkpointed(sets.join(groups(near).withColumnRenamed("doc_id", "record"), "record", "left").withColumn("group_id", F.coalesce("group_id", "record")).select("record", "copy_of", "n_links", "group_id"))
+    classes = sets.groupBy("group_id").agg(F.min("copy_of").alias("class_id"))
+    return named.join(sets.join(classes, "group_id").drop("group_id"), "record").select("doc_id", "class_id", "copy_of", "n_links")
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -472,5 +488,18 @@ def groups(pairs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that near_pairs links to a document of lower doc_id in their group; all its columns stay."""
-    return without(docs, groups(linking_pairs(docs, n, threshold)).filter("doc_id <> group_id").select("doc_id"))
+    """One row of each connected group of near duplicates, that of the least doc_id (null after all others), and all rows without words; all columns stay.
+
+    Rows are judged apiece, whatever their doc_id: two different texts of one doc_id don't go together, and of rows repeated whole one
+    stays. Null, empty and blank texts are no duplicates; an empty table stays empty; columns may have any names.
+    """
+    members, near = _joined(docs, n, threshold)
+    grouped = members.join(groups(near).withColumnRenamed("doc_id", "record"), "record", "left").select(F.coalesce("group_id", "record").alias("group_id"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b").alias("row"))
+    rows = checkpointed(grouped.groupBy("group_id", "row").agg(F.count("*").alias("n")))
+    stays = rows.groupBy("group_id").agg(F.min("row").alias("best"))
+    judged = rows.join(stays, "group_id")
+    repeated = checkpointed(judged.filter("row = best and n > 1").select("row.a", "row.b"))
+    left = only(docs, judged.filter("row <> best").select("row.a", "row.b").unionByName(repeated))
+    key = row_key(docs)
+    again = docs.filter(F.lit(False)) if repeated.isEmpty() else docs.join(repeated, (key["a"] == repeated["a"]) & (key["b"] == repeated["b"]), "left_semi").dropDuplicates()
+    return left.unionByName(again)

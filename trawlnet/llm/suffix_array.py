@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob, bucket_of, buckets, checkpointed, column, exchange, packed, packed_rising, release, split, unpacked, unpacked_rising
+from .common import blob, bucket_of, buckets, checkpointed, column, exchange, packed, packed_rising, split, unpacked, unpacked_rising
 from .passages import MIN_WORDS, records, region_words, regions, spread
 from .textkit import Words, mix, sliding_min, window_hashes, window_mask
 
@@ -370,10 +370,8 @@ def repeated_places(text: DataFrame, min_words: int) -> DataFrame:
     for _ in range(levels(min_words)):
         ranks = checkpointed(exchange(down[-1].mapInArrow(*_triples(_splitters(down[-1], n), False, n))).mapInArrow(*_name(n)))
         down.append(checkpointed(_both(down[-1], ranks).mapInArrow(*_next_text(_offsets(ranks, n)))))
-        release(spark)
     ranks = checkpointed(exchange(down[-1].mapInArrow(*_triples(_splitters(down[-1], n), True, n))).mapInArrow(*_name(n)))
     up = checkpointed(_both(down.pop(), ranks).mapInArrow(*_place_ranks(_offsets(ranks, n))))
-    release(spark)
     while down:
         lowest = len(down) == 1
         items = _both(down[-1], _as_ranks(up)).mapInArrow(*_merge_items(_splitters(down[-1], n), min_words, lowest, n))
@@ -381,7 +379,6 @@ def repeated_places(text: DataFrame, min_words: int) -> DataFrame:
         if lowest:
             return _both(down[0], ranks).mapInArrow(*_found(n))
         up = checkpointed(_both(down.pop(), ranks).mapInArrow(*_place_ranks(_offsets(ranks, n))))
-        release(spark)
     raise ValueError("min_words must exceed 3")
 
 
@@ -403,5 +400,4 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, fingerprint:
 
     parts = region_words(docs, found, known, min_words, finish, "bucket int, record bigint, first bigint, words binary")
     text = checkpointed(exchange(parts).mapInArrow(*_concatenate(n)))
-    release(docs.sparkSession)
     return spread(repeated_places(text, min_words), known, min_words)
