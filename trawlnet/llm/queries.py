@@ -6,12 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .oracle import ORACLE_SQL  # noqa: F401
 from . import decontaminate, html_blocks, jaccard_join, licenses, packing, pii, recompression, repetition, suffix_array, toxicity
 
-#: Words of a text, in SQL: split at the white space that textkit knows.
-WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), x -> x <> '')"
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,5 +65,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_recompression": op9_recompression,
     "op10_pii": op10_pii,
 }
-
-ORACLE_SQL: dict[str, str] = {}

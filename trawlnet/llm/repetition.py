@@ -23,7 +23,7 @@ MAX_REPEAT = 100
 #: Words of a shorter repeat and the fraction that such ones may cover; those not under min_words don't apply.
 SHORT = ((8, 0.4), (4, 0.6))
 MAX_LINES = 0.3
-SCHEMA = "doc_id bigint, n_words int, covered_words int, covered_fraction double, longest_repeat int, longest_any int, short_fractions array<double>, line_fraction double, keep boolean"
+SCHEMA = "doc_id bigint, n_words int, covered_words int, covered_fraction double, longest_repeat int, longest_any int, fraction_8 double, fraction_4 double, line_fraction double, keep boolean"
 
 
 def suffix_levels(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -134,15 +134,15 @@ def measured(texts: pa.Array, min_words: int, max_covered: float, max_repeat: in
     keep = (covered / n <= max_covered) & (longest <= max_repeat) & (lines <= MAX_LINES)
     for fraction, (_, limit) in zip(fractions, short):
         keep &= fraction <= limit
-    table = np.stack(fractions, 1) if fractions else np.zeros((len(n), 0))
-    return {"n_words": w.counts, "covered_words": covered, "covered_fraction": covered / n, "longest_repeat": np.where(longest < min_words, 0, longest), "longest_any": longest, "short_fractions": table, "line_fraction": lines, "keep": keep}
+    named = {f"fraction_{least}": np.full(len(n), np.nan) for least, _ in SHORT} | {f"fraction_{least}": f for (least, _), f in zip(short, fractions)}
+    return {"n_words": w.counts, "covered_words": covered, "covered_fraction": covered / n, "longest_repeat": np.where(longest < min_words, 0, longest), "longest_any": longest, **named, "line_fraction": lines, "keep": keep}
 
 
 def quality(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """One row for each row of docs (doc_id, text): words, words covered by repeats, their fraction, longest repeat, keep.
 
     A document is kept when at most `max_covered` of its words lie in repeats of at least `min_words` words, no repeat is longer than
-    `max_repeat` words, repeats of the lengths of SHORT cover no more than their limits (short_fractions), and at most MAX_LINES of its words
+    `max_repeat` words, repeats of the lengths of SHORT cover no more than their limits (fraction_8 and fraction_4; null where min_words is no more than that), and at most MAX_LINES of its words
     stand in lines that come again (line_fraction). longest_any is the longest repeat of all, longest_repeat the same where it has min_words words, else 0. A
     null or empty text has no words, fraction 0.0, and is kept; a null doc_id stays null; repeated rows give repeated results; other
     columns are ignored. Occurrences of a repeat may overlap.
@@ -151,15 +151,17 @@ def quality(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches):
             m = measured(piece.column("text"), min_words, max_covered, max_repeat)
-            m["short_fractions"] = pa.array(list(m["short_fractions"]), pa.list_(pa.float64()))
             integers = ("n_words", "covered_words", "longest_repeat", "longest_any")
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(v, pa.int32()) if k in integers else v if k == "short_fractions" else pa.array(v) for k, v in m.items())], ["doc_id", *m])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(v, pa.int32() if k in integers else None, from_pandas=True) for k, v in m.items())], ["doc_id", *m])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCHEMA)
 
 
 def kept(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """The rows of docs that quality() keeps, with all their columns, in the same pass over the texts."""
+    """The rows of docs that quality() keeps, with all their columns, in the same pass over the texts.
+
+    Null and empty texts are kept, whatever the doc_id; repeated rows go or stay together; an empty table stays empty; columns may have any names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches):
