@@ -22,13 +22,13 @@ from .textkit import chunks
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after")
 PAGES = "page_id bigint, url string, n_blocks int, n_main int, main_words int, main_text string"
-_UNREAD = re.compile(r"(?is)<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<!doctype[^>]*>")
-_SKIPPED = re.compile(r"(?i)<(/?)(noscript|template|textarea|select|svg)(?=[\s/>])[^>]*>")
-_HEAD = re.compile(r"(?i)<head(?=[\s/>])[^>]*>")
+# Every pattern that begins at "<" takes what it reads, to the end of the page if need be, so that no character is read again from the next "<".
+_UNREAD = re.compile(r"(?is)<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style)(?=[\s/>])[^>]*+(?:>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)|\Z)|<!doctype[^<>]*+>?")
+_SKIPPED = re.compile(r"(?i)<(/?)(noscript|template|textarea|select|svg)(?=[\s/>])[^>]*+(?:>|\Z)")
+_HEAD = re.compile(r"(?i)<head(?=[\s/>])[^>]*+(?:>|\Z)")
 _IN_HEAD = re.compile(r"(?is)\s+|<title(?=[\s/>])[^>]*>(?:(?!</?title[\s/>]).)*</title\s*>|</?(?:title|meta|link|base|basefont|bgsound|noscript|template)(?=[\s/>])[^>]*>|<[!?][^>]*>")
 _HEAD_END = re.compile(r"(?i)</head(?=[\s/>])[^>]*>")
-_TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title\s*>")
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9]*+)(?:[^>=]|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+(>|\Z)""")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 
 #: words, link density, words before, links before, words after, links after, main text or not: read off pages of news, weblogs, shops,
@@ -135,7 +135,7 @@ def readable(page: str) -> str:
 
 
 def blocks(page: str | None) -> list[tuple[str, int, int]]:
-    """(text, words, words within links) of each non-empty block, in order; entities are resolved and white space is collapsed."""
+    """(text, words, words within links) of each non-empty block, in order; entities are resolved and white space is collapsed. What looks like a tag but is never closed is text."""
     source = readable(page or "")
     out: list[tuple[str, int, int]] = []
     parts: list[str] = []
@@ -157,6 +157,8 @@ def blocks(page: str | None) -> list[tuple[str, int, int]]:
                 linked += len(plain.split())
 
     for m in _TAG.finditer(source):
+        if not m[3]:  # no tag: nothing closes it
+            break
         text(source[at : m.start()])
         at = m.end()
         name = m[2].lower()
