@@ -484,16 +484,86 @@ def test_clean_counts_proximity(spark):
 # 8 toxicity
 
 
-def test_kneser_ney_probabilities_sum_to_one():
-    rng = np.random.default_rng(3)
-    seen = np.unique(rng.integers(0, 32**5, 4000, np.uint32))
-    for order in (1, 2, 3):
-        suffix = np.unique(seen & np.uint32((1 << 5 * order) - 1))
-        p = toxicity.lower_order(suffix, order)
-        assert (p > 0).all()
-        context = suffix >> np.uint32(5)
-        sums = np.bincount(np.unique(context, return_inverse=True)[1], p)
-        assert (sums <= 1 + 1e-9).all()
+def brute_shared(texts):
+    """P(symbol | symbol before) by continuation counts of all texts, with plain dicts; symbols are characters."""
+    triples = {t for text in texts for t in zip("  " + text, " " + text, text)}
+    pairs = {p: sum(t[1:] == p for t in triples) for p in {t[1:] for t in triples}}
+    singles = {w: sum(p[1] == w for p in pairs) for w in {p[1] for p in pairs}}
+
+    def low(w):
+        return (max(singles.get(w, 0) - 0.75, 0) + 0.75 * len(singles) / toxicity._SYMBOLS) / len(pairs)
+
+    def p(v, w):
+        own = {q: n for q, n in pairs.items() if q[0] == v}
+        return (max(own.get((v, w), 0) - 0.75, 0) + 0.75 * len(own) * low(w)) / sum(own.values()) if own else low(w)
+
+    return p
+
+
+def brute_class(texts, shared):
+    """P(symbol | symbols before) of one class, recursively, with plain dicts."""
+    full = {}
+    for text in texts:
+        padded = " " * (toxicity.ORDER - 1) + text
+        for k in range(len(text)):
+            gram = padded[k : k + toxicity.ORDER]
+            full[gram] = full.get(gram, 0) + 1
+    counts = {toxicity.ORDER: full}
+    for order in range(toxicity.ORDER - 1, toxicity.SHARED, -1):
+        counts[order] = {}
+        for gram in counts[order + 1]:
+            counts[order][gram[1:]] = counts[order].get(gram[1:], 0) + 1
+
+    def p(gram):
+        if len(gram) == toxicity.SHARED:
+            return shared(*gram)
+        own = {g: n for g, n in counts[len(gram)].items() if g[:-1] == gram[:-1]}
+        if not own:
+            return p(gram[1:])
+        return (max(own.get(gram, 0) - 0.75, 0) + 0.75 * len(own) * p(gram[1:])) / sum(own.values())
+
+    return p
+
+
+def test_toxicity_against_brute_force(spark):
+    """The query's own scores, not parts of it, against recursive sums over plain dicts."""
+    rng = random.Random(5)
+    docs = [(k, " ".join(rng.choice(["ab", "ba", "abc", "ca", "xyz"][k % 2 : 4 + k % 2]) for _ in range(rng.randrange(1, 9)))) for k in range(24)]
+    labels = [(k, k % 2) for k in range(18)]
+    got = {r.doc_id: r for r in toxicity.scores(spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()}
+    shared = brute_shared([t for _, t in docs])
+    toxic, ordinary = (brute_class([docs[k][1] for k, y in labels if y == of], shared) for of in (1, 0))
+    for k, text in docs:
+        padded = " " * (toxicity.ORDER - 1) + text
+        grams = [padded[j : j + toxicity.ORDER] for j in range(len(text))]
+        assert got[k].log_ratio == pytest.approx(sum(np.log(toxic(g) / ordinary(g)) for g in grams) / (len(text) + toxicity.PRIOR), abs=1e-5)
+        assert got[k].n_symbols == len(text)
+
+
+def test_toxicity_of_other_scripts(spark):
+    rng = random.Random(3)
+    for good, bad in (("добрый светлый город река солнце дом", "дурак негодяй мерзавец"), ("καλός ήλιος θάλασσα βουνό σπίτι", "ηλίθιος άχρηστος βλάκας"), ("天気 山川 学校 電車 音楽 友達", "馬鹿 阿呆 屑野郎")):
+        docs, labels = [], []
+        for k in range(400):
+            ws = [rng.choice(good.split()) for _ in range(40)]
+            if k % 4 == 0:
+                for _ in range(3):
+                    ws[rng.randrange(40)] = rng.choice(bad.split())
+            docs.append((k, " ".join(ws)))
+            labels += [(k, int(k % 4 == 0))] * (k < 300)
+        got = toxicity.scores(spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, "doc_id bigint, toxic int")).filter("doc_id >= 300").collect()
+        assert sum(r.toxic == (r.doc_id % 4 == 0) for r in got) >= 97
+
+
+def test_toxicity_learns_from_bounded_text(spark):
+    docs = spark.createDataFrame([(k, ("bad words here" if k % 2 else "fine words here") * 3) for k in range(300)], DOC)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id bigint, toxic int")
+    rows = toxicity.labelled(docs, labels, 2000).collect()
+    for of in (0, 1):
+        assert 1000 < sum(len(r.text) for r in rows if r.toxic == of) <= 2000
+    assert toxicity.labelled(docs, labels).count() == 300
+    got = toxicity.scores(docs, labels, 2000).collect()
+    assert len(got) == 300 and all(r.toxic == bool(r.doc_id % 2) for r in got)
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -504,37 +574,6 @@ def test_toxicity_on_held_out_rows(spark):
     assert hits >= 0.5 * sum(r.label for r in got) and hits >= 0.8 * sum(r.toxic for r in got)  # 2,600 labelled texts; with 13,000 both are 0.99
 
 
-def test_levels_agree_with_direct_sums():
-    rng = np.random.default_rng(1)
-    seen = np.unique(rng.integers(0, 32**5, 3000, np.uint32) & np.uint32(0b00011_00011_00111_00111_00111))
-    counts = [rng.integers(0, 4, len(seen)).astype(float) for _ in range(2)]
-    table = toxicity.dense(toxicity.kneser_ney(seen, *counts))
-
-    def p(n, codes_, order, code):
-        if order == toxicity.SHARED:
-            return None
-        context = code >> 5
-        mine = (codes_ >> np.uint32(5)) == context
-        total, types = n[mine].sum(), (n[mine] > 0).sum()
-        left = 0.75 * types / total if total else 1.0
-        names, at = np.unique(codes_ & np.uint32((1 << 5 * (order - 1)) - 1), return_inverse=True)
-        low = p(np.bincount(at, n > 0, len(names)), names, order - 1, code & ((1 << 5 * (order - 1)) - 1))
-        own = max(n[codes_ == code].sum() - 0.75, 0) / max(total, 1)
-        return own, left, low
-
-    def value(parts, shared):
-        return shared if parts is None else parts[0] + parts[1] * value(parts[2], shared)
-
-    names = seen
-    for order in (4, 3, 2):
-        names = np.unique(names & np.uint32((1 << 5 * order) - 1))
-    shared = dict(zip(names.tolist(), toxicity.lower_order(names, 2)))
-    for code in [*seen[:40].tolist(), *(seen[:40] ^ np.uint32(1 << 22)).tolist()]:
-        base = shared.get(code & 1023, 0.01)
-        want = np.log(value(p(counts[0], seen, 5, code), base) / value(p(counts[1], seen, 5, code), base))
-        assert table[code] == pytest.approx(want, abs=1e-4)
-
-
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(4, 1), (6, 0), (7, 0), (5, None), (None, 1), (8, 0), (8, 1)], "doc_id bigint, toxic int")
     got = toxicity.scores(odd(spark), labels).collect()
