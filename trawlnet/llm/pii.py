@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +37,7 @@ _GENERATORS = {
     "secret": re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}(?![A-Za-z0-9_+/=-])"),
 }
 _IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]{0,4})(?!\w|:[\w:])")
-_LOCAL, _HOST = re.compile(r"[\w.+%'-]+$"), re.compile(r"[\w-]+(?:\.[\w-]+)*")
+_EMAIL = re.compile(r"(?<![\w.+%'-])[\w.+%'-]++@(?=([\w-]++(?:\.[\w-]++)*+))")
 _WORD = re.compile(r"\w+")
 _HINTS = {
     "email": {"mail", "email", "contact", "write", "reach"},
@@ -60,14 +61,7 @@ def _is_ipv6(s: str) -> bool:
 
 def proposals(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all proposed spans; each generator's own don't overlap, those of different ones may."""
-    out = []
-    at = text.find("@")
-    while at >= 0:
-        left = _LOCAL.search(text, max(0, at - 64), at)
-        right = _HOST.match(text, at + 1)
-        if left and right:
-            out.append(("email", left.start(), right.end()))
-        at = text.find("@", at + 1)
+    out = [("email", m.start(), m.end(1)) for m in _EMAIL.finditer(text)] if "@" in text else []
     for kind, pattern in _GENERATORS.items():
         out += [(kind, *m.span()) for m in pattern.finditer(text)]
     out += [("ip", *m.span()) for m in _IPV6.finditer(text) if _is_ipv6(m[0])]
@@ -166,7 +160,7 @@ def _training_texts(seed: int, n: int) -> Iterator[tuple[str, int, str, int, int
 
     octets = lambda top, low=0: ".".join(str(x) for x in rng.integers(low, top, 4))
     good = {
-        "email": lambda: f"{word()}{pick('', '.' + word(), digit(2), '.' + digit(2))}@{word()}{digit(int(rng.integers(0, 2)))}.{pick('example.com', 'com', 'org', 'net', 'de', 'co.uk')}",
+        "email": lambda: f"{pick(word(), word(), word(), letters(int(rng.integers(30, 120))))}{pick('', '.' + word(), digit(2), '.' + digit(2))}@{word()}{digit(int(rng.integers(0, 2)))}.{pick('example.com', 'com', 'org', 'net', 'de', 'co.uk')}",
         "phone": lambda: pick(f"+1 ({digit(3)}) 555-{digit(4)}", f"+{digit(2)} {digit(3)} {digit(7)}", f"({digit(3)}) {digit(3)}-{digit(4)}", f"{digit(3)}-{digit(3)}-{digit(4)}", f"+{digit(11)}", f"0{digit(2)} {digit(4)} {digit(4)}"),
         "card": lambda: card(True),
         "ip": lambda: pick(octets(256), octets(256), ipv6()),
@@ -235,11 +229,12 @@ def judged(texts: list[str], judge: tuple[Boosted, dict[str, float]]) -> list[li
     for f in found:
         mine = sorted((-scores[at + k], a - b, a, b, kind) for k, (_, kind, a, b) in enumerate(f) if scores[at + k] >= limits[kind])
         at += len(f)
-        chosen: list[tuple[str, int, int, float]] = []
+        chosen: list[tuple[int, int, str, float]] = []  # in order and apart, so only the neighbours can overlap
         for p, _, a, b, kind in mine:
-            if all(b <= c or a >= d for _, c, d, _ in chosen):
-                chosen.append((kind, a, b, -p))
-        out.append(sorted(chosen, key=lambda c: c[1]))
+            k = bisect(chosen, (a, b))
+            if (k == 0 or chosen[k - 1][1] <= a) and (k == len(chosen) or chosen[k][0] >= b):
+                chosen.insert(k, (a, b, kind, -p))
+        out.append([(kind, a, b, p) for a, b, kind, p in chosen])
     return out
 
 
@@ -261,7 +256,10 @@ def spans(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
 
 
 def redacted(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
-    """docs with each span to redact replaced by its kind in brackets; n_chars, where there, is the new length of changed texts; other columns stay."""
+    """docs with each span to redact replaced by its kind in brackets; n_chars, where there, is the new length of changed texts; other columns stay.
+
+    Null and empty texts stay as they are, whatever the doc_id; repeated rows are changed alike; an empty table stays empty; columns may have any names.
+    """
     judge = model(precision)
     names = docs.columns
 
