@@ -370,6 +370,70 @@ def test_packing_round_trip(spark):
     assert len(bins) <= 1.02 * total / packing.CAPACITY + 2
 
 
+def brute_plan(counts, capacity):
+    """The same packing piece by piece: for each piece, longest first, the first of all combinations that fills its gap; then best fit, over all open bins."""
+    left = {k: n for k, n in counts.items() if n}
+    bins = []
+
+    def can(parts):
+        return all(left.get(x, 0) >= parts.count(x) for x in parts)
+
+    for length in sorted(left, reverse=True):
+        while left[length]:
+            gap = capacity - length
+            options = [()] if not gap else []
+            for size in (1, 2, 3):
+                if gap:
+                    options += sorted((c for c in itertools.combinations_with_replacement(sorted(left, reverse=True), size) if sum(c) == gap), reverse=True)
+            if (rest := next((c for c in options if can([length, *c])), None)) is None:
+                break
+            for x in (length, *rest):
+                left[x] -= 1
+            bins.append([length, *rest])
+    open_bins = []
+    for length in sorted(left, reverse=True):
+        for _ in range(left[length]):
+            fitting = [b for b in open_bins if sum(b) + length <= capacity]
+            if fitting:
+                max(fitting, key=sum).append(length)
+            else:
+                open_bins.append([length])
+    return bins, open_bins
+
+
+def test_plan_against_brute_force():
+    rng = random.Random(12)
+    for _ in range(60):
+        capacity = rng.randrange(10, 40)
+        counts = {k: rng.randrange(1, 9) for k in rng.sample(range(1, capacity + 1), rng.randrange(1, 9))}
+        exact, rest = brute_plan(counts, capacity)
+        patterns = [sorted(p) for p, n in packing.plan(counts, capacity) for _ in range(n)]
+        full = [p for p in patterns if sum(p) == capacity and len(p) <= 4]
+        assert [x for x in map(sorted, exact) if x not in full] == [] and len(patterns) == len(exact) + len(rest)
+        assert sorted(patterns[: len(exact)]) == sorted(map(sorted, exact))
+        assert sorted(x for p in patterns for x in p) == sorted(x for k, n in counts.items() for x in [k] * n)
+
+
+def test_pack_against_brute_force(spark):
+    """The query's result over a whole table: bins of the brute-force plan, totals by the tokenizer itself."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = packing.pack(docs, 40).collect()
+    encode = packing.token_counter(packing.VOCABULARY).encoding.encode_ordinary
+    n = {r.doc_id: len(encode(r.text)) for r in docs.filter("text is not null").select("doc_id", "text").limit(60).collect()}
+    few = packing.pack(docs.filter(F.col("doc_id").isin(list(n))), 40).collect()
+    by_doc, bins, counts = {}, {}, {}
+    for r in few:
+        by_doc[r.doc_id] = by_doc.get(r.doc_id, 0) + r.n_tokens
+        bins.setdefault(r.bin_id, []).append(r.n_tokens)
+    assert by_doc == {k: v for k, v in n.items() if v}
+    for v in n.values():
+        for piece in [40] * (v // 40) + [v % 40] * (v % 40 > 0):
+            counts[piece] = counts.get(piece, 0) + 1
+    exact, rest = brute_plan(counts, 40)
+    assert len(bins) == len(exact) + len(rest) and max(map(sum, bins.values())) <= 40
+    assert sorted(bins) == list(range(len(bins))) and len({(r.doc_id, r.piece) for r in got}) == len(got)
+
+
 def test_packing_fills_gaps_exactly():
     patterns = packing.plan({60: 3, 40: 2, 25: 1, 15: 1, 30: 1, 20: 1, 50: 1}, 100)
     assert ((60, 40), 2) in patterns and any(sorted(p) == [15, 25, 60] for p, _ in patterns) and any(sorted(p) == [20, 30, 50] for p, _ in patterns)

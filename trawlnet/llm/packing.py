@@ -4,7 +4,7 @@ Documents are cut into pieces of at most `capacity` tokens. How many pieces ther
 needs: it runs on that histogram, of at most `capacity` numbers, however large the corpus.
 
 1. For each length, longest first, the gap it leaves is looked up among the available single lengths, then in an
-   index of pair sums, then of triple sums; every combination found is used as often as its scarcest length allows.
+   index of pair sums, then of triple sums, which hold the parts; every combination found is used as often as its scarcest length allows.
 2. What no combination completes is packed by best fit, longest first.
 
 The plan is a list of patterns (lengths in a bin, number of such bins). Pieces are numbered within their length by salted
@@ -111,25 +111,32 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 class _Stock:
-    """Available pieces by length, with bit sets of the lengths there are and of their pair sums."""
+    """Available pieces by length, and indexes of the sums of two and of three lengths.
+
+    pairs[s] are the longer parts a of a + b = s, the longest first; the other part is s - a. triples[s] are the longest parts a of a + t = s for which t is a
+    sum in pairs. Both hold what there was at first; what has been used up since is passed over by the counts.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
+        self.capacity = capacity
         self.n = [0] * (capacity + 1)
         for length, count in counts.items():
             self.n[length] = count
-        self.singles = sum(1 << k for k, c in enumerate(self.n) if c)
-        self.capacity, self.stale = capacity, True
-
-    @property
-    def pairs(self) -> int:
-        if self.stale:
-            out, rest, full = 0, self.singles, (1 << (self.capacity + 1)) - 1
-            while rest:
-                low = rest & -rest
-                out |= self.singles * low
-                rest ^= low
-            self._pairs, self.stale = out & full, False
-        return self._pairs
+        lengths = np.array(sorted(k for k, c in counts.items() if c), np.int64)
+        a, b = np.meshgrid(lengths, lengths, indexing="ij")
+        self.pairs = self._by_sum(a, b, (b <= a) & (a + b <= capacity))
+        sums = np.flatnonzero(np.diff(self.pairs[1]))
+        a, t = np.meshgrid(lengths, sums, indexing="ij")
+        self.triples = self._by_sum(a, t, a + t <= capacity)
+
+    def _by_sum(self, a: np.ndarray, b: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parts a in the order of their sums and falling, and where each sum's begin."""
+        a, total = a[ok], (a + b)[ok]
+        order = np.lexsort((-a, total))
+        return a[order], np.searchsorted(total[order], np.arange(self.capacity + 2))
+
+    def parts(self, index: tuple[np.ndarray, np.ndarray], total: int) -> list[int]:
+        return index[0][index[1][total] : index[1][total + 1]].tolist()
 
     def most(self, lengths: tuple[int, ...]) -> int:
         return min(self.n[x] // k for x, k in Counter(lengths).items())
@@ -137,41 +144,27 @@ class _Stock:
     def take(self, lengths: tuple[int, ...], times: int) -> None:
         for x in lengths:
             self.n[x] -= times
-            if not self.n[x]:
-                self.singles &= ~(1 << x)
-                self.stale = True
 
     def completing(self, length: int) -> tuple[int, ...] | None:
         """Lengths that exactly fill the gap beside one of `length`: one, else two, else three, the longest first; None if there are none."""
         gap = self.capacity - length
         if gap <= 0:
             return ()
-        if self.singles >> gap & 1 and self.most((length, gap)):
+        if self.n[gap] and self.most((length, gap)):
             return (gap,)
-        for a in self._falling(gap - 1):
-            if a * 2 < gap:
-                break
-            if self.singles >> (gap - a) & 1 and self.most((length, a, gap - a)):
+        for a in self.parts(self.pairs, gap):
+            if self.n[a] and self.n[gap - a] and self.most((length, a, gap - a)):
                 return a, gap - a
-        for a in self._falling(gap - 2):
+        for a in self.parts(self.triples, gap):
             if a * 3 < gap:
                 break
-            if self.pairs >> (gap - a) & 1:
-                for b in self._falling(min(a, gap - a - 1)):
+            if self.n[a]:
+                for b in self.parts(self.pairs, gap - a):
                     c = gap - a - b
-                    if c > b:
-                        break
-                    if self.singles >> c & 1 and self.most((length, a, b, c)):
+                    if b <= a and self.n[b] and self.n[c] and self.most((length, a, b, c)):
                         return a, b, c
         return None
 
-    def _falling(self, top: int) -> Iterator[int]:
-        rest = self.singles & ((1 << (top + 1)) - 1)
-        while rest:
-            x = rest.bit_length() - 1
-            yield x
-            rest ^= 1 << x
-
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths in a bin, number of bins) that hold all pieces."""
@@ -239,7 +232,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
 
 
 def packed_lengths(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The same for rows (doc_id, n_tokens)."""
+    """The same for rows (doc_id, n_tokens): null, zero and negative numbers have no piece, a null doc_id stays null, repeated rows are packed apiece, an empty table has no bins."""
     spark = lengths.sparkSession
     salts = buckets(spark)
     lengths = checkpointed(lengths.filter("n_tokens > 0"))
