@@ -4,6 +4,7 @@ import itertools
 import os
 import random
 import re
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -224,6 +225,86 @@ def test_html_parts_without_end_tags(page):
     assert [b[0] for b in html_blocks.blocks(page)] == ["main text"]
 
 
+class Blocks(HTMLParser):
+    """Blocks by the standard library's parser: for pages whose elements are all closed."""
+
+    SKIPPED = {"head", "script", "style", "noscript", "template", "textarea", "select", "svg"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.parts, self.linked, self.in_link, self.skipped = [], [], 0, False, 0
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        ws = "".join(self.parts).split()
+        if ws:
+            self.out.append((" ".join(ws), len(ws), min(self.linked, len(ws))))
+        self.parts, self.linked, self.in_link = [], 0, False
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.SKIPPED:
+            self.skipped += 1
+        elif not self.skipped and tag == "a":
+            self.in_link = True
+        elif not self.skipped and tag not in html_blocks._INLINE:
+            self.end()
+
+    def handle_endtag(self, tag):
+        if tag in self.SKIPPED:
+            self.skipped -= 1
+            self.parts.append(" ")
+        elif not self.skipped and tag == "a":
+            self.in_link = False
+        elif not self.skipped and tag not in html_blocks._INLINE:
+            self.end()
+
+    def handle_data(self, data):
+        if not self.skipped:
+            self.parts.append(data)
+            self.linked += len(data.split()) * self.in_link
+
+
+def brute_main(node, x):
+    while node.feature >= 0:
+        node = node.high if x[node.feature] > node.cut else node.low
+    return node.main
+
+
+def brute_extract(page):
+    found = Blocks(page).out
+    density = lambda k: (found[k][1], found[k][2] / found[k][1]) if 0 <= k < len(found) else (0, 0)
+    main = [b for k, b in enumerate(found) if brute_main(html_blocks.tree(), [*density(k), *density(k - 1), *density(k + 1)])]
+    return len(found), len(main), sum(b[1] for b in main), "\n".join(b[0] for b in main)
+
+
+def test_html_extraction_against_another_parser(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: (r.n_blocks, r.n_main, r.main_words, r.main_text) for r in html_blocks.extract(pages).collect()}
+    assert len(got) == pages.count() and any(v[1] for v in got.values())
+    for r in pages.collect():
+        assert got[r.page_id] == brute_extract(r.html), r.page_id
+
+
+def test_html_is_read_once():
+    import time
+
+    began = time.perf_counter()
+    for unit in ("<a ", "<script ", "</script ", "<script></script ", "<!doctype ", "<svg ", "<head ", "<head><title>", '<a b="', "<!-- ", "<", "<svg>", '<p x=">"'):
+        html_blocks.blocks(unit * (500_000 // len(unit)))
+    assert time.perf_counter() - began < 30
+    assert html_blocks.blocks("<p class=it's>main <b>text</b></p><p>more a <b now") == [("main text", 2, 0), ("more a <b now", 4, 0)]
+
+
+def test_html_odd_tables(spark):
+    schema = "page_id bigint, url string, html string, n_blocks int, main_text string, doc_id bigint"
+    rows = [(1, "u", "<p>" + "word " * 30, 7, "x", 1)] * 2 + [(None, None, None, None, None, None)]
+    got = html_blocks.extract(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 3 and got[0] == got[1] and got[2].n_blocks == 0 and got[2].page_id is None
+    assert html_blocks.extract(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_html_tree_on_held_out_rows():
     x, y = html_blocks.labelled_table()
     parts = np.random.default_rng(0).permutation(len(y)) % 5
@@ -234,7 +315,43 @@ def test_html_tree_on_held_out_rows():
 # 4 license scan
 
 
+def brute_licenses(docs):
+    """Exact containment in every window of the grid, without signatures."""
+    out = set()
+    for d, text in docs:
+        ws = fold(text)
+        grams = [tuple(ws[i : i + licenses.SHINGLE]) for i in range(len(ws) - licenses.SHINGLE + 1)]
+        best, count = {}, {}
+        for k, (name, template) in enumerate(licenses.TEMPLATES):
+            ts = fold(template)
+            own = {tuple(ts[i : i + licenses.SHINGLE]) for i in range(len(ts) - licenses.SHINGLE + 1)}
+            width = max(4, 1 << (len(ts) - 1).bit_length())
+            for lo in range(0, len(ws), width):
+                places = [p for p in range(lo, min(lo + 2 * width, len(ws)) - licenses.SHINGLE + 1) if grams[p] in own]
+                share = len({grams[p] for p in places}) / len(own)
+                if share >= licenses.CONTAINMENT:
+                    count[name] = count.get(name, 0) + 1
+                    best[name] = min(best.get(name, (2,)), (-share, places[0], k, places[-1] + licenses.SHINGLE - 1))
+        out |= {(d, name, -b[0], b[1], b[3], count[name]) for name, b in best.items()}
+    return out
+
+
 def test_license_scan_against_brute_force(spark):
+    rng = random.Random(40)
+    docs = []
+    for k in range(80):
+        ws = [rng.choice("abcdefg") + str(rng.randrange(60)) for _ in range(rng.randrange(200))]
+        for _ in range(rng.randrange(3)):
+            template = rng.choice(licenses.TEMPLATES)[1].split()
+            template = [w for w in template if rng.random() > rng.choice([0, 0, 0.03, 0.1])]
+            at = rng.randrange(len(ws) + 1)
+            ws[at:at] = template
+        docs.append((k, " ".join(ws)))
+    got = {tuple(r) for r in licenses.scan(spark.createDataFrame(docs, DOC)).collect()}
+    assert len(got) > 20 and got == brute_licenses(docs)
+
+
+def test_license_scan_finds_planted_templates(spark):
     rng = random.Random(4)
     filler = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randrange(99)) for _ in range(n))
     docs, want = [], set()
@@ -260,7 +377,10 @@ def test_license_bands_reach_the_probability():
 
 
 def test_license_odd_rows(spark):
-    assert licenses.scan(odd(spark)).count() == 0
+    assert licenses.scan(odd(spark)).count() == 0 == licenses.scan(odd(spark).limit(0)).count()
+    rows = [(k, licenses.TEMPLATES[1][1], "x", 1, 2) for k in (3, 3, None)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string, license string, windows int, first_word int")).collect()
+    assert sorted(str(r.doc_id) for r in got if r.containment == 1) == ["3", "3", "None"]
 
 
 # 5, 9 repeated passages
@@ -792,6 +912,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert again.count() == left.count()
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_against_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    found = queries.QUERIES[name](spark, SF)
+    cols = sorted(found.columns)
+    want = db.execute(f"SELECT {', '.join(cols)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    got = [tuple(r) for r in found.select(*cols).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and (got or name == "op4_license_scan")
+
+
 def test_registered_queries():
     assert sorted(queries.QUERIES) == sorted(f"op{k}_{n}" for k, n in enumerate(["quality_rules", "ngram_jaccard", "html_extraction", "license_scan", "suffix_array", "best_fit_packing", "decontamination", "toxicity", "recompression", "pii"], 1))
     source = "".join(open(os.path.join(os.path.dirname(queries.__file__), f)).read() for f in os.listdir(os.path.dirname(queries.__file__)) if f.endswith(".py"))
