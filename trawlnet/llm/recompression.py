@@ -1,14 +1,16 @@
-"""Repeated passages by recompression: equal substrings get equal symbols, and shared high-level symbols give them away.
+"""Repeated passages by recompression: rounds name runs and pairs of symbols globally, and shared high-level symbols give repeats away.
 
-Every text begins as its words. A round first names each run of one symbol, then each pair of a left and a right symbol: which
-symbols are left ones is a coin toss per symbol and round, the same in all texts. A name is a hash of what it stands for, so
-all executors agree on names without exchanging a dictionary, and a symbol means the same words everywhere. What a
-round does at a place depends on the neighbouring symbol only. So two occurrences of a passage are cut alike save for
-a few words at either end, and share the symbols of their interior.
+Texts, each different one once, are spread over homes by hash; a text begins as its words. A round first takes each run of one symbol that covers
+`RUN_WORDS` words as one symbol, then each pair of a left and a right symbol: which symbols are left ones is a coin toss per symbol and
+round, the same in all texts. Homes send the distinct runs and pairs they have to the owners of their names. An owner sees all homes' and
+gives one name to equal ones; what is met at one place of the corpus only gets none and leaves the text, as it can't lie inside a passage that occurs twice.
 
-After the rounds, each symbol and those after it that it takes to cover `ANCHOR_WORDS` words are an anchor. Anchors shared by several
-places reveal candidate regions; there the windows of `min_words` words are named from the words
-themselves and counted, which verifies the passages and finds their exact ends.
+What a round does at a place depends on the neighbouring symbols only, so two occurrences of a passage are cut alike but for at most one symbol a round at either end, or a
+run that goes on beyond the end. `settings` sums that up: a passage of min_words words has `anchor_words` words of its inside in whole symbols after the
+rounds, whatever surrounds it, unless it has a run, and runs are anchors themselves. Sequences of symbols that cover so many words and occur at several places
+reveal where passages may be; there the windows of `min_words` words are named from the words themselves, which verifies the passages and finds their exact ends.
+
+Words are 39 bits of their hashes: that two different words are one symbol (1 in 10**11) would have to befall each word in which two passages differ.
 """
 
 from __future__ import annotations
@@ -18,89 +20,299 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import FLUSH, blob, bucket_of, buckets, exchange, gathered, runs, split
-from .passages import MIN_WORDS, SPANS, records, region_words, regions, spread  # noqa: F401
-from .textkit import Words, mix, powers, window_hashes, window_mask
-from .textkit import _BASE, _INVERSE
+from .common import FLUSH, blob, bucket_of, buckets, checkpointed, exchange, gathered, packed, packed_rising, ranges, runs, split, unpacked, unpacked_rising
+from .passages import MIN_WORDS, SPANS, merged, spread  # noqa: F401
+from .textkit import _BASE, _INVERSE, chunks, mix, powers, window_hashes, words
 
-ROUNDS = 6
-ANCHOR_WORDS = 14
+ROUNDS = 3
+#: Words from which on a run is one symbol, and an anchor.
+RUN_WORDS = 4
 _RUN, _LEFT, _RIGHT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+_DROPPED, _NAMED = np.uint64(25), np.uint64(1 << 39)
+_TEXT = "bucket int, symbols binary, starts binary, sizes binary, runs binary, texts binary"
+_REPLIES = "bucket int, source int, names binary"
 
 
-def compress(w: Words, rounds: int, long_run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Symbols after the rounds, the word each begins at (counted over all texts), its text; and first word, end and repeated symbol of the runs of long_run words or more."""
-    symbol, start, owner = w.hashes.copy(), np.arange(len(w.hashes)), w.owner
-    periodic = []
-    for k in range(rounds):
-        if len(symbol) < 2:
-            break
-        head = np.r_[True, (symbol[1:] != symbol[:-1]) | (owner[1:] != owner[:-1])]
-        at = np.flatnonzero(head)
-        length = np.diff(np.r_[at, len(symbol)])
-        stop = np.r_[start[at[1:]], len(w.hashes)]
-        long = (length > 1) & (stop - start[at] >= long_run)
-        periodic.append((start[at][long], stop[long], symbol[at][long]))
-        symbol, start, owner = symbol[at], start[at], owner[at]
-        symbol = np.where(length > 1, mix(symbol + _RUN * length.astype(np.uint64)), symbol)
-        left = mix(symbol ^ np.uint64(k + 1)) >> np.uint64(63) == 1
-        pair = np.flatnonzero(left[:-1] & ~left[1:] & (owner[1:] == owner[:-1]))
-        symbol[pair] = mix(symbol[pair] * _LEFT + symbol[pair + 1] * _RIGHT + np.uint64(k + 1))
-        keep = np.ones(len(symbol), bool)
-        keep[pair + 1] = False
-        symbol, start, owner = symbol[keep], start[keep], owner[keep]
-    return symbol, start, owner, periodic
-
-
-def symbol_anchors(rounds: int, anchor_words: int, min_words: int):
-    """Anchors of texts for passages.regions: symbols covering anchor_words words; and long runs of a symbol, whose text repeats itself."""
-
-    def anchors(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        symbol, start, owner, periodic = compress(w, rounds, min_words)
-        n, total = len(symbol), len(w.hashes)
-        ends = w.bounds[1:][owner] if n else np.zeros(0, np.int64)
-        last = np.searchsorted(np.r_[start, total], start + anchor_words) if n else np.zeros(0, np.int64)  # first symbol beyond
-        ok = (start + anchor_words <= ends) & (last <= n)
+def settings(min_words: int) -> tuple[int, int]:
+    """(rounds, anchor_words): the most rounds, up to ROUNDS, after which the inside of any passage without runs has a sequence of symbols over anchor_words words.
+
+    At either end a round costs a symbol, of up to 2**k words in round k, and in one of them a run of fewer than RUN_WORDS words, or a symbol, and its neighbour. A sequence exceeds its words by less than a symbol.
+    """
+    for rounds in range(ROUNDS, 0, -1):
+        lost = 2**rounds - 1 + max(RUN_WORDS - 1, 2 ** (rounds - 1)) + 2 ** (rounds - 1)
+        width = min_words - 2 * lost - (2**rounds - 1)
+        if width >= 2 ** (rounds - 1):
+            return rounds, width
+    raise ValueError("min_words is too small")
+
+
+def cut(symbol: np.ndarray, start: np.ndarray, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, starts and sizes in words after round k, which of them are new (runs or pairs), and start, end and symbol of the runs."""
+    n = len(symbol)
+    if not n:
+        return symbol, start, size, np.zeros(0, bool), np.zeros((0, 3), np.uint64)
+    next_to = start[:-1] + size[:-1] == start[1:]
+    head = np.r_[True, (symbol[1:] != symbol[:-1]) | ~next_to]
+    at = np.flatnonzero(head)
+    length = np.diff(np.r_[at, n])
+    last = at + length - 1
+    covers = start[last] + size[last] - start[at]
+    run = (length > 1) & (covers >= RUN_WORDS)
+    found = np.stack([start[at[run]].astype(np.uint64), (start[at[run]] + covers[run]).astype(np.uint64), symbol[at[run]]], 1)
+    inside = np.zeros(n + 1, np.int64)
+    inside[at[run] + 1] += 1
+    inside[at[run] + length[run]] -= 1
+    keep = np.cumsum(inside[:n]) == 0
+    key, sizes, new = symbol.copy(), size.copy(), np.zeros(n, bool)
+    key[at[run]] = mix(symbol[at[run]] + _RUN * length[run].astype(np.uint64))
+    sizes[at[run]], new[at[run]] = covers[run], True
+    key, start, size, new = key[keep], start[keep], sizes[keep], new[keep]
+    left = mix(key ^ np.uint64(k + 1)) >> np.uint64(63) == 1
+    pair = np.flatnonzero(left[:-1] & ~left[1:] & (start[:-1] + size[:-1] == start[1:]))
+    key[pair] = mix(key[pair] * _LEFT + key[pair + 1] * _RIGHT + np.uint64(k + 1))
+    size = size.copy()
+    size[pair] += size[pair + 1]
+    new[pair] = True
+    keep = np.ones(len(key), bool)
+    keep[pair + 1] = False
+    return key[keep], start[keep], size[keep], new[keep], found
+
+
+def _spread_texts(min_words: int, n: int):
+    """Words of the texts of min_words words or more, in buckets of their hashes; a task sends equal texts once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        met, size = np.zeros(0, np.int64), 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            record, count, symbols = (np.concatenate(x) for x in zip(*held))
+            home = bucket_of(mix(record.view(np.uint64)), n)
+            texts = {b: x for b, x in split(home, n, record, count)}
+            for b, (s,) in split(np.repeat(home, count), n, symbols):
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "records": [blob(texts[b][0])], "counts": [packed(texts[b][1])], "words": [packed(s)]})
+
+        for piece in chunks(batches):
+            w = words(piece.column("text"))
+            record, counts = piece.column("record").to_numpy(), w.counts
+            _, first = np.unique(record, return_index=True)
+            first = np.sort(first[(counts[first] >= min_words) & ~np.isin(record[first], met)])
+            met = np.union1d(met, record[first])
+            own = np.maximum(w.hashes[ranges(w.bounds[first], counts[first])] >> _DROPPED, np.uint64(1))
+            held.append((record[first], counts[first], own))
+            size += len(own)
+            if size >= FLUSH:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    return run, "bucket int, records binary, counts binary, words binary"
+
+
+def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A home's texts, each record once, a place apart: symbols and the texts' (place, record, words)."""
+    home, met, at = -1, set(), 0
+    parts: list[np.ndarray] = []
+    table: list[tuple[int, int, int]] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            home = row["bucket"]
+            records, counts, own = np.frombuffer(row["records"], np.int64), unpacked(row["counts"]).astype(np.int64), unpacked(row["words"])
+            begin = np.cumsum(counts) - counts
+            for r, a, c in zip(records.tolist(), begin.tolist(), counts.tolist()):
+                if r not in met:
+                    met.add(r)
+                    table.append((at, r, c))
+                    parts.append(own[a : a + c])
+                    at += c + 1
+    if home >= 0:
+        yield _text(home, np.concatenate(parts), b"", b"", b"", blob(np.array(table, np.int64)))
+
+
+def _text(home: int, symbols: np.ndarray, starts: bytes, sizes: bytes, found: bytes, texts: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "symbols": [packed(symbols)], "starts": [starts], "sizes": [sizes], "runs": [found], "texts": [texts]})
+
+
+def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of a home, where each begins and its words; at first, when they are words, the texts tell that."""
+    symbols = unpacked(row["symbols"])
+    if row["texts"]:
+        table = np.frombuffer(row["texts"], np.int64).reshape(-1, 3)
+        return symbols, ranges(table[:, 0], table[:, 2]), np.ones(len(symbols), np.int64)
+    return symbols, unpacked_rising(row["starts"], len(symbols)).astype(np.int64), unpacked(row["sizes"]).astype(np.int64)
+
+
+def _distinct(key: np.ndarray, new: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Owner, keys (rising) and whether the home has each several times, of the new symbols."""
+    names, count = np.unique(key[new], return_counts=True)
+    for b, (x, c) in split(bucket_of(names, n), n, names, count):
+        yield b, x, c > 1
+
+
+def _keys(k: int, n: int):
+    """The runs and pairs of a home in round k, for the owners of their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                key, _, _, new, _ = cut(*_read(row), k)
+                for b, x, several in _distinct(key, new, n):
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "home": pa.array([row["bucket"]], pa.int32()), "keys": [packed_rising(x)], "several": [blob(several)]})
+
+    return run, "bucket int, home int, keys binary, several binary"
+
+
+def _names(k: int, n: int):
+    """An owner's names, one for equal keys of all homes and 0 for those met once, sent back in the order of each home's keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, parts = -1, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                owner = row["bucket"]
+                several = np.frombuffer(row["several"], bool)
+                parts.append((row["home"], unpacked_rising(row["keys"], len(several)), several))
+        if owner < 0:
+            return
+        every, at, count = np.unique(np.concatenate([x for _, x, _ in parts]), return_inverse=True, return_counts=True)
+        shared = count > 1
+        shared[at[np.concatenate([s for _, _, s in parts])]] = True
+        name = np.where(shared, _NAMED + ((np.cumsum(shared).astype(np.uint64) * np.uint64(n) + np.uint64(owner)) * np.uint64(ROUNDS) + np.uint64(k)), np.uint64(0))
+        lo = 0
+        for home, x, _ in parts:
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "source": pa.array([owner], pa.int32()), "names": [packed(name[at[lo : lo + len(x)]])]})
+            lo += len(x)
+
+    return run, _REPLIES
+
+
+def _with(texts: DataFrame, replies: DataFrame) -> DataFrame:
+    """Texts and what came back for them, those of a home in one partition."""
+    return exchange(texts.unionByName(replies, allowMissingColumns=True))
+
+
+def _renamed(k: int, n: int):
+    """A home's text of the next round: what got no name is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, replies = None, {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["source"] is None:
+                    text = row
+                else:
+                    replies[row["source"]] = row["names"]
+        if text is None:
+            return
+        key, start, size, new, found = cut(*_read(text), k)
+        mine = list(_distinct(key, new, n))
+        if mine:
+            keys, names = np.concatenate([x for _, x, _ in mine]), np.concatenate([unpacked(replies[b]) for b, _, _ in mine])
+            order = np.argsort(keys)
+            key[new] = names[order][np.searchsorted(keys[order], key[new])]
+        keep = key > 0
+        yield _text(text["bucket"], key[keep], packed_rising(start[keep]), packed(size[keep]), text["runs"] + blob(found), b"")
+
+    return run, _TEXT
+
+
+def anchors(symbol: np.ndarray, start: np.ndarray, size: np.ndarray, found: np.ndarray, anchor_words: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first word and end of each sequence of neighbouring symbols that takes anchor_words words to cover, and of the runs; a run that repeats itself counts twice."""
+    n = len(symbol)
+    a, b, key = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if n:
+        ends = start + size
+        part = np.cumsum(np.r_[0, start[1:] != ends[:-1]])
+        last = np.searchsorted(ends, start + anchor_words)
+        ok = last < n
+        ok[ok] = part[last[ok]] == part[ok]
         first, last = np.flatnonzero(ok), last[ok]
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(symbol * powers(_BASE, max(1, n))[:n], out=sums[1:])
-        key = mix((sums[last] - sums[first]) * powers(_INVERSE, n + 1)[first] + (last - first).astype(np.uint64))
-        a, b = start[first], np.r_[start, total][last]
-        # a run is one symbol by its length; as an anchor it is named by what it repeats, once for either end
-        for head, end, name in periodic:
-            again = end - min_words
-            other = again > head
-            a = np.r_[a, head, again[other]]
-            b = np.r_[b, end, end[other]]
-            key = np.r_[key, mix(name + _RUN), mix(name[other] + _RUN)]
-        text = w.owner[a] if len(a) else a
-        return text, a - w.bounds[text], b - w.bounds[text], key
-
-    return anchors
-
-
-def _window_rows(min_words: int, n: int):
-    def finish(record: list[int], first: list[int], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        at = 0
-        while at < len(parts):
-            to, size = at, 0
-            while to < len(parts) and (size == 0 or size + len(parts[to]) <= FLUSH):
-                size += len(parts[to])
-                to += 1
-            bounds = np.r_[0, np.cumsum([len(x) for x in parts[at:to]])]
-            key = window_hashes(np.concatenate(parts[at:to]), min_words)
-            ok = window_mask(bounds, min_words)
-            own = np.repeat(np.arange(to - at), np.diff(bounds))[: len(key)]
-            place = np.array(first[at:to])[own] + np.arange(len(key)) - bounds[own]
-            key, own, place = key[ok], own[ok], place[ok]
-            names = np.array(record[at:to], np.int64)
-            for b, (k, o, p) in split(bucket_of(key, n), n, key, own, place):
-                starts, lengths = runs(o)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "keys": [blob(k)], "records": [blob(names[o[starts]])], "counts": [blob(lengths.astype(np.uint32))], "starts": [blob(p.astype(np.uint32))]})
-            at = to
-
-    return finish, "bucket int, keys binary, records binary, counts binary, starts binary"
+        np.cumsum(symbol * powers(_BASE, n), out=sums[1:])
+        key = mix((sums[last + 1] - sums[first]) * powers(_INVERSE, n + 1)[first] + (last + 1 - first).astype(np.uint64))
+        a, b = start[first], ends[last]
+    head, end, name = found[:, 0].astype(np.int64), found[:, 1].astype(np.int64), mix(found[:, 2] + _RUN)
+    again = end - head > min_words
+    return np.r_[key, name, name[again]], np.r_[a, head, head[again] + 1], np.r_[b, end, end[again]]
+
+
+def _anchors(anchor_words: int, min_words: int, n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                key, a, b = anchors(*_read(row), np.frombuffer(row["runs"], np.uint64).reshape(-1, 3), anchor_words, min_words)
+                order = np.argsort(a, kind="stable")
+                key, a, b = key[order], a[order], b[order]
+                for owner, (x, y, z) in split(bucket_of(key, n), n, key, a, b - a):
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([owner], pa.int32()), "home": pa.array([row["bucket"]], pa.int32()), "keys": [blob(x)], "starts": [packed_rising(y)], "sizes": [packed(z)]})
+
+    return run, "bucket int, home int, keys binary, starts binary, sizes binary"
+
+
+def _regions(min_words: int, n: int):
+    """Places around anchors met twice, merged, for their homes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, owner = [], -1
+        for batch in batches:
+            for row in batch.to_pylist():
+                owner, keys = row["bucket"], np.frombuffer(row["keys"], np.uint64)
+                parts.append((keys, np.full(len(keys), row["home"]), unpacked_rising(row["starts"], len(keys)).astype(np.int64), unpacked(row["sizes"]).astype(np.int64)))
+        if not parts:
+            return
+        keys, homes, starts, sizes = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(keys, kind="stable")
+        _, length = runs(keys[order])
+        take = order[np.repeat(length > 1, length)]
+        for home, (a, m) in split(homes[take], n, starts[take], sizes[take]):
+            low, high = np.maximum(0, np.minimum(a, a + m - min_words)), np.maximum(a + m, a + min_words)
+            low, high = np.where(m < min_words, low, np.maximum(0, a - min_words)), np.where(m < min_words, high, a + m + min_words)
+            order = np.argsort(low, kind="stable")
+            _, low, high = merged(np.zeros(len(low), np.int64), low[order], high[order])
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "source": pa.array([owner], pa.int32()), "names": [blob(np.stack([low, high], 1))]})
+
+    return run, _REPLIES
+
+
+def _windows(min_words: int, n: int):
+    """The windows of min_words words in a home's regions, by name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, found = None, [np.zeros((0, 2), np.int64)]
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["source"] is None:
+                    text = row
+                else:
+                    found.append(np.frombuffer(row["names"], np.int64).reshape(-1, 2))
+        found = np.concatenate(found)
+        if text is None or not len(found):
+            return
+        table = np.frombuffer(text["texts"], np.int64).reshape(-1, 3)
+        own = unpacked(text["symbols"])
+        order = np.argsort(found[:, 0], kind="stable")
+        _, low, high = merged(np.zeros(len(found), np.int64), found[order, 0], found[order, 1])
+        # words at their places, 0 between texts
+        placed = np.zeros(int(table[-1, 0] + table[-1, 2]) + 1, np.uint64)
+        placed[ranges(table[:, 0], table[:, 2])] = own
+        high = np.minimum(high, len(placed)) - min_words + 1
+        place = ranges(low, np.maximum(0, high - low))
+        of = np.searchsorted(table[:, 0], place, "right") - 1
+        inside = place + min_words <= table[of, 0] + table[of, 2]
+        place, of = place[inside], of[inside]
+        for lo in range(0, len(place), FLUSH):
+            p, o = place[lo : lo + FLUSH], of[lo : lo + FLUSH]
+            first = int(p[0])
+            key = window_hashes(placed[first : int(p[-1]) + min_words], min_words)[p - first]
+            record, word = table[o, 1], p - table[o, 0]
+            for b, (x, r, s) in split(bucket_of(key, n), n, key, record, word):
+                heads, lengths = runs(r)
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "keys": [blob(x)], "records": [blob(r[heads])], "counts": [blob(lengths.astype(np.uint32))], "starts": [blob(s.astype(np.uint32))]})
+
+    return run, "bucket int, keys binary, records binary, counts binary, starts binary"
 
 
 def _met_twice(n: int):
@@ -110,21 +322,34 @@ def _met_twice(n: int):
         order = np.argsort(keys, kind="stable")
         _, size = runs(keys[order])
         take = order[np.repeat(size > 1, size)]
-        for b, (r, s) in split(bucket_of(names[take].view(np.uint64), n), n, names[take], starts[take].astype(np.int64)):
+        for b, (r, s) in split(bucket_of(mix(names[take].view(np.uint64)), n), n, names[take], starts[take].astype(np.int64)):
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "records": [blob(r)], "starts": [blob(s)]})
 
     return run, "bucket int, records binary, starts binary"
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, rounds: int = ROUNDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for texts in batch.column("texts").to_pylist():
+            table = np.frombuffer(texts, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(table[:, 1]), pa.array(table[:, 2], pa.int32())], ["record", "n_words"])
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start_word, end_word) of the maximal parts of docs (doc_id, text) made of passages of min_words words that occur twice or more.
 
-    Occurrences may be in one text or several and may overlap. Equal texts are occurrences of each other. Null and empty texts have none; rows of
-    null doc_id aren't searched; a row repeated whole counts as an occurrence, reported once; other columns are ignored. The search
-    is exact but for passages whose interior no anchor fits in (about one in thousands at these settings).
+    Every such passage is found. Occurrences may be in one text or several and may overlap. Equal texts are occurrences of each other. Null and empty texts have none; rows of
+    null doc_id aren't searched; a row repeated whole counts as an occurrence, reported once; an empty table has none; other columns are ignored.
     """
     n = buckets(docs.sparkSession)
-    known = records(docs)
-    found = regions(docs, symbol_anchors(rounds, anchor_words, min_words), min_words)
-    windows = region_words(docs, found, known, min_words, *_window_rows(min_words, n))
-    return spread(exchange(windows).mapInArrow(*_met_twice(n)), known, min_words)
+    rounds, anchor_words = settings(min_words)
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("record"), F.col("text").cast("string").alias("text"))
+    first = checkpointed(exchange(rows.select("record", "text").mapInArrow(*_spread_texts(min_words, n))).mapInArrow(_homes, _TEXT))
+    text = first
+    for k in range(rounds):
+        replies = exchange(text.mapInArrow(*_keys(k, n))).mapInArrow(*_names(k, n))
+        text = checkpointed(_with(text, replies).mapInArrow(*_renamed(k, n)))
+    found = exchange(text.mapInArrow(*_anchors(anchor_words, min_words, n))).mapInArrow(*_regions(min_words, n))
+    places = checkpointed(exchange(_with(first, found).mapInArrow(*_windows(min_words, n))).mapInArrow(*_met_twice(n)))
+    known = checkpointed(rows.select("doc_id", "record").join(first.select("texts").mapInArrow(_sizes, "record bigint, n_words int"), "record"))
+    return spread(places, known, min_words)
