@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trawlnet.llm import boosting, common, decontaminate, html_blocks, jaccard_join, licenses, packing, pii, queries, recompression, repetition, suffix_array, toxicity
+from trawlnet.llm import boosting, common, decontaminate, html_blocks, jaccard_join, licenses, packing, passages, pii, queries, recompression, repetition, suffix_array, toxicity
 from trawlnet.llm.textkit import words
 
 SF = "/root/testdata/sf0.001"
@@ -465,6 +465,31 @@ def test_repeated_passages_among_few_words(spark, operator):
         assert {tuple(r) for r in operator.repeated_passages(spark.createDataFrame(docs, DOC), least).collect()} == brute_spans(docs, least)
 
 
+def test_suffix_array_is_in_order(spark):
+    """The whole recursion against a plain sort: ranks of all suffixes of one home, with passages that repeat for long."""
+    rng = random.Random(31)
+    unit = [rng.randrange(1, 9) for _ in range(40)]
+    words_ = [rng.randrange(1, 4) for _ in range(150)] + [0] + unit * 4 + [0] + [7] * 60 + [0] + unit + [int(suffix_array._END)]
+    text = spark.createDataFrame([(0, common.packed(np.array(words_, np.uint64)), b"")], suffix_array._TEXT)
+    down, n = [text], 3
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    while True:
+        names = common.checkpointed(common.exchange(down[-1].mapInArrow(*suffix_array._triples(suffix_array._triple_borders(down[-1], n)))).mapInArrow(suffix_array._name, suffix_array._NAMES))
+        up = common.checkpointed(suffix_array._both(down[-1], names).mapInArrow(*suffix_array._next_text(suffix_array._offsets(names, n))))
+        if names.filter("repeats").isEmpty():
+            break
+        down.append(up)
+    assert len(down) >= 4  # a period of 40 words that comes four times needs more than 3**3 words
+    while down:
+        items = suffix_array._both(down[-1], suffix_array._as_ranks(up)).mapInArrow(*suffix_array._merge_items(suffix_array._merge_borders(down[-1], up, n), 5, False, n))
+        ranks = common.checkpointed(common.exchange(items).mapInArrow(*suffix_array._merge(False, n)))
+        up = common.checkpointed(common.exchange(ranks).mapInArrow(*suffix_array._place_ranks(suffix_array._offsets(ranks, n))))
+        down.pop()
+    got = common.unpacked(up.collect()[0].symbols).tolist()
+    want = sorted(range(len(words_)), key=lambda k: words_[k:])
+    assert [got.index(k + 1) for k in range(len(words_))] == want
+
+
 def test_packed_numbers():
     rng = np.random.default_rng(0)
     for top in (1, 200, 70_000, 2**40, 2**64 - 1):
@@ -503,10 +528,10 @@ def test_recompression_names_are_global(spark):
     n = 4
     texts = [(k, f"{'p q r s t u v w ' * 3} only{k} other{k}") for k in range(12)]
     rows = spark.createDataFrame(texts, "record bigint, text string")
-    text = common.exchange(rows.mapInArrow(*recompression._spread_texts(5, n)), n=n).mapInArrow(recompression._homes, recompression._TEXT)
+    text = common.exchange(rows.mapInArrow(*passages.spread_texts(5, n)), n=n).mapInArrow(passages._homes, passages.TEXT)
     text = common.checkpointed(text)
     replies = common.exchange(text.mapInArrow(*recompression._keys(0, n)), n=n).mapInArrow(*recompression._names(0, n))
-    after = recompression._with(text, replies).mapInArrow(*recompression._renamed(0, n)).collect()
+    after = passages.with_replies(text, replies).mapInArrow(*recompression._renamed(0, n)).collect()
     assert len(after) > 1
     named = [{int(x) for x in common.unpacked(r.symbols) if x >= recompression._NAMED} for r in after]
     assert named[0] and all(x == named[0] for x in named)

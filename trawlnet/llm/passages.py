@@ -1,96 +1,104 @@
 """Shared frame of the two searches for long passages that occur more than once.
 
-Texts that are equal are one record, named by a 64-bit hash of the text. An operator says which anchors (short runs of
-words) each text has; anchors met at one place only are dropped, and what is left of the texts is the *regions* around the
-others: every passage of `min_words` words that occurs twice lies in them. The regions' words go to the operator's exact search;
-its result is spread to all rows of each record.
+Texts are spread over *homes* by a 64-bit hash of the text, their name as *records*; equal texts are one record. A search says which anchors (short runs of
+words) a home has. Anchors met at one place of the corpus only are dropped, and the *regions* around the others are where passages may be. What a search finds per
+record is spread to all rows of the record.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FLUSH, blob, bucket_of, buckets, checkpointed, column, exchange, gathered, ranges, runs, split
-from .textkit import Words, chunks, words
+from .common import FLUSH, blob, bucket_of, buckets, checkpointed, exchange, gathered, packed, ranges, runs, split, unpacked, unpacked_rising
+from .textkit import chunks, mix, words
 
 MIN_WORDS = 50
 SPANS = "doc_id bigint, start_word int, end_word int"
+#: A home's text: its symbols, where each begins and its words, runs found so far, and (place, record, words) of its texts.
+TEXT = "bucket int, symbols binary, starts binary, sizes binary, runs binary, texts binary"
+REPLIES = "bucket int, source int, names binary"
+#: Low bits of a word's hash that aren't kept.
+_DROPPED = np.uint64(25)
 
-#: From the words of some texts: text, first word, end and key of each anchor.
-Anchors = Callable[[Words], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, record, text) of the rows that have a doc_id."""
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("record"), F.col("text").cast("string").alias("text"))
 
-def records(docs: DataFrame) -> DataFrame:
-    """(doc_id, record, n_words) of all rows with a doc_id, kept in the shared folder."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in chunks(batches):
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("record"), pa.array(words(piece.column("text")).counts, pa.int32())], ["doc_id", "record", "n_words"])
-
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("record"), "text")
-    return checkpointed(rows.mapInArrow(run, "doc_id bigint, record bigint, n_words int"))
+def spread_texts(min_words: int, n: int):
+    """Words of the texts of min_words words or more, in buckets of their hashes; a task sends equal texts once."""
 
-
-def _emit(anchors: Anchors, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        met, size = np.zeros(0, np.int64), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key, record, start, end = (np.concatenate(x) for x in zip(*held))
-            for b, (k, r, s, e) in split(bucket_of(key, n), n, key, record, start, end):
-                starts, lengths = runs(r)
-                yield pa.RecordBatch.from_pydict(
-                    {"bucket": pa.array([b], pa.int32()), "keys": [blob(k)], "records": [blob(r[starts])], "counts": [blob(lengths.astype(np.uint32))], "starts": [blob(s.astype(np.uint32))], "lengths": [blob((e - s).astype(np.uint32))]}
-                )
+            record, count, symbols = (np.concatenate(x) for x in zip(*held))
+            home = bucket_of(mix(record.view(np.uint64)), n)
+            texts = {b: x for b, x in split(home, n, record, count)}
+            for b, (s,) in split(np.repeat(home, count), n, symbols):
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "records": [blob(texts[b][0])], "counts": [packed(texts[b][1])], "words": [packed(s)]})
 
         for piece in chunks(batches):
-            record = piece.column("record").to_numpy()
-            text, start, end, key = anchors(words(piece.column("text")))
-            held.append((key, record[text], start, end))
-            size += len(key)
+            w = words(piece.column("text"))
+            record, counts = piece.column("record").to_numpy(), w.counts
+            _, first = np.unique(record, return_index=True)
+            first = np.sort(first[(counts[first] >= min_words) & ~np.isin(record[first], met)])
+            met = np.union1d(met, record[first])
+            own = np.maximum(w.hashes[ranges(w.bounds[first], counts[first])] >> _DROPPED, np.uint64(1))
+            held.append((record[first], counts[first], own))
+            size += len(own)
             if size >= FLUSH:
                 yield from flush()
                 held, size = [], 0
-        if held:
+        if size:
             yield from flush()
 
-    return run, "bucket int, keys binary, records binary, counts binary, starts binary, lengths binary"
+    return run, "bucket int, records binary, counts binary, words binary"
 
 
-def _repeated(min_words: int, n: int):
-    """Regions around the anchors of a bucket that occur at two places or more, sent to the buckets of their records."""
+def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A home's texts, each record once, a place apart: symbols and the texts' (place, record, words)."""
+    home, met, at = -1, set(), 0
+    parts: list[np.ndarray] = []
+    table: list[tuple[int, int, int]] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            home = row["bucket"]
+            records, counts, own = np.frombuffer(row["records"], np.int64), unpacked(row["counts"]).astype(np.int64), unpacked(row["words"])
+            begin = np.cumsum(counts) - counts
+            for r, a, c in zip(records.tolist(), begin.tolist(), counts.tolist()):
+                if r not in met:
+                    met.add(r)
+                    table.append((at, r, c))
+                    parts.append(own[a : a + c])
+                    at += c + 1
+    if home >= 0:
+        yield text_row(home, np.concatenate(parts), b"", b"", b"", blob(np.array(table, np.int64)))
+
+
+def text_row(home: int, symbols: np.ndarray, starts: bytes, sizes: bytes, found: bytes, texts: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "symbols": [packed(symbols)], "starts": [starts], "sizes": [sizes], "runs": [found], "texts": [texts]})
+
+
+def read_text(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of a home, where each begins and its words; at first, when they are words, the texts tell that."""
+    symbols = unpacked(row["symbols"])
+    if row["texts"]:
+        table = np.frombuffer(row["texts"], np.int64).reshape(-1, 3)
+        return symbols, ranges(table[:, 0], table[:, 2]), np.ones(len(symbols), np.int64)
+    return symbols, unpacked_rising(row["starts"], len(symbols)).astype(np.int64), unpacked(row["sizes"]).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, records, counts, starts, lengths = gathered(batches, keys=np.uint64, records=np.int64, counts=np.uint32, starts=np.uint32, lengths=np.uint32)
-        records = np.repeat(records, counts)
-        order = np.argsort(keys, kind="stable")
-        first, size = runs(keys[order])
-        take = order[np.repeat(size > 1, size)]
-        keys, records, starts, lengths = keys[take], records[take], starts[take].astype(np.int64), lengths[take].astype(np.int64)
-        order = np.lexsort((starts, records, keys))
-        keys, records, starts, lengths = keys[order], records[order], starts[order], lengths[order]
-        if not len(keys):
-            return
-        fresh = np.r_[True, (keys[1:] != keys[:-1]) | (records[1:] != records[:-1]) | (starts[1:] != starts[:-1])]
-        keys, records, starts, lengths = keys[fresh], records[fresh], starts[fresh], lengths[fresh]
-        _, size = runs(keys)
-        ok = np.repeat(size > 1, size)
-        records, starts, lengths = records[ok], starts[ok], lengths[ok]
-        # a passage holds a short anchor wholly; it may overlap a long one anyhow
-        low = np.maximum(0, np.where(lengths < min_words, starts + lengths, starts) - min_words)
-        high = np.where(lengths < min_words, starts, starts + lengths) + min_words
-        order = np.lexsort((low, records))
-        r, a, b = merged(records[order], low[order], high[order])
-        for k, (x, y, z) in split(bucket_of(r.view(np.uint64), n), n, r, a, b):
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int32()), "records": [blob(x)], "starts": [blob(y)], "ends": [blob(z)]})
-
-    return run, "bucket int, records binary, starts binary, ends binary"
+
+def with_replies(texts: DataFrame, replies: DataFrame) -> DataFrame:
+    """Texts and what came back for them, those of a home in one partition."""
+    return exchange(texts.unionByName(replies, allowMissingColumns=True))
 
 
 def merged(owner: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,53 +114,29 @@ def merged(owner: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nda
     return owner[starts], low[starts], (reach - shift)[ends]
 
 
-def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    r, a, b = gathered(batches, records=np.int64, starts=np.int64, ends=np.int64)
-    order = np.lexsort((a, r))
-    r, a, b = merged(r[order], a[order], b[order])
-    starts, lengths = runs(r)
-    for at in range(0, len(starts), 4096):
-        part = range(at, min(at + 4096, len(starts)))
-        yield pa.RecordBatch.from_pydict(
-            {
-                "record": pa.array(r[starts[at : at + 4096]]),
-                "starts": pa.array([blob(a[starts[k] : starts[k] + lengths[k]]) for k in part], pa.binary()),
-                "ends": pa.array([blob(b[starts[k] : starts[k] + lengths[k]]) for k in part], pa.binary()),
-            }
-        )
-
-
-def regions(docs: DataFrame, anchors: Anchors, min_words: int) -> DataFrame:
-    """(record, starts, ends): the word intervals, packed int64, that may lie in a passage of min_words words occurring twice."""
-    p = buckets(docs.sparkSession)
-    found = docs.filter("doc_id is not null").select("text", F.xxhash64("text").alias("record")).mapInArrow(*_emit(anchors, p))
-    found = exchange(exchange(found).mapInArrow(*_repeated(min_words, p))).mapInArrow(_union, "record bigint, starts binary, ends binary")
-    return found
-
-
-def region_words(docs: DataFrame, found: DataFrame, known: DataFrame, min_words: int, finish, schema: str) -> DataFrame:
-    """Maps the words of the regions, once per record: finish gets (record, first word, word hashes) of regions of at least min_words words, batch by batch."""
-    least = known.groupBy("record").agg(F.min("doc_id").alias("doc_id"))
-    wanted = found.join(least, "record")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id").filter(F.xxhash64("text") == F.col("record")).select("record", "text", "starts", "ends")
+def regions(min_words: int, n: int):
+    """Places around anchors met twice, merged, for their homes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in chunks(batches):
-            w = words(piece.column("text"))
-            record, first, parts = [], [], []
-            for k, r in enumerate(piece.column("record").to_pylist()):
-                row = piece.slice(k, 1)
-                own = w.hashes[w.bounds[k] : w.bounds[k + 1]]
-                for a, b in zip(column(row, "starts", np.int64), column(row, "ends", np.int64)):
-                    b = min(b, len(own))
-                    if b - a >= min_words:
-                        record.append(r)
-                        first.append(a)
-                        parts.append(own[a:b])
-            if parts:
-                yield from finish(record, first, parts)
-
-    return rows.mapInArrow(run, schema)
+        parts, owner = [], -1
+        for batch in batches:
+            for row in batch.to_pylist():
+                owner, keys = row["bucket"], np.frombuffer(row["keys"], np.uint64)
+                parts.append((keys, np.full(len(keys), row["home"]), unpacked_rising(row["starts"], len(keys)).astype(np.int64), unpacked(row["sizes"]).astype(np.int64)))
+        if not parts:
+            return
+        keys, homes, starts, sizes = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(keys, kind="stable")
+        _, length = runs(keys[order])
+        take = order[np.repeat(length > 1, length)]
+        for home, (a, m) in split(homes[take], n, starts[take], sizes[take]):
+            low, high = np.maximum(0, np.minimum(a, a + m - min_words)), np.maximum(a + m, a + min_words)
+            low, high = np.where(m < min_words, low, np.maximum(0, a - min_words)), np.where(m < min_words, high, a + m + min_words)
+            order = np.argsort(low, kind="stable")
+            _, low, high = merged(np.zeros(len(low), np.int64), low[order], high[order])
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "source": pa.array([owner], pa.int32()), "names": [blob(np.stack([low, high], 1))]})
+
+    return run, REPLIES
 
 
 def _to_spans(min_words: int):
@@ -176,3 +160,21 @@ def spread(places: DataFrame, known: DataFrame, min_words: int) -> DataFrame:
     whole = known.select("doc_id", "record").join(copied.filter(f"n > 1 and end_word >= {min_words}"), "record").select("doc_id", F.lit(0).alias("start_word"), "end_word")
     single = spans.join(copied.filter("n = 1"), "record", "left_semi").join(known, "record").select("doc_id", "start_word", "end_word")
     return single.unionByName(whole).distinct()
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for texts in batch.column("texts").to_pylist():
+            table = np.frombuffer(texts, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(table[:, 1]), pa.array(table[:, 2], pa.int32())], ["record", "n_words"])
+
+
+def homes_of(rows: DataFrame, min_words: int) -> DataFrame:
+    """The homes of all texts of min_words words or more, kept in the shared folder."""
+    n = buckets(rows.sparkSession)
+    return checkpointed(exchange(rows.select("record", "text").mapInArrow(*spread_texts(min_words, n))).mapInArrow(_homes, TEXT))
+
+
+def known_rows(rows: DataFrame, homes: DataFrame) -> DataFrame:
+    """(doc_id, record, n_words) of the rows whose texts are in homes."""
+    return checkpointed(rows.select("doc_id", "record").join(homes.select("texts").mapInArrow(_sizes, "record bigint, n_words int"), "record"))

@@ -20,19 +20,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import FLUSH, blob, bucket_of, buckets, checkpointed, exchange, gathered, packed, packed_rising, ranges, runs, split, unpacked, unpacked_rising
-from .passages import MIN_WORDS, SPANS, merged, spread  # noqa: F401
-from .textkit import _BASE, _INVERSE, chunks, mix, powers, window_hashes, words
+from .passages import MIN_WORDS, REPLIES, TEXT, homes_of, known_rows, merged, read_text, regions, rows_of, spread, text_row, with_replies
+from .textkit import _BASE, _INVERSE, mix, powers, window_hashes
 
 ROUNDS = 3
 #: Words from which on a run is one symbol, and an anchor.
 RUN_WORDS = 4
 _RUN, _LEFT, _RIGHT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
-_DROPPED, _NAMED = np.uint64(25), np.uint64(1 << 39)
-_TEXT = "bucket int, symbols binary, starts binary, sizes binary, runs binary, texts binary"
-_REPLIES = "bucket int, source int, names binary"
+_NAMED = np.uint64(1 << 39)
 
 
 def settings(min_words: int) -> tuple[int, int]:
@@ -80,71 +77,6 @@ def cut(symbol: np.ndarray, start: np.ndarray, size: np.ndarray, k: int) -> tupl
     return key[keep], start[keep], size[keep], new[keep], found
 
 
-def _spread_texts(min_words: int, n: int):
-    """Words of the texts of min_words words or more, in buckets of their hashes; a task sends equal texts once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        met, size = np.zeros(0, np.int64), 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            record, count, symbols = (np.concatenate(x) for x in zip(*held))
-            home = bucket_of(mix(record.view(np.uint64)), n)
-            texts = {b: x for b, x in split(home, n, record, count)}
-            for b, (s,) in split(np.repeat(home, count), n, symbols):
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "records": [blob(texts[b][0])], "counts": [packed(texts[b][1])], "words": [packed(s)]})
-
-        for piece in chunks(batches):
-            w = words(piece.column("text"))
-            record, counts = piece.column("record").to_numpy(), w.counts
-            _, first = np.unique(record, return_index=True)
-            first = np.sort(first[(counts[first] >= min_words) & ~np.isin(record[first], met)])
-            met = np.union1d(met, record[first])
-            own = np.maximum(w.hashes[ranges(w.bounds[first], counts[first])] >> _DROPPED, np.uint64(1))
-            held.append((record[first], counts[first], own))
-            size += len(own)
-            if size >= FLUSH:
-                yield from flush()
-                held, size = [], 0
-        if size:
-            yield from flush()
-
-    return run, "bucket int, records binary, counts binary, words binary"
-
-
-def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A home's texts, each record once, a place apart: symbols and the texts' (place, record, words)."""
-    home, met, at = -1, set(), 0
-    parts: list[np.ndarray] = []
-    table: list[tuple[int, int, int]] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            home = row["bucket"]
-            records, counts, own = np.frombuffer(row["records"], np.int64), unpacked(row["counts"]).astype(np.int64), unpacked(row["words"])
-            begin = np.cumsum(counts) - counts
-            for r, a, c in zip(records.tolist(), begin.tolist(), counts.tolist()):
-                if r not in met:
-                    met.add(r)
-                    table.append((at, r, c))
-                    parts.append(own[a : a + c])
-                    at += c + 1
-    if home >= 0:
-        yield _text(home, np.concatenate(parts), b"", b"", b"", blob(np.array(table, np.int64)))
-
-
-def _text(home: int, symbols: np.ndarray, starts: bytes, sizes: bytes, found: bytes, texts: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "symbols": [packed(symbols)], "starts": [starts], "sizes": [sizes], "runs": [found], "texts": [texts]})
-
-
-def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of a home, where each begins and its words; at first, when they are words, the texts tell that."""
-    symbols = unpacked(row["symbols"])
-    if row["texts"]:
-        table = np.frombuffer(row["texts"], np.int64).reshape(-1, 3)
-        return symbols, ranges(table[:, 0], table[:, 2]), np.ones(len(symbols), np.int64)
-    return symbols, unpacked_rising(row["starts"], len(symbols)).astype(np.int64), unpacked(row["sizes"]).astype(np.int64)
-
-
 def _distinct(key: np.ndarray, new: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Owner, keys (rising) and whether the home has each several times, of the new symbols."""
     names, count = np.unique(key[new], return_counts=True)
@@ -158,7 +90,7 @@ def _keys(k: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                key, _, _, new, _ = cut(*_read(row), k)
+                key, _, _, new, _ = cut(*read_text(row), k)
                 for b, x, several in _distinct(key, new, n):
                     yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "home": pa.array([row["bucket"]], pa.int32()), "keys": [packed_rising(x)], "several": [blob(several)]})
 
@@ -186,12 +118,7 @@ def _names(k: int, n: int):
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "source": pa.array([owner], pa.int32()), "names": [packed(name[at[lo : lo + len(x)]])]})
             lo += len(x)
 
-    return run, _REPLIES
-
-
-def _with(texts: DataFrame, replies: DataFrame) -> DataFrame:
-    """Texts and what came back for them, those of a home in one partition."""
-    return exchange(texts.unionByName(replies, allowMissingColumns=True))
+    return run, REPLIES
 
 
 def _renamed(k: int, n: int):
@@ -207,16 +134,16 @@ def _renamed(k: int, n: int):
                     replies[row["source"]] = row["names"]
         if text is None:
             return
-        key, start, size, new, found = cut(*_read(text), k)
+        key, start, size, new, found = cut(*read_text(text), k)
         mine = list(_distinct(key, new, n))
         if mine:
             keys, names = np.concatenate([x for _, x, _ in mine]), np.concatenate([unpacked(replies[b]) for b, _, _ in mine])
             order = np.argsort(keys)
             key[new] = names[order][np.searchsorted(keys[order], key[new])]
         keep = key > 0
-        yield _text(text["bucket"], key[keep], packed_rising(start[keep]), packed(size[keep]), text["runs"] + blob(found), b"")
+        yield text_row(text["bucket"], key[keep], packed_rising(start[keep]), packed(size[keep]), text["runs"] + blob(found), b"")
 
-    return run, _TEXT
+    return run, TEXT
 
 
 def anchors(symbol: np.ndarray, start: np.ndarray, size: np.ndarray, found: np.ndarray, anchor_words: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,7 +170,7 @@ def _anchors(anchor_words: int, min_words: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                key, a, b = anchors(*_read(row), np.frombuffer(row["runs"], np.uint64).reshape(-1, 3), anchor_words, min_words)
+                key, a, b = anchors(*read_text(row), np.frombuffer(row["runs"], np.uint64).reshape(-1, 3), anchor_words, min_words)
                 order = np.argsort(a, kind="stable")
                 key, a, b = key[order], a[order], b[order]
                 for owner, (x, y, z) in split(bucket_of(key, n), n, key, a, b - a):
@@ -252,31 +179,6 @@ def _anchors(anchor_words: int, min_words: int, n: int):
     return run, "bucket int, home int, keys binary, starts binary, sizes binary"
 
 
-def _regions(min_words: int, n: int):
-    """Places around anchors met twice, merged, for their homes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, owner = [], -1
-        for batch in batches:
-            for row in batch.to_pylist():
-                owner, keys = row["bucket"], np.frombuffer(row["keys"], np.uint64)
-                parts.append((keys, np.full(len(keys), row["home"]), unpacked_rising(row["starts"], len(keys)).astype(np.int64), unpacked(row["sizes"]).astype(np.int64)))
-        if not parts:
-            return
-        keys, homes, starts, sizes = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(keys, kind="stable")
-        _, length = runs(keys[order])
-        take = order[np.repeat(length > 1, length)]
-        for home, (a, m) in split(homes[take], n, starts[take], sizes[take]):
-            low, high = np.maximum(0, np.minimum(a, a + m - min_words)), np.maximum(a + m, a + min_words)
-            low, high = np.where(m < min_words, low, np.maximum(0, a - min_words)), np.where(m < min_words, high, a + m + min_words)
-            order = np.argsort(low, kind="stable")
-            _, low, high = merged(np.zeros(len(low), np.int64), low[order], high[order])
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "source": pa.array([owner], pa.int32()), "names": [blob(np.stack([low, high], 1))]})
-
-    return run, _REPLIES
-
-
 def _windows(min_words: int, n: int):
     """The windows of min_words words in a home's regions, by name."""
 
@@ -328,13 +230,6 @@ def _met_twice(n: int):
     return run, "bucket int, records binary, starts binary"
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for texts in batch.column("texts").to_pylist():
-            table = np.frombuffer(texts, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(table[:, 1]), pa.array(table[:, 2], pa.int32())], ["record", "n_words"])
-
-
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start_word, end_word) of the maximal parts of docs (doc_id, text) made of passages of min_words words that occur twice or more.
 
@@ -343,13 +238,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     n = buckets(docs.sparkSession)
     rounds, anchor_words = settings(min_words)
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("record"), F.col("text").cast("string").alias("text"))
-    first = checkpointed(exchange(rows.select("record", "text").mapInArrow(*_spread_texts(min_words, n))).mapInArrow(_homes, _TEXT))
+    rows = rows_of(docs)
+    first = homes_of(rows, min_words)
     text = first
     for k in range(rounds):
         replies = exchange(text.mapInArrow(*_keys(k, n))).mapInArrow(*_names(k, n))
-        text = checkpointed(_with(text, replies).mapInArrow(*_renamed(k, n)))
-    found = exchange(text.mapInArrow(*_anchors(anchor_words, min_words, n))).mapInArrow(*_regions(min_words, n))
-    places = checkpointed(exchange(_with(first, found).mapInArrow(*_windows(min_words, n))).mapInArrow(*_met_twice(n)))
-    known = checkpointed(rows.select("doc_id", "record").join(first.select("texts").mapInArrow(_sizes, "record bigint, n_words int"), "record"))
-    return spread(places, known, min_words)
+        text = checkpointed(with_replies(text, replies).mapInArrow(*_renamed(k, n)))
+    found = exchange(text.mapInArrow(*_anchors(anchor_words, min_words, n))).mapInArrow(*regions(min_words, n))
+    places = checkpointed(exchange(with_replies(first, found).mapInArrow(*_windows(min_words, n))).mapInArrow(*_met_twice(n)))
+    return spread(places, known_rows(rows, first), min_words)

@@ -1,106 +1,120 @@
 """Repeated passages from a distributed suffix array over words, built with a difference cover of period three.
 
-The text is the concatenation, per home partition, of all regions that could hold a repeated passage: words around
-fingerprints that occur twice, chosen by winnowing, which guarantees one in every window of `min_words` words (Schleimer and others, 2003).
-A suffix is ordered by its first words, at least `min_words` of them; what follows can't matter here. Words are 40 bits of
-their hashes: that two different words are one symbol (1 in 10**12) would have to befall each word in which two passages differ. Numbers travel
+The texts are cut down to the regions that could hold a repeated passage: words around
+fingerprints that occur twice, chosen by winnowing, which guarantees one in every window of `min_words` words (Schleimer and others, 2003). A home's
+regions are joined to one text, 0 between them and a symbol of its own at the end. Words are 39 bits of
+their hashes: that two different words are one symbol (1 in 10**11) would have to befall each word in which two passages differ. Numbers travel
 in as many bytes as the largest of a row needs.
 
-Down: the suffixes at places 1 and 2 modulo 3 are the sample. Their triples of symbols are sorted over all
-partitions by range and named by their rank; the names, those of places 1 before those of places 2, are the text of the next level.
-Three symbols of one level are nine of the level below, so the last level, whose triples are sorted at
-all places, comes after a number of levels that only depends on min_words.
+Down: the suffixes at places 1 and 2 modulo 3 are the sample. A home sends the distinct triples of symbols there, once each however often it has them; they are sorted over all
+partitions by range and named by their rank among the distinct ones; the names, those of places 1 before those of places 2, are the text of the next level. The recursion ends when
+all names are distinct, so that they are the ranks of the sample.
 
 Up: the ranks of a level's sample come from the level above it. Places 0 modulo 3 are sorted by their symbol and the rank of the next
-place, and merged with the sample by the difference-cover comparisons, range by range of first symbols. The lowest merge
-has the suffix array in order; suffixes next to each other whose first min_words words are the same begin repeated passages.
+place, and merged with the sample by the difference-cover comparisons, range by range. Borders of ranges are suffixes, at even distances in the order of all, so
+that no range is large, however often a passage or its first words occur. The lowest merge has the suffix array of the regions in order; suffixes next to each other, in a range or over its border,
+whose first min_words words are the same begin repeated passages.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob, bucket_of, buckets, checkpointed, column, exchange, packed, packed_rising, split, unpacked, unpacked_rising
-from .passages import MIN_WORDS, records, region_words, regions, spread
-from .textkit import Words, mix, sliding_min, window_hashes, window_mask
+from .common import blob, bucket_of, buckets, checkpointed, exchange, packed, packed_rising, ranges, split, unpacked, unpacked_rising
+from .passages import MIN_WORDS, homes_of, known_rows, merged, regions, rows_of, spread, with_replies
+from .textkit import mix, sliding_min, window_hashes, window_mask
 
 FINGERPRINT = 16
-#: Triples per range that choose the borders of the ranges.
+#: Triples, and suffixes, of a home that choose the borders of the ranges.
 SAMPLES = 64
-#: Low bits of a word's hash that aren't kept, and of a window's.
-_DROPPED, _WINDOW_DROPPED = np.uint64(24), np.uint64(16)
+#: Symbols from here on end the text of a home.
+_END = np.uint64(1 << 39)
+_TEXT = "bucket int, symbols binary, aux binary"
 
 
-def winnowed(min_words: int, k: int):
-    """Anchors: of each window of min_words words that fingerprint of k words whose hash is least, the last of equals."""
+def winnowed(symbols: np.ndarray, bounds: np.ndarray, min_words: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window of min_words words in one text that fingerprint of k words whose hash is least, the last of equals: places and hashes."""
     width = min_words - k + 1
+    h = window_hashes(symbols, k)
+    if len(h) < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    ok = window_mask(bounds, min_words)
+    least = sliding_min(h, width)
+    # the place of the least is found from the right, once for each hash that is the least of some window
+    chosen = np.zeros(len(h), bool)
+    for lo in range(0, len(least), 1 << 16):
+        part = least[lo : lo + (1 << 16)]
+        good = ok[lo : lo + len(part)]
+        block = np.lib.stride_tricks.sliding_window_view(h[lo : lo + len(part) + width - 1], width)
+        change = np.r_[True, (part[1:] != part[:-1])] | (np.arange(len(part)) % 8 == 0)
+        todo = np.flatnonzero(good & change)
+        at = width - 1 - np.argmax(block[todo][:, ::-1] == part[todo][:, None], axis=1)
+        chosen[lo + todo + at] = True
+        rest = np.flatnonzero(good & ~change)
+        if len(rest):  # the same least as the window before: chosen unless it left or came again
+            last = lo + rest + width - 1
+            chosen[last[h[last] == part[rest]]] = True
+            gone = rest[h[lo + rest - 1] == part[rest]]
+            at = width - 1 - np.argmax(block[gone][:, ::-1] == part[gone][:, None], axis=1)
+            chosen[lo + gone + at] = True
+            unsure = rest[~good[np.maximum(rest - 1, 0)]]
+            at = width - 1 - np.argmax(block[unsure][:, ::-1] == part[unsure][:, None], axis=1)
+            chosen[lo + unsure + at] = True
+    place = np.flatnonzero(chosen)
+    return place, h[place]
+
+
+def _anchors(min_words: int, k: int, n: int):
+    """A home's winnowed fingerprints, for the owners of their hashes."""
 
-    def anchors(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        h = window_hashes(w.hashes, k)
-        empty = np.zeros(0, np.int64)
-        if len(h) < width:
-            return empty, empty, empty, np.zeros(0, np.uint64)
-        ok = window_mask(w.bounds, min_words)
-        least = sliding_min(h, width)
-        # the place of the least is found from the right, once for each hash that is the least of some window
-        chosen = np.zeros(len(h), bool)
-        for lo in range(0, len(least), 1 << 16):
-            part = least[lo : lo + (1 << 16)]
-            good = ok[lo : lo + len(part)]
-            block = np.lib.stride_tricks.sliding_window_view(h[lo : lo + len(part) + width - 1], width)
-            change = np.r_[True, (part[1:] != part[:-1])] | (np.arange(len(part)) % 8 == 0)
-            todo = np.flatnonzero(good & change)
-            at = width - 1 - np.argmax(block[todo][:, ::-1] == part[todo][:, None], axis=1)
-            chosen[lo + todo + at] = True
-            rest = np.flatnonzero(good & ~change)
-            if len(rest):  # the same least as the window before: chosen unless it left or came again
-                last = lo + rest + width - 1
-                chosen[last[h[last] == part[rest]]] = True
-                gone = rest[h[lo + rest - 1] == part[rest]]
-                at = width - 1 - np.argmax(block[gone][:, ::-1] == part[gone][:, None], axis=1)
-                chosen[lo + gone + at] = True
-                unsure = rest[~good[np.maximum(rest - 1, 0)]]
-                at = width - 1 - np.argmax(block[unsure][:, ::-1] == part[unsure][:, None], axis=1)
-                chosen[lo + unsure + at] = True
-        place = np.flatnonzero(chosen)
-        text = w.owner[place]
-        start = place - w.bounds[text]
-        return text, start, start + k, h[place]
-
-    return anchors
-
-
-def levels(min_words: int) -> int:
-    """Namings before the last level: its triples cover 3**(levels + 1) >= min_words words."""
-    n = 0
-    while 3 ** (n + 1) < min_words:
-        n += 1
-    return n
-
-
-# A home's text is one row: home, symbols (0 ends a region), and at level 0 where each region is from.
-_TEXT = "bucket int, symbols binary, aux binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                table = np.frombuffer(row["texts"], np.int64).reshape(-1, 3)
+                at, key = winnowed(unpacked(row["symbols"]), np.r_[0, np.cumsum(table[:, 2])], min_words, k)
+                place = at + np.searchsorted(np.cumsum(table[:, 2]), at, "right")  # texts are a place apart
+                for owner, (x, y) in split(bucket_of(key, n), n, key, place):
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([owner], pa.int32()), "home": pa.array([row["bucket"]], pa.int32()), "keys": [blob(x)], "starts": [packed_rising(y)], "sizes": [packed(np.full(len(x), k))]})
+
+    return run, "bucket int, home int, keys binary, starts binary, sizes binary"
 
 
-def _concatenate(n: int):
-    """Regions of a home joined to one text; aux has (place, record, first word, words) of each."""
+def _joined(min_words: int):
+    """A home's regions of min_words words or more joined to one text; aux has (place, record, first word, words) of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, aux, at, home = [], [], 0, 0
+        text, found = None, [np.zeros((0, 2), np.int64)]
         for batch in batches:
-            home = batch.column("bucket")[0].as_py()
-            for k, (record, first) in enumerate(zip(batch.column("record").to_pylist(), batch.column("first").to_pylist())):
-                own = column(batch.slice(k, 1), "words", np.uint64)
-                aux.append((at, record, first, len(own)))
-                parts += [np.maximum(own >> _DROPPED, np.uint64(1)), np.zeros(1, np.uint64)]
-                at += len(own) + 1
-        if parts:
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "symbols": [packed(np.concatenate(parts))], "aux": [blob(np.array(aux, np.int64))]})
+            for row in batch.to_pylist():
+                if row["source"] is None:
+                    text = row
+                else:
+                    found.append(np.frombuffer(row["names"], np.int64).reshape(-1, 2))
+        found = np.concatenate(found)
+        if text is None or not len(found):
+            return
+        table, own = np.frombuffer(text["texts"], np.int64).reshape(-1, 3), unpacked(text["symbols"])
+        order = np.argsort(found[:, 0], kind="stable")
+        _, low, high = merged(np.zeros(len(found), np.int64), found[order, 0], found[order, 1])
+        # a region that reaches over the end of a text is one in each
+        first, last = np.searchsorted(table[:, 0], low, "right") - 1, np.searchsorted(table[:, 0], high, "left") - 1
+        which, of = np.repeat(np.arange(len(low)), last - first + 1), ranges(first, last - first + 1)
+        low, high = np.maximum(low[which], table[of, 0]), np.minimum(high[which], table[of, 0] + table[of, 2])
+        ok = high - low >= min_words
+        low, of, size = low[ok], of[ok], (high - low)[ok]
+        if not len(low):
+            return
+        at = np.cumsum(size + 1) - size - 1
+        symbols = np.zeros(int(at[-1] + size[-1]) + 1, np.uint64)
+        symbols[ranges(at, size)] = own[ranges(low - of, size)]
+        symbols[-1] = _END + np.uint64(text["bucket"])
+        aux = np.stack([at, table[of, 1], low - table[of, 0], size], 1)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([text["bucket"]], pa.int32()), "symbols": [packed(symbols)], "aux": [blob(aux)]})
 
     return run, _TEXT
 
@@ -110,91 +124,86 @@ def _ahead(x: np.ndarray, k: int) -> np.ndarray:
     return np.r_[x[k:], np.zeros(min(k, len(x)), x.dtype)]
 
 
-def _range_of(splitters: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Number of splitters (pairs, sorted) at or before each pair (a, b)."""
-    if not len(splitters):
-        return np.zeros(len(a), np.int64)
-    names, first = np.unique(splitters[:, 0], return_index=True)
-    low, high = np.searchsorted(splitters[:, 0], a, "left"), np.searchsorted(splitters[:, 0], a, "right")
-    out = high.copy()
-    same = np.flatnonzero(high > low)  # the first symbol is that of a splitter: the second decides
-    for k in range(0, int((high - low).max(initial=0))):
-        here = same[low[same] + k < high[same]]
-        less = splitters[low[here] + k, 1] > b[here]
-        out[here[less]] -= 1
-    return out
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        yield from batch.to_pylist()
 
 
-def _splitters(texts: DataFrame, n: int) -> np.ndarray:
-    """Borders (pairs of symbols) of n ranges, about equal, from places spread evenly by hash over all texts."""
-    per_home = SAMPLES
+def triples(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Sample places of s, the number of each one's triple among the distinct ones, those in order, and how often each occurs."""
+    at = np.flatnonzero(np.arange(len(s)) % 3)
+    t = [s[at], _ahead(s, 1)[at], _ahead(s, 2)[at]]
+    order = np.lexsort(t[::-1])
+    t = [x[order] for x in t]
+    head = np.r_[True, (t[0][1:] != t[0][:-1]) | (t[1][1:] != t[1][:-1]) | (t[2][1:] != t[2][:-1])][: len(at)]
+    number = np.empty(len(at), np.int64)
+    number[order] = np.cumsum(head) - 1
+    return at, number, [x[head] for x in t], np.diff(np.r_[np.flatnonzero(head), len(at)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                s = unpacked(batch.column("symbols")[k].as_py())
-                at = (np.linspace(0, max(0, len(s) - 1), min(len(s), per_home), dtype=np.int64) * 7919 + 13) % max(1, len(s))
-                yield pa.RecordBatch.from_pydict({"a": pa.array(s[at].view(np.int64)), "b": pa.array(_ahead(s, 1)[at].view(np.int64))})
 
-    found = np.array([tuple(r) for r in texts.select("symbols").mapInArrow(run, "a bigint, b bigint").collect()], np.int64).reshape(-1, 2).view(np.uint64)  # SAMPLES a partition
-    found = found[np.lexsort((found[:, 1], found[:, 0]))]
-    picks = found[(np.arange(1, n) * len(found)) // n] if len(found) else found
-    return picks[np.r_[True, (picks[1:] != picks[:-1]).any(1)]] if len(picks) else picks
+def _even(n: int) -> np.ndarray:
+    """Up to SAMPLES of n places, evenly, the same ones each time."""
+    return np.unique(np.linspace(0, max(0, n - 1), min(n, SAMPLES), dtype=np.int64))
 
 
-def _triples(splitters: np.ndarray, every: bool, n: int):
+def _triple_borders(texts: DataFrame, n: int) -> np.ndarray:
+    """Borders of n ranges of the distinct triples."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                home = batch.column("bucket")[k].as_py()
-                s = unpacked(batch.column("symbols")[k].as_py())
-                at = np.arange(len(s)) if every else np.flatnonzero(np.arange(len(s)) % 3)
-                t = [s[at], _ahead(s, 1)[at], _ahead(s, 2)[at]]
-                for b, (p, x, y, z) in split(_range_of(splitters, t[0], t[1]), n, at, *t):
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "home": pa.array([home], pa.int32()), "places": [packed_rising(p)], "a": [packed(x)], "b": [packed(y)], "c": [packed(z)]})
+        for row in _rows(batches):
+            _, _, t, _ = triples(unpacked(row["symbols"]))
+            at = _even(len(t[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(x[at].view(np.int64)) for x in t], ["a", "b", "c"])
 
-    return run, "bucket int, home int, places binary, a binary, b binary, c binary"
+    found = np.array([tuple(r) for r in texts.select("symbols").mapInArrow(run, "a bigint, b bigint, c bigint").collect()], np.int64).reshape(-1, 3).view(np.uint64)  # SAMPLES a home
+    found = found[np.lexsort(found.T[::-1])]
+    return found[(np.arange(1, n) * len(found)) // n] if len(found) else found
 
 
-def _read(batches: Iterator[pa.RecordBatch], *names: str) -> tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Bucket, home and place of each item, and the named columns."""
-    bucket, homes, places, cols = -1, [], [], {k: [] for k in names}
-    for batch in batches:
-        bucket = batch.column("bucket")[0].as_py()
-        for k in range(batch.num_rows):
-            for c in names:
-                cols[c].append(unpacked(batch.column(c)[k].as_py()))
-            n = len(cols[names[0]][-1])
-            places.append(unpacked_rising(batch.column("places")[k].as_py(), n).astype(np.uint32))
-            homes.append(np.full(n, batch.column("home")[k].as_py(), np.int32))
-    if bucket < 0:
-        return bucket, np.zeros(0, np.int32), np.zeros(0, np.uint32), [np.zeros(0, np.uint64)] * len(names)
-    return bucket, np.concatenate(homes), np.concatenate(places), [np.concatenate(v) for v in cols.values()]
-
-
-def _by_home(bucket: int, homes: np.ndarray, places: np.ndarray, ranks: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    for h, (p, r) in split(homes.astype(np.int64), n, places, ranks):
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array([h], pa.int32()), "source": pa.array([bucket], pa.int32()), "size": pa.array([len(ranks)], pa.int64()), "places": [packed_rising(p)], "ranks": [packed(r)]})
+def _cut(t: list[np.ndarray], borders: np.ndarray) -> np.ndarray:
+    """Where the ranges begin in sorted triples: the first that isn't below each border."""
+    out = []
+    for border in borders:
+        lo, hi = 0, len(t[0])
+        for x, value in zip(t, border):
+            lo, hi = lo + int(np.searchsorted(x[lo:hi], value, "left")), lo + int(np.searchsorted(x[lo:hi], value, "right"))
+        out.append(lo)
+    return np.array([0, *out, len(t[0])], np.int64)
 
 
-_RANKS = "bucket int, source int, size bigint, places binary, ranks binary"
+def _triples(borders: np.ndarray):
+    """A home's distinct triples, in order, for the ranges; repeats: whether it has one several times."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            _, _, t, count = triples(unpacked(row["symbols"]))
+            cuts = _cut(t, borders)
+            for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
+                if hi > lo:
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "home": pa.array([row["bucket"]], pa.int32()), "n": pa.array([hi - lo]), "repeats": [bool((count[lo:hi] > 1).any())], "a": [packed_rising(t[0][lo:hi])], "b": [packed(t[1][lo:hi])], "c": [packed(t[2][lo:hi])]})
 
-def _name(n: int):
-    """Ranks, within the range, of a range's triples; equal triples have the same."""
+    return run, "bucket int, home int, n bigint, repeats boolean, a binary, b binary, c binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, homes, places, (a, b, c) = _read(batches, "a", "b", "c")
-        if bucket < 0:
-            return
-        order = np.lexsort((c, b, a))
-        x, y, z = a[order], b[order], c[order]
-        head = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])]
-        ranks = np.empty(len(a), np.int64)
-        ranks[order] = np.maximum.accumulate(np.where(head, np.arange(len(a)), 0))
-        yield from _by_home(bucket, homes, places, ranks, n)
 
-    return run, _RANKS
+def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranks of a range's triples among its distinct ones, back to each home in its order; repeats: whether a triple occurs at several places."""
+    parts = list(_rows(batches))
+    if not parts:
+        return
+    n = np.array([p["n"] for p in parts])
+    a, b, c = np.concatenate([unpacked_rising(p["a"], p["n"]) for p in parts]), np.concatenate([unpacked(p["b"]) for p in parts]), np.concatenate([unpacked(p["c"]) for p in parts])
+    order = np.lexsort((c, b, a))
+    x, y, z = a[order], b[order], c[order]
+    rank = np.empty(len(a), np.int64)
+    rank[order] = np.cumsum(np.r_[False, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])])
+    size = int(rank.max()) + 1
+    repeats = size < len(a) or any(p["repeats"] for p in parts)
+    ends = np.cumsum(n)
+    for p, lo, hi in zip(parts, ends - n, ends):
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([p["home"]], pa.int32()), "source": pa.array([p["bucket"]], pa.int32()), "n": pa.array([p["n"]]), "size": pa.array([size]), "repeats": [repeats], "ranks": [packed_rising(rank[lo:hi])]})
+
+
+_NAMES = "bucket int, source int, n bigint, size bigint, repeats boolean, ranks binary"
 
 
 def _offsets(ranks: DataFrame, n: int) -> np.ndarray:
@@ -205,91 +214,94 @@ def _offsets(ranks: DataFrame, n: int) -> np.ndarray:
     return np.cumsum(out) - out + 1
 
 
-def _both(texts: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Texts and ranks, those of a home in one partition."""
-    none = F.lit(None).cast("binary")
-    return exchange(
-        texts.select("bucket", "symbols", "aux", F.lit(None).cast("int").alias("source"), none.alias("places"), none.alias("ranks")).unionByName(
-            ranks.select("bucket", none.alias("symbols"), none.alias("aux"), "source", "places", "ranks")
-        )
-    )
-
-
-def _home(batches: Iterator[pa.RecordBatch], offsets: np.ndarray) -> tuple[int, np.ndarray, bytes, np.ndarray, np.ndarray] | None:
-    """Home, its symbols, aux, places and their ranks over all ranges."""
-    home, symbols, aux = -1, np.zeros(0, np.uint64), b""
-    places, ranks = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint64)]
-    for batch in batches:
-        home = batch.column("bucket")[0].as_py()
-        for k in range(batch.num_rows):
-            if (source := batch.column("source")[k].as_py()) is None:
-                symbols, aux = unpacked(batch.column("symbols")[k].as_py()), batch.column("aux")[k].as_py()
-            else:
-                ranks.append(unpacked(batch.column("ranks")[k].as_py()) + np.uint64(offsets[source]))
-                places.append(unpacked_rising(batch.column("places")[k].as_py(), len(ranks[-1])).astype(np.uint32))
-    return None if home < 0 else (home, symbols, aux, np.concatenate(places), np.concatenate(ranks))
-
-
 def _next_text(offsets: np.ndarray):
-    """A home's text of the next level: names of places 1, ends, names of places 2, ends."""
+    """A home's text of the next level: names of places 1, then of places 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (found := _home(batches, offsets)) is None:
+        text, replies = None, []
+        for row in _rows(batches):
+            if row["source"] is None:
+                text = row
+            else:
+                replies.append(row)
+        if text is None:
             return
-        home, symbols, _, places, ranks = found
-        name = np.zeros(len(symbols), np.uint64)
-        name[places] = ranks
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "symbols": [packed(np.r_[name[1::3], np.zeros(3, np.uint64), name[2::3], np.zeros(3, np.uint64)])], "aux": [b""]})
+        s = unpacked(text["symbols"])
+        at, number, _, _ = triples(s)
+        names = [unpacked_rising(r["ranks"], r["n"]) + np.uint64(offsets[r["source"]]) for r in sorted(replies, key=lambda r: r["source"])]
+        name = np.zeros(len(s), np.uint64)
+        name[at] = np.concatenate([*names, np.zeros(0, np.uint64)])[number]
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([text["bucket"]], pa.int32()), "symbols": [packed(np.r_[name[1::3], name[2::3]])], "aux": [b""]})
 
     return run, _TEXT
 
 
-def _place_ranks(offsets: np.ndarray):
-    """All ranks of a home in one row, by place."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (found := _home(batches, offsets)) is None:
-            return
-        home, symbols, _, places, ranks = found
-        out = np.zeros(len(symbols), np.uint64)
-        out[places] = ranks
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "symbols": [packed(out)], "aux": [b""]})
-
-    return run, _TEXT
+def _merge_borders(text: DataFrame, up: DataFrame, n: int) -> np.ndarray:
+    """Borders of n ranges of all suffixes, which are sample suffixes of places 1: rank, symbol and the next place's rank, in order."""
+
+    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            s = unpacked(row["symbols"])
+            at = _even(len(range(2, len(s), 3)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["bucket"], np.int32)), pa.array(at), pa.array(s[1 + 3 * at].view(np.int64))], ["bucket", "at", "symbol"])
+
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            r = unpacked(row["symbols"]).view(np.int64)
+            at = _even(len(r) // 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["bucket"], np.int32)), pa.array(at), pa.array(r[at]), pa.array(r[len(r) - len(r) // 2 + at])], ["bucket", "at", "rank", "next"])
+
+    known = {(r[0], r[1]): r[2] for r in text.select("bucket", "symbols").mapInArrow(symbols, "bucket int, at bigint, symbol bigint").collect()}  # SAMPLES a home, both
+    found = sorted((r[2], known[r[0], r[1]], r[3]) for r in up.select("bucket", "symbols").mapInArrow(ranks, "bucket int, at bigint, rank bigint, next bigint").collect())
+    return np.array([found[k * len(found) // n] for k in range(1, n)] if found else [], np.int64).reshape(-1, 3).view(np.uint64)
+
+
+def merge_range(borders: np.ndarray, kind: np.ndarray, rank: np.ndarray, symbol: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Range of each suffix: the borders not above it. A sample suffix compares by its rank, one of places 0 by its symbol and the next place's rank."""
+    out = np.searchsorted(borders[:, 0], rank, "right")
+    zero = np.flatnonzero(kind == 0)
+    if len(zero) and len(borders):
+        first = np.unique(borders[:, 1])
+        number = np.searchsorted(first, symbol[zero])
+        low = np.searchsorted(borders[:, 1], symbol[zero], "left")
+        same = (number < len(first)) & (first[np.minimum(number, len(first) - 1)] == symbol[zero])
+        most = np.uint64(max(int(borders[:, 2].max()), int(following.max(initial=0))) + 1)
+        keys = np.searchsorted(first, borders[:, 1]).astype(np.uint64) * most + borders[:, 2]
+        out[zero] = np.where(same, np.searchsorted(keys, number.astype(np.uint64) * most + following[zero], "right"), low)
+    return out
 
 
-def _merge_items(splitters: np.ndarray, min_words: int, lowest: bool, n: int):
+def _merge_items(borders: np.ndarray, min_words: int, lowest: bool, n: int):
     """All suffixes of a home with what the merge compares: two symbols, and the ranks of the sample places among the next two and itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home, s, up = -1, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        for batch in batches:
-            home = batch.column("bucket")[0].as_py()
-            for k in range(batch.num_rows):
-                if batch.column("source")[k].as_py() is None:
-                    s = unpacked(batch.column("symbols")[k].as_py())
-                else:
-                    up = unpacked(batch.column("ranks")[k].as_py())
+        for row in _rows(batches):
+            home = row["bucket"]
+            if row["source"] is None:
+                s = unpacked(row["symbols"])
+            else:
+                up = unpacked(row["ranks"])
         if home < 0:
             return
         m = len(s)
         rank = np.zeros(m, np.uint64)
         ones = len(range(1, m, 3))
-        rank[1::3], rank[2::3] = up[:ones], up[ones + 3 : ones + 3 + len(range(2, m, 3))]
+        rank[1::3], rank[2::3] = up[:ones], up[ones:]
         kind = np.arange(m) % 3
         r1, r2 = _ahead(rank, 1), _ahead(rank, 2)
         first, second = np.where(kind == 0, r1, rank), np.where(kind == 1, r1, r2)
         window = np.zeros(m, np.uint64)
         if lowest:
             h = window_hashes(s, min_words)
-            window[: len(h)] = np.maximum(h >> _WINDOW_DROPPED, np.uint64(1))
-            ends = np.flatnonzero(s == 0)
+            window[: len(h)] = np.maximum(h, np.uint64(1))
+            ends = np.flatnonzero((s == 0) | (s >= _END))
             cut = np.zeros(m + 1, np.int64)
             np.add.at(cut, np.maximum(ends - min_words + 1, 0), 1)
             np.add.at(cut, ends + 1, -1)
             window[np.cumsum(cut)[:m] > 0] = 0
         t1 = _ahead(s, 1)
-        bucket = _range_of(splitters, s, t1)
+        bucket = merge_range(borders, kind, rank, s, r1)
         t1[kind == 1] = 0  # no comparison needs it
         for b, (p, x, y, u, v, w) in split(bucket, n, np.arange(m), s, t1, first, second, window):
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "home": pa.array([home], pa.int32()), "places": [packed_rising(p)], "a": [packed(x)], "b": [packed(y)], "u": [packed(u)], "v": [packed(v)], "w": [packed(w)]})
@@ -322,33 +334,99 @@ def merge_order(kind: np.ndarray, a: np.ndarray, b: np.ndarray, u: np.ndarray, v
     return np.argsort(place, kind="stable")
 
 
+#: Ranks of a home's places in a range, or places found; edge: the first (1) and last (2) suffix of a range, and the name of its first words.
+_RANKS = "bucket int, source int, size bigint, edge int, window bigint, places binary, ranks binary"
+
+
+def _by_home(bucket: int, homes: np.ndarray, places: np.ndarray, ranks: np.ndarray, n: int, size: int, edge: int = 0, window: int = 0) -> Iterator[pa.RecordBatch]:
+    for h, (p, r) in split(homes.astype(np.int64), n, places, ranks):
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([h], pa.int32()), "source": pa.array([bucket], pa.int32()), "size": pa.array([size], pa.int64()), "edge": pa.array([edge], pa.int32()), "window": pa.array([window], pa.int64()), "places": [packed_rising(p)], "ranks": [packed(r)]})
+
+
 def _merge(lowest: bool, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, homes, places, cols = _read(batches, "a", "b", "u", "v", *["w"] * lowest)
+        bucket, homes, places, cols = -1, [], [], {k: [] for k in "abuvw"}
+        for batch in batches:
+            for row in batch.to_pylist():
+                bucket = row["bucket"]
+                for k in "abuvw" if lowest else "abuv":
+                    cols[k].append(unpacked(row[k]))
+                places.append(unpacked_rising(row["places"], len(cols["a"][-1])).astype(np.uint32))
+                homes.append(np.full(len(places[-1]), row["home"], np.int32))
         if bucket < 0:
             return
-        order = merge_order(places % 3, *cols[:4])
+        homes, places = np.concatenate(homes), np.concatenate(places)
+        a, b, u, v = (np.concatenate(cols[k]) for k in "abuv")
+        order = merge_order(places % 3, a, b, u, v)
         if not lowest:
             ranks = np.empty(len(order), np.int64)
             ranks[order] = np.arange(len(order))
-            yield from _by_home(bucket, homes, places, ranks, n)
+            yield from _by_home(bucket, homes, places, ranks, n, len(order))
             return
-        w = cols[4][order]
+        w = np.concatenate(cols["w"])[order]
         same = (w[1:] == w[:-1]) & (w[1:] != 0)
         hit = np.sort(order[np.r_[same, False] | np.r_[False, same]])
-        yield from _by_home(bucket, homes[hit], places[hit], np.zeros(len(hit), np.int64), n)
+        yield from _by_home(bucket, homes[hit], places[hit], np.zeros(len(hit), np.int64), n, len(order))
+        for edge, k in ((1, 0), (2, -1)):
+            yield from _by_home(bucket, homes[order[[k]]], places[order[[k]]], np.zeros(1, np.int64), n, len(order), edge, int(w[[k]].view(np.int64)[0]))
 
     return run, _RANKS
 
 
-def _found(n: int):
+def _over_borders(ranks: DataFrame) -> list[tuple[int, int]]:
+    """(range, edge) of the suffixes whose first words are those of their neighbour in another range."""
+    found = {(r[0], r[1]): r[2] for r in ranks.filter("edge > 0").select("source", "edge", "window").collect()}  # two rows a range
+    sources = sorted({s for s, _ in found})
+    out = []
+    for a, b in zip(sources, sources[1:]):
+        if found[a, 2] == found[b, 1] != 0:
+            out += [(a, 2), (b, 1)]
+    return out
+
+
+def _both(texts: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Texts and ranks, those of a home in one partition."""
+    return exchange(texts.unionByName(ranks, allowMissingColumns=True))
+
+
+def _placed(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    ranks = unpacked(row["ranks"])
+    return unpacked_rising(row["places"], len(ranks)).astype(np.int64), ranks
+
+
+def _place_ranks(offsets: np.ndarray):
+    """All ranks of a home in one row, by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, home = [], -1
+        for row in _rows(batches):
+            home = row["bucket"]
+            at, r = _placed(row)
+            parts.append((at, r + np.uint64(offsets[row["source"]])))
+        if home < 0:
+            return
+        at, r = (np.concatenate(x) for x in zip(*parts))
+        out = np.empty(len(r), np.uint64)
+        out[at] = r
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "symbols": [packed(out)], "aux": [b""]})
+
+    return run, _TEXT
+
+
+def _found(edges: list[tuple[int, int]], n: int):
     """(record, word) of a home's places, sent to the buckets of the records."""
+    kept = set(edges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (found := _home(batches, np.zeros(n, np.int64))) is None:
+        table, parts = None, [np.zeros(0, np.int64)]
+        for row in _rows(batches):
+            if row["source"] is None:
+                table = np.frombuffer(row["aux"], np.int64).reshape(-1, 4)
+            elif not row["edge"] or (row["source"], row["edge"]) in kept:
+                parts.append(_placed(row)[0])
+        places = np.unique(np.concatenate(parts))
+        if table is None or not len(places):
             return
-        _, _, aux, places, _ = found
-        table = np.frombuffer(aux, np.int64).reshape(-1, 4)
         at = np.searchsorted(table[:, 0], places, "right") - 1
         record, word = table[at, 1], table[at, 2] + places - table[at, 0]
         for b, (r, s) in split(bucket_of(mix(record.view(np.uint64)), n), n, record, word):
@@ -359,45 +437,40 @@ def _found(n: int):
 
 def _as_ranks(texts: DataFrame) -> DataFrame:
     """A text of ranks in the columns of ranks, for _both."""
-    return texts.select("bucket", F.lit(0).alias("source"), F.lit(0).cast("bigint").alias("size"), F.lit(b"").alias("places"), F.col("symbols").alias("ranks"))
+    return texts.select("bucket", F.lit(0).alias("source"), F.col("symbols").alias("ranks"))
 
 
 def repeated_places(text: DataFrame, min_words: int) -> DataFrame:
     """(bucket, records, starts): where passages of min_words words begin that occur twice in the texts of the homes."""
-    spark = text.sparkSession
-    n = buckets(spark)
+    n = buckets(text.sparkSession)
     down = [text]
-    for _ in range(levels(min_words)):
-        ranks = checkpointed(exchange(down[-1].mapInArrow(*_triples(_splitters(down[-1], n), False, n))).mapInArrow(*_name(n)))
-        down.append(checkpointed(_both(down[-1], ranks).mapInArrow(*_next_text(_offsets(ranks, n)))))
-    ranks = checkpointed(exchange(down[-1].mapInArrow(*_triples(_splitters(down[-1], n), True, n))).mapInArrow(*_name(n)))
-    up = checkpointed(_both(down.pop(), ranks).mapInArrow(*_place_ranks(_offsets(ranks, n))))
-    while down:
+    while True:
+        names = checkpointed(exchange(down[-1].mapInArrow(*_triples(_triple_borders(down[-1], n)))).mapInArrow(_name, _NAMES))
+        up = checkpointed(_both(down[-1], names).mapInArrow(*_next_text(_offsets(names, n))))
+        if names.filter("repeats").isEmpty():
+            break
+        down.append(up)
+    while True:
         lowest = len(down) == 1
-        items = _both(down[-1], _as_ranks(up)).mapInArrow(*_merge_items(_splitters(down[-1], n), min_words, lowest, n))
+        items = _both(down[-1], _as_ranks(up)).mapInArrow(*_merge_items(_merge_borders(down[-1], up, n), min_words, lowest, n))
         ranks = checkpointed(exchange(items).mapInArrow(*_merge(lowest, n)))
         if lowest:
-            return _both(down[0], ranks).mapInArrow(*_found(n))
-        up = checkpointed(_both(down.pop(), ranks).mapInArrow(*_place_ranks(_offsets(ranks, n))))
-    raise ValueError("min_words must exceed 3")
+            return checkpointed(_both(text, ranks).mapInArrow(*_found(_over_borders(ranks), n)))
+        up = checkpointed(exchange(ranks).mapInArrow(*_place_ranks(_offsets(ranks, n))))
+        down.pop()
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, fingerprint: int = FINGERPRINT) -> DataFrame:
     """(doc_id, start_word, end_word) of the maximal parts of docs (doc_id, text) made of passages of min_words words that occur twice or more.
 
-    Exact. Occurrences may be in one text or several and may overlap. Equal texts are occurrences of each other. Null and empty texts have none; rows
-    of null doc_id aren't searched; a row repeated whole counts as an occurrence, reported once; other columns are ignored.
+    Every such passage is found. Occurrences may be in one text or several and may overlap. Equal texts are occurrences of each other. Null and empty texts have none; rows
+    of null doc_id aren't searched; a row repeated whole counts as an occurrence, reported once; an empty table has none; other columns are ignored.
     """
-    if min_words <= max(3, fingerprint):
+    if min_words <= fingerprint:
         raise ValueError("min_words must exceed the fingerprint")
     n = buckets(docs.sparkSession)
-    known = records(docs)
-    found = regions(docs, winnowed(min_words, fingerprint), min_words)
-
-    def finish(record: list[int], first: list[int], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        home = mix(np.array(record, np.int64).view(np.uint64) + np.array(first, np.int64).view(np.uint64)) % np.uint64(n)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(home.astype(np.int32)), "record": pa.array(record, pa.int64()), "first": pa.array(first, pa.int64()), "words": pa.array([blob(x) for x in parts], pa.binary())})
-
-    parts = region_words(docs, found, known, min_words, finish, "bucket int, record bigint, first bigint, words binary")
-    text = checkpointed(exchange(parts).mapInArrow(*_concatenate(n)))
-    return spread(repeated_places(text, min_words), known, min_words)
+    rows = rows_of(docs)
+    homes = homes_of(rows, min_words)
+    found = exchange(homes.mapInArrow(*_anchors(min_words, fingerprint, n))).mapInArrow(*regions(min_words, n))
+    text = checkpointed(with_replies(homes, found).mapInArrow(*_joined(min_words)))
+    return spread(repeated_places(text, min_words), known_rows(rows, homes), min_words)
