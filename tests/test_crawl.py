@@ -211,3 +211,60 @@ def test_plans_prune_and_push(spark):
 
 def test_parse_results_count_failures(spark):
     assert parse.parse(spark.createDataFrame([], "url string, status string, fetched_url string, headers map<string,array<string>>, content binary, content_type string")).count() == 0
+
+
+def test_crawl_goes_on_where_it_stopped(spark, tmp_path):
+    graph = {"d1.com": ["d1.com/a", "d1.com/b"], "d1.com/a": ["d1.com/c", "d2.com/e"], "d1.com/b": ["d1.com/d"], "d1.com/c": [], "d1.com/d": ["d2.com/e"], "d2.com/e": []}
+    job = crawl.Crawl(web(spark, graph), default_delay_ms=0, max_rounds=8)
+    start = seeds.of_urls(spark, ["http://d1.com"])
+    whole = crawl.run(spark, job, start, str(tmp_path / "whole"), 1_000)
+    part = crawl.run(spark, job.with_(max_rounds=2), start, str(tmp_path / "part"), 1_000)
+    os.remove(os.path.join(part.folder, "round=00002", "states", "_SUCCESS"))  # as if it had been stopped before the end of round 2
+    again = crawl.run(spark, job, start, str(tmp_path / "part"), 5_000_000)
+    assert again.rounds == whole.rounds > 2
+    for name in ("states", "scores"):
+        assert sorted(map(str, getattr(again, name).collect())) == sorted(map(str, getattr(whole, name).collect()))
+    assert sorted(fetched(again)) == sorted(fetched(whole))
+
+
+def test_links_are_lengthened_and_pieces_replaced(spark, tmp_path):
+    asked, merged = [], []
+
+    def lengthener(requests):
+        asked.extend(r.url for r in requests.collect())
+        return fetch._filled(requests.select("url", F.lit(301).alias("code"), F.create_map(F.lit("Location"), F.array(F.lit("http://d2.com/long"))).alias("headers")))
+
+    def merger(updates):
+        merged.append(1)
+        return crawldb.merge(updates)
+
+    graph = {"d1.com": ["bit.ly/x", "d1.com/a"], "d1.com/a": [], "d2.com/long": []}
+    job = crawl.Crawl(web(spark, graph), lengthener=lengthener, merger=merger, default_delay_ms=0, max_rounds=3)
+    out = crawl.run(spark, job, seeds.of_urls(spark, ["http://d1.com"]), str(tmp_path), 1)
+    assert {r.url for r in out.states.filter("status = 'FETCHED'").collect()} == {N(u) for u in graph} and asked == ["http://bit.ly/x"] and len(merged) == out.rounds + 1
+
+
+def test_crawl_of_a_seed_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("http://d1.com\n")
+    graph = {"d1.com": ["d1.com/a"], "d1.com/a": [], "d3.com": []}
+    job = crawl.Crawl(web(spark, graph), default_delay_ms=0, max_rounds=9)
+    for k in range(2):
+        query = crawl.follow_seeds(spark, job, seeds.read_stream(spark, str(tmp_path / "in")), str(tmp_path / "crawl"), str(tmp_path / "ck"))
+        assert query.awaitTermination(300)
+        (tmp_path / "in" / "b.txt").write_text("http://d3.com\n")
+    out = crawl.run(spark, job, seeds.of_urls(spark, []), str(tmp_path / "crawl"))
+    assert {r.url for r in out.states.filter("status = 'FETCHED'").collect()} == {N(u) for u in graph}
+
+
+def test_streamed_rules_hold_by_status(spark, tmp_path):
+    hour = 3_600_000
+    rows = [("o", "a", 0, 0, None), ("o", "r", 10, 1, 500), ("o", "b", hour, 2, None), ("o", "c", hour + 10, 3, None), ("o", "r", hour + 20, 4, 200), ("o", "d", 12 * hour, 5, None), ("o", "e", 13 * hour + 20, 6, None)]
+    got = streamed(spark, tmp_path, rows, "origin string, url string, now bigint, seq bigint, code int", "origin", processors.RobotsCache()).collect()
+    assert sorted((r.url, r.fetch_rules) for r in got) == [("a", True), ("b", False), ("c", True), ("d", False), ("e", True)]
+
+
+def test_streamed_queue_keeps_a_url_once(spark, tmp_path):
+    rows = [(0, "candidate", "u", 1.0, 0), (0, "candidate", "u", 3.0, 1), (0, "candidate", "v", 2.0, 2)]
+    got = streamed(spark, tmp_path, rows, "shard bigint, kind string, url string, score double, seq bigint", "shard", processors.FetchQueue(size=5, most_in_flight=5), parts=1).collect()
+    assert [(r.url, r.score) for r in got] == [("u", 3.0), ("v", 2.0)]

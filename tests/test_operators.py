@@ -360,3 +360,80 @@ def test_language_of_prose_after_a_long_numeric_heading():
     prose = "the people who live in this house have been there for many years and they do not want to move"
     assert detect("0123 456 | 789 -- " * 200 + prose) == detect(prose) == "en"
     assert detect("12 345 " * 200 + "the people") == ""
+
+
+def test_warc_dates_are_utc_in_any_time_zone(spark):
+    from trawlnet.sinks import outputs
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = [("FETCHED", "http://a.com/", 1_700_000_000_000, "text/html", bytearray(b"x"))]
+        results = spark.createDataFrame(rows, "status string, fetched_url string, status_time bigint, content_type string, content binary")
+        dates = {h["value"] for r in outputs.warc_records(results).collect() for h in r.headers if h["name"] == "WARC-Date"}
+        assert dates == {"2023-11-14T22:13:20Z"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_a_page_that_takes_too_long_fails():
+    import time
+
+    from trawlnet.operators.parse import limited
+
+    began = time.perf_counter()
+    with pytest.raises(TimeoutError), limited(150):
+        while True:
+            pass
+    assert time.perf_counter() - began < 5
+    with limited(100_000):
+        pass
+    time.sleep(0.2)
+
+
+def test_connections_of_a_host_are_bounded():
+    import threading
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    from trawlnet.operators.fetch import by_host
+
+    lock, flying, most = threading.Lock(), {}, {}
+
+    def get(url):
+        name = url.split("/")[2]
+        with lock:
+            flying[name] = flying.get(name, 0) + 1
+            most[name] = max(most.get(name, 0), flying[name])
+        time.sleep(0.01)
+        with lock:
+            flying[name] -= 1
+        return (url,)
+
+    wanted = [f"http://h{k % 3}.com/{k}" for k in range(45)]
+    with ThreadPoolExecutor(12) as pool:
+        assert by_host(wanted, get, 2, pool) == [(u,) for u in wanted]
+    assert set(most.values()) == {2}
+
+
+def test_suffixes_of_any_length(spark):
+    from trawlnet.functions import suffixes, urls
+
+    known = suffixes.Suffixes.read(["// no", "com", "uk", "co.uk", "city.kawasaki.jp", "jp", "*.kawasaki.jp", "!city.kawasaki.jp", "*.ck", "!www.ck", "k12.ca.us", "us", "ca.us"])
+    rows = {"a.b.com": "b.com", "x.co.uk": "x.co.uk", "a.b.k12.ca.us": "b.k12.ca.us", "a.b.ca.us": "b.ca.us", "a.b.c.kawasaki.jp": "b.c.kawasaki.jp", "x.city.kawasaki.jp": "city.kawasaki.jp", "a.www.ck": "www.ck", "a.b.c.ck": "b.c.ck"}
+    df = spark.createDataFrame([(k,) for k in rows], "h string")
+    assert {r.h: r.p for r in df.select("h", urls.pld_of_host(F.col("h"), known).alias("p")).collect()} == rows
+
+
+def test_shortener_hosts():
+    from trawlnet.functions import shorteners
+
+    assert len(shorteners.BUILT_IN) >= 236 and {"bit.ly", "t.co", "goo.gl", "p.ost.im", "on.wsj.com"} <= set(shorteners.BUILT_IN)
+
+
+def test_follow_names_a_redirect_without_a_target(spark):
+    from trawlnet.operators import archive
+
+    hops = spark.createDataFrame([("http://a.com/", 301, None), ("http://b.com/", 302, "http://c.com/"), ("http://c.com/", 200, None)], "url string, code int, location string")
+    got = {r.url: (r.final_url, r.code, r.n_redirects, r.failure) for r in archive.follow(spark.createDataFrame([("http://a.com/",), ("http://b.com/",)], "url string"), hops).collect()}
+    assert got == {"http://a.com/": ("http://a.com/", 301, 0, "permanent_redirect"), "http://b.com/": ("http://c.com/", 200, 1, None)}

@@ -15,6 +15,9 @@ EXCEPTIONS = {
     "too_many_redirects": "HTTP_TOO_MANY_REDIRECTS", "temporary_redirect": "HTTP_TOO_MANY_REDIRECTS", "permanent_redirect": "HTTP_MOVED_PERMANENTLY", "see_other": "HTTP_REDIRECTION_ERROR", "url": "ERROR_INVALID_URL",
 }
 HOUR_MS = 3_600_000
+#: How long the rules of a robots response hold, by status.
+LIFETIMES_MS = {200: 12 * HOUR_MS, 404: 24 * HOUR_MS, 500: HOUR_MS}
+OTHER_LIFETIME_MS = 24 * HOUR_MS
 
 
 def http_status(code: int) -> str:
@@ -40,7 +43,10 @@ def status_of_exception(kind: Column) -> Column:
 
 def robots_lifetime_ms(code: Column) -> Column:
     """How long the rules of a robots response hold."""
-    return F.when(code == 200, 12 * HOUR_MS).when(code == 404, 24 * HOUR_MS).when(code == 500, HOUR_MS).otherwise(24 * HOUR_MS).cast("bigint")
+    out = None
+    for k, lifetime in LIFETIMES_MS.items():
+        out = F.when(code == k, lifetime) if out is None else out.when(code == k, lifetime)
+    return out.otherwise(OTHER_LIFETIME_MS).cast("bigint")
 
 
 def mime_type(content_type: Column) -> Column:

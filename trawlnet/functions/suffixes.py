@@ -25,19 +25,24 @@ _WILD = ("ck", "er", "fk", "jm", "kh", "mm", "np", "pg", "bd")
 
 @dataclass(frozen=True)
 class Suffixes:
-    """tops: one label; seconds: two; wild: suffixes below which any one label more is a suffix."""
+    """tops: one label; seconds: two; wild: top-level ones below which any one label more is a suffix; longer: of three labels and more, and `*.` before two and more; exceptions: domains that a wildcard would take for suffixes."""
 
     tops: frozenset[str]
     seconds: frozenset[str]
     wild: frozenset[str]
+    longer: frozenset[str] = frozenset()
+    exceptions: frozenset[str] = frozenset()
 
     @classmethod
     def read(cls, lines: list[str]) -> Suffixes:
-        """From lines of a suffix list; comments, exceptions and suffixes of over two labels are left out."""
-        names = [x.strip().lower() for x in lines if x.strip() and not x.startswith(("//", "!"))]
+        """From lines of a suffix list: comments, plain suffixes, wildcards and exceptions."""
+        names = [x.split()[0].lower() for x in lines if x.strip() and not x.startswith("//")]
+        plain = {x for x in names if not x.startswith(("*.", "!"))}
         wild = {x[2:] for x in names if x.startswith("*.")}
-        plain = {x for x in names if not x.startswith("*.")}
-        return cls(frozenset(x for x in plain | wild if "." not in x), frozenset(x for x in plain if x.count(".") == 1), frozenset(x for x in wild if "." not in x))
+        longer = {x for x in plain if x.count(".") > 1} | {f"*.{x}" for x in wild if "." in x}
+        return cls(
+            frozenset(x for x in plain | wild if "." not in x), frozenset(x for x in plain if x.count(".") == 1), frozenset(x for x in wild if "." not in x), frozenset(longer), frozenset(x[1:] for x in names if x.startswith("!"))
+        )
 
 
 BUILT_IN = Suffixes(frozenset([*_COUNTRIES, *_GENERIC, *_WILD]), frozenset(f"{a}.{top}" for top, seconds in _SECOND.items() for a in seconds.split()), frozenset(_WILD))

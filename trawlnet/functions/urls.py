@@ -212,9 +212,16 @@ def pld_of_host(name: Column, suffixes: Suffixes = BUILT_IN) -> Column:
     """Registered domain of a host: its public suffix and one label more; the host itself if it has none (addresses, unknown suffixes)."""
     name = F.lower(name)
     labels = F.split(name, r"\.")
-    top, two = F.element_at(labels, -1), _last(labels, 2)
-    long = two.isin(sorted(suffixes.seconds)) | (top.isin(sorted(suffixes.wild)) & (F.size(labels) > 1))
-    found = F.when(long & (F.size(labels) > 2), _last(labels, 3)).when(~long & top.isin(sorted(suffixes.tops)) & (F.size(labels) > 1), two)
+    top, two, n = F.element_at(labels, -1), _last(labels, 2), F.size(labels)
+    long = two.isin(sorted(suffixes.seconds)) | (top.isin(sorted(suffixes.wild)) & (n > 1))
+    found = F.when(long & (n > 2), _last(labels, 3)).when(~long & top.isin(sorted(suffixes.tops)) & (n > 1), two)
+    deepest = max((x.count(".") + 1 for x in suffixes.longer), default=2)
+    for k in range(3, deepest + 1):  # a longer suffix holds before a shorter one
+        last = _last(labels, k)
+        hit = last.isin(sorted(x for x in suffixes.longer if not x.startswith("*."))) | F.concat(F.lit("*."), _last(labels, k - 1)).isin(sorted(suffixes.longer))
+        found = F.when(hit & (n > k), _last(labels, k + 1)).when(hit & (n == k), name).otherwise(found)
+    for k in sorted({x.count(".") + 1 for x in suffixes.exceptions}):
+        found = F.when(_last(labels, k).isin(sorted(suffixes.exceptions)), _last(labels, k)).otherwise(found)
     return F.when(name == "", name).otherwise(F.coalesce(found, name))
 
 

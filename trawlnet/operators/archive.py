@@ -15,6 +15,7 @@ from trawlnet.functions import http, urls
 from trawlnet.functions.warc import http_parts, opened, read
 from trawlnet.operators.fetch import FetchSettings
 from trawlnet.sources.warc import located
+from trawlnet.storage import new_folder, written
 
 _TEXTUAL = ("text/html", "text/plain", "application/xhtml+xml", "text/xml", "application/xml")
 _TEMPORARY, _REDIRECTS = (302, 303, 307), (301, 302, 303, 307)
@@ -65,14 +66,15 @@ def follow(requests: DataFrame, hops: DataFrame, policy: str = "all", most: int
     """(url, final_url, code, n_redirects, failure) of requests (url) over known answers hops (url, code, location).
 
     Of 301, 302, 303 and 307 the policy (none, temporary, all) says which are followed, at most `most` times; a relative location is resolved on the URL that
-    answered. A URL without an answer ends in 404.
+    answered. A URL without an answer ends in 404. A hop is written before the next, which has only what goes on; when nothing does, that's the end.
     """
+    spark = requests.sparkSession
     allowed = {"none": (), "temporary": _TEMPORARY, "all": _REDIRECTS}[policy]
     known = hops.groupBy("url").agg(F.min(F.struct("code", "location")).alias("a")).select(F.col("url").alias("final_url"), "a.code", "a.location")
     at = requests.select("url").distinct().withColumns({"final_url": F.col("url"), "n_redirects": F.lit(0)})
     done = None
     for step in range(most + 1):
-        seen = at.join(known, "final_url", "left").withColumn("code", F.coalesce("code", F.lit(404)))
+        seen = written(at.join(known, "final_url", "left").withColumn("code", F.coalesce("code", F.lit(404))), new_folder(spark, "follow"))
         goes_on = F.col("code").isin(*allowed) & F.col("location").isNotNull() if allowed else F.lit(False)
         failure = F.when(goes_on, F.lit("too_many_redirects")) if step == most else F.when(F.lit(False), F.lit(""))
         if step < most:
@@ -80,6 +82,8 @@ def follow(requests: DataFrame, hops: DataFrame, policy: str = "all", most: int
         ended = seen if step == most else seen.filter(~goes_on)
         ended = ended.select("url", "final_url", "code", "n_redirects", failure.cast("string").alias("failure"))
         done = ended if done is None else done.unionByName(ended)
+        if step == most or seen.filter(goes_on).isEmpty():
+            break
         at = seen.filter(goes_on).select("url", urls.resolved(F.col("location"), F.col("final_url")).alias("final_url"), (F.col("n_redirects") + 1).alias("n_redirects"))
     return done
 
@@ -88,8 +92,10 @@ def archived(requests: DataFrame, cdx: DataFrame, root: str, settings: FetchSett
     """RESPONSES of requests (url) from an archive: its index and, below `root`, the record files, read by range and sorted by file.
 
     A page of another media type than wanted, and one cut off that isn't textual, is a failure; what the index lacks is not found.
-    Redirects are followed along the index as far as settings say, with the location that the stored answer names.
+    Redirects are followed along the index as far as settings say, with the location that the stored answer names. Each hop's requests are written, so
+    that few of them are sent to the index instead of moving it.
     """
+    spark = requests.sparkSession
     out = None
     at = requests.select("url").distinct().withColumn("target", F.col("url"))
     follows = {"none": (), "temporary": _TEMPORARY, "all": _REDIRECTS}[settings.follow]
@@ -99,17 +105,21 @@ def archived(requests: DataFrame, cdx: DataFrame, root: str, settings: FetchSett
         kind = F.when(F.col("capture").isNull(), "absent").when((F.col("capture.status") == 200) & ~wanted, "mime_type").otherwise("read")
         marked = found.withColumn("kind", kind)
         stored = _records(marked.filter("kind = 'read'").select("target", "capture.filename", "capture.offset", "capture.length"), root)
-        rows = at.join(marked.select("target", "kind"), "target", "left").join(stored, "target", "left").persist()
+        rows = at.join(marked.select("target", "kind"), "target", "left").join(stored, "target", "left")
+        rows = written(rows, new_folder(spark, "archived"))
         again = rows.filter(F.col("code").isin(*follows) & F.col("location").isNotNull()) if follows else rows.filter("false")
         last = step == settings.max_redirects or not again.take(1)
         ended = rows if last else rows.join(again.select("url"), "url", "left_anti")
         cut = F.col("truncated") & ~http.mime_type(F.col("content_type")).isin(*_TEXTUAL)
-        failure = F.when(F.col("kind") == "mime_type", "mime_type").when(cut, "content_size").when(F.col("code").isin(*follows), "too_many_redirects") if follows else F.when(F.col("kind") == "mime_type", "mime_type").when(cut, "content_size")
+        nowhere = F.col("code").isin(*_REDIRECTS) & F.col("location").isNull()
+        failure = F.when(F.col("kind") == "mime_type", "mime_type").when(cut, "content_size").when(nowhere & (F.col("code") == 301), "permanent_redirect").when(nowhere & (F.col("code") == 303), "see_other").when(nowhere, "temporary_redirect")
+        if follows:
+            failure = failure.when(F.col("code").isin(*follows), "too_many_redirects")
         ended = ended.select("url", F.when(F.col("kind") == "absent", 404).otherwise(F.col("code")).cast("int").alias("code"), failure.alias("failure"), F.col("target").alias("fetched_url"), "headers", "content", "content_type", F.lit(None).cast("int").alias("response_rate"))
         out = ended if out is None else out.unionByName(ended)
         if last:
             return out
-        at = again.select("url", urls.normalized(urls.resolved(F.col("location"), F.col("target"))).alias("target"))
+        at = written(again.select("url", urls.normalized(urls.resolved(F.col("location"), F.col("target"))).alias("target")), new_folder(spark, "archived"))
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -156,7 +156,7 @@ def limited(responses: DataFrame, settings: FetchSettings) -> DataFrame:
 
 @dataclass
 class HttpFetcher:
-    """Fetches over HTTP in each task's threads. Requests of a host stay in one partition, so that its connections are bounded."""
+    """Fetches over HTTP in each task's threads. Requests of a host stay in one partition, where no more than connections_per_host of them are under way at once."""
 
     settings: FetchSettings
 
@@ -170,13 +170,32 @@ class HttpFetcher:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             with ThreadPoolExecutor(settings.threads) as pool:
                 for batch in batches:
-                    yield pd.DataFrame(list(pool.map(lambda u: fetch_one(u, settings), batch["url"])), columns=[c.split(" ")[0] for c in RESPONSES.split(", ")])
+                    found = by_host(list(batch["url"]), lambda u: fetch_one(u, settings), settings.connections_per_host, pool)
+                    yield pd.DataFrame(found, columns=[c.split(" ")[0] for c in RESPONSES.split(", ")])
 
         from trawlnet.functions.urls import host
 
         return requests.select("url").distinct().repartition(host(F.col("url"))).mapInPandas(run, RESPONSES)
 
 
+def by_host(wanted: list[str], get: Callable[[str], tuple], most: int, pool: ThreadPoolExecutor) -> list[tuple]:
+    """get of every URL, in their order: those of a host form `most` lines, each worked off by one thread at a time, the hosts side by side."""
+    lines: dict[tuple[str, int], list[int]] = {}
+    met: dict[str, int] = {}
+    for k, url in enumerate(wanted):
+        name = url.partition("://")[2].partition("/")[0].rpartition("@")[2].lower()
+        met[name] = met.get(name, -1) + 1
+        lines.setdefault((name, met[name] % max(1, most)), []).append(k)
+    out: list[tuple] = [()] * len(wanted)
+
+    def work(line: list[int]) -> None:
+        for k in line:
+            out[k] = get(wanted[k])
+
+    list(pool.map(work, lines.values()))
+    return out
+
+
 class _Redirects(urllib.request.HTTPRedirectHandler):
     def __init__(self, follow: str, most: int):
         self.follow, self.max_redirections = follow, most
@@ -209,7 +228,7 @@ def fetch_one(url: str, settings: FetchSettings) -> tuple:
             headers = {k: answer.headers.get_all(k) for k in set(answer.headers.keys())}
             return (url, answer.status, None, answer.url, headers, b"".join(parts), answer.headers.get("Content-Type"), int(size / max(1e-3, time.monotonic() - began)))
     except urllib.error.HTTPError as e:
-        return (url, e.code, None, *none)
+        return (url, e.code, None, None, {k: e.headers.get_all(k) for k in set(e.headers.keys())}, None, None, None)
     except ValueError:
         return (url, None, "url", *none)
     except OSError:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import signal
+import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
@@ -28,7 +31,7 @@ def all_equal() -> Column:
 
 @dataclass(frozen=True)
 class ParserSettings:
-    """Longest time for a page (at least 100 ms), most links of a page, what counts as a link, and whether the text is the markup itself."""
+    """Longest time for a page (at least 100 ms; one that takes longer counts as failed), most links of a page, what counts as a link, and whether the text is the markup itself."""
 
     max_duration_ms: int = 30_000
     max_links: int = MAX_EXTRACTED_LINKS
@@ -54,8 +57,9 @@ def parse(results: DataFrame, scorer: Scorer = all_equal, settings: ParserSettin
             for url, fetched, location, header, content, kind in zip(*(batch.column(c).to_pylist() for c in ("url", "fetched_url", "location", "header_language", "content", "content_type"))):
                 page, error, raw = html.Page(), None, ""
                 try:
-                    raw = _decoded(content or b"", kind or "")
-                    page = html.read(raw, html.urljoin(fetched, location) if location else fetched, settings.link_tags, settings.link_attributes, settings.max_links)
+                    with limited(settings.max_duration_ms):
+                        raw = _decoded(content or b"", kind or "")
+                        page = html.read(raw, html.urljoin(fetched, location) if location else fetched, settings.link_tags, settings.link_attributes, settings.max_links)
                 except Exception as e:  # a page that can't be read is counted, and the others go on
                     error = f"{type(e).__name__}: {e}"
                 said = page.meta.get("dc.language") or header or page.meta.get("content-language") or page.language
@@ -71,6 +75,25 @@ def parse(results: DataFrame, scorer: Scorer = all_equal, settings: ParserSettin
     return parsed.withColumn("outlinks", F.transform("links", lambda k: F.struct(k["url"].alias("url"), k["anchor_text"].alias("anchor_text"), k["rel"].alias("rel"), share.alias("score")))).drop("links")
 
 
+@contextmanager
+def limited(ms: int) -> Iterator[None]:
+    """Raises TimeoutError in what runs inside for longer than ms. It needs the main thread, where Spark's Python workers run; elsewhere there is no limit."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(number: int, frame: object) -> None:
+        raise TimeoutError(f"over {ms} ms")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, ms / 1000)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def _decoded(content: bytes, content_type: str) -> str:
     kind, _, rest = content_type.partition(";")
     charset = rest.partition("charset=")[2].strip(" \"'").split(";")[0]

@@ -2,7 +2,7 @@
 
 A streaming graph has no cycles, so the two loops of a crawl, of states and of domain scores, are rounds: a round reads the states, queues the
 best unfetched URLs, asks robots rules and politeness, fetches, parses, merges what came of it and writes the states of the next
-round. Each round's tables are Parquet below one shared folder, so no lineage outlives a round and a crawl goes on from the last that was written.
+round. Each round's tables are Parquet below one shared folder, so no lineage outlives a round, and a crawl that was stopped goes on from the last round whose states were written.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawlnet import schema
-from trawlnet.functions import urls
+from trawlnet.functions import shorteners, urls
 from trawlnet.operators import clean, crawldb, fetch, parse, robots, sitemap
 from trawlnet.plans.terminate import Terminator, nothing_left
 from trawlnet.sinks import outputs
-from trawlnet.storage import new_folder, written
+from trawlnet.streaming.processors import each_batch
+from trawlnet.storage import is_written, new_folder, written
 
 #: Agent name of an example; a crawl over HTTP must have its own.
 PLACEHOLDER_AGENT = "unnamed-crawler"
@@ -28,7 +29,10 @@ PLACEHOLDER_AGENT = "unnamed-crawler"
 
 @dataclass(frozen=True)
 class Crawl:
-    """What a crawl does. Fetchers map requests (url) to responses; redirects, if given, is the table that short URLs are looked up in."""
+    """What a crawl does. Fetchers map requests (url) to responses; redirects, if given, is the table that short URLs are looked up in, and lengthener, if given, a fetcher
+    that follows nothing, which is asked about short URLs whenever seeds, links or sitemaps bring any. merger, queue, page_parser, robots_parser and sitemap_parser stand for crawldb.merge,
+    crawldb.fetch_queue, parse.parse (of results), robots.rules_of and sitemap.expand.
+    """
 
     page_fetcher: fetch.Fetcher
     robots_fetcher: fetch.Fetcher = fetch.nothing
@@ -36,6 +40,13 @@ class Crawl:
     agent: str = "*"
     job_name: str = "crawl"
     redirects: DataFrame | None = None
+    lengthener: fetch.Fetcher | None = None
+    short_hosts: tuple[str, ...] = shorteners.BUILT_IN
+    merger: Callable[[DataFrame], DataFrame] = crawldb.merge
+    queue: Callable[..., DataFrame] = crawldb.fetch_queue
+    page_parser: Callable[[DataFrame], DataFrame] | None = None
+    robots_parser: Callable[..., DataFrame] = robots.rules_of
+    sitemap_parser: Callable[[DataFrame], DataFrame] = sitemap.expand
     normalizer: Callable[[DataFrame], DataFrame] = clean.normalize
     valid: Callable[[Column], Column] = urls.is_valid
     scorer: parse.Scorer = parse.all_equal
@@ -47,7 +58,7 @@ class Crawl:
     default_delay_ms: int = schema.DEFAULT_CRAWL_DELAY_MS
     max_outlinks: int = schema.MAX_OUTLINKS
     round_ms: int = 1000
-    paced: bool = False
+    paced: bool = True
     recrawl: bool = False
     text_path: str | None = None
     warc_path: str | None = None
@@ -94,16 +105,36 @@ def _log(stage: str, rows: DataFrame, status: Column | None = None) -> DataFrame
     return rows.select(F.lit(stage).alias("stage"), "url", (F.lit(None) if status is None else status).cast("string").alias("status"))
 
 
-def run(spark: SparkSession, crawl: Crawl, seeds: DataFrame, folder: str | None = None, start_ms: int | None = None) -> Outcome:
-    """Crawl from seeds (url, score) until nothing is left to fetch, a terminator says so, or the rounds are used up."""
+def run(spark: SparkSession, crawl: Crawl, seeds: DataFrame, folder: str | None = None, start_ms: int | None = None, more_seeds: bool = False) -> Outcome:
+    """Crawl from seeds (url, score) until nothing is left to fetch, a terminator says so, or the rounds are used up.
+
+    Where folder holds rounds of a crawl it goes on after the last whose states were written, at the time of the first start; seeds are added then
+    only if more_seeds is set. What a round that wasn't finished had written is written again.
+    """
     folder = folder or new_folder(spark, crawl.job_name)
-    start = int(time.time() * 1000) if start_ms is None else start_ms
     at = lambda r, name: os.path.join(folder, f"round={r:05d}", name)
-    first = clean.clean(seeds, start, crawl.redirects, crawl.normalizer, crawl.valid)
-    states = written(crawldb.merge(first.withColumn("seq", F.lit(0))), at(0, "states"))
     rules = due = scores = None
     parsed_parts, event_parts = [], []
     r = 0
+    if is_written(spark, at(0, "states")):
+        while is_written(spark, at(r + 1, "states")):
+            r += 1
+            parsed_parts.append(spark.read.parquet(at(r, "parsed")))
+            event_parts.append(spark.read.parquet(at(r, "events")))
+        start = spark.read.parquet(at(0, "start")).first()[0]
+        states = spark.read.parquet(at(r, "states"))
+        if r:
+            rules = spark.read.parquet(at(r, "rules_all") if is_written(spark, at(r, "rules_all")) else at(r, "rules"))
+            due, scores = spark.read.parquet(at(r, "asked_due")), spark.read.parquet(at(r, "scores"))
+        if more_seeds:
+            now = start + r * crawl.round_ms
+            first = clean.clean(seeds, now, _redirects(crawl, seeds, new_folder(spark, "short")), crawl.normalizer, crawl.valid)
+            states = written(crawl.merger(states.withColumn("seq", F.lit(0)).unionByName(first.withColumn("seq", F.lit(1)))), new_folder(spark, "seeded"))
+    else:
+        start = int(time.time() * 1000) if start_ms is None else start_ms
+        written(spark.createDataFrame([(start,)], "start bigint"), at(0, "start"))
+        first = clean.clean(seeds, start, _redirects(crawl, seeds, at(0, "short")), crawl.normalizer, crawl.valid)
+        states = written(crawl.merger(first.withColumn("seq", F.lit(0))), at(0, "states"))
     began = time.monotonic()
     while r < crawl.max_rounds and not any(t(r, time.monotonic() - began, states) for t in crawl.terminators):
         r += 1
@@ -117,10 +148,11 @@ def run(spark: SparkSession, crawl: Crawl, seeds: DataFrame, folder: str | None
         asked, due = _polite(gated.filter("outcome = 'passed'"), due, now, at(r, "asked"))
         passed = asked.filter("passed")
         results = written(fetch.results(passed, crawl.page_fetcher(passed.select("url")), now + 1), at(r, "results"))
-        parsed = written(parse.parse(results, crawl.scorer, crawl.parser), at(r, "parsed"))
-        maps = sitemap.expand(fetch.results(robots.sitemap_requests(fresh).withColumn("score", F.lit(1.0)), crawl.sitemap_fetcher(robots.sitemap_requests(fresh)), now))
+        parsed = written(crawl.page_parser(results) if crawl.page_parser else parse.parse(results, crawl.scorer, crawl.parser), at(r, "parsed"))
+        maps = crawl.sitemap_parser(fetch.results(robots.sitemap_requests(fresh).withColumn("score", F.lit(1.0)), crawl.sitemap_fetcher(robots.sitemap_requests(fresh)), now))
         links = parse.raw_urls(parse.outlinks(parsed, crawl.max_outlinks))
-        found = clean.clean(links.unionByName(maps), now, crawl.redirects, crawl.normalizer, crawl.valid)
+        raw = written(links.unionByName(maps), at(r, "raw"))
+        found = clean.clean(raw, now, _redirects(crawl, raw, at(r, "short")), crawl.normalizer, crawl.valid)
         ended = (
             gated.filter("outcome = 'blocked'").select("url", "status", F.lit(now + 1).alias("status_time"), "score", "next_fetch_time")
             .unionByName(asked.filter("not passed").select("url", F.lit("SKIPPED_CRAWLDELAY").alias("status"), F.lit(now + 1).alias("status_time"), "score", "next_fetch_time"))
@@ -138,10 +170,10 @@ def run(spark: SparkSession, crawl: Crawl, seeds: DataFrame, folder: str | None
         event_parts.append(written(events.withColumn("round", F.lit(r)), at(r, "events")))
         more = parse.domain_scores(parsed, F.struct(F.lit(r).alias("round"), F.col("fetched_url").alias("url")))
         scores = written(more if scores is None else crawl_window(scores.unionByName(more)), at(r, "scores"))
-        states = written(crawldb.merge(updates), at(r, "states"))
-        parsed_parts.append(parsed)
         if crawl.warc_path:
             outputs.write_warc(results, crawl.warc_path)
+        states = written(crawl.merger(updates), at(r, "states"))
+        parsed_parts.append(parsed)
     every = _union(parsed_parts, lambda: spark.createDataFrame([], "url string, fetched_url string, title string, language string, parsed_text string, meta map<string,string>, error string, score double"))
     if crawl.text_path:
         outputs.write_text(parse.texts(every) if parsed_parts else every, crawl.text_path)
@@ -149,6 +181,28 @@ def run(spark: SparkSession, crawl: Crawl, seeds: DataFrame, folder: str | None
     return Outcome(states, every, scores if scores is not None else spark.createDataFrame([], "pld string, seq int, score double"), _union(event_parts, empty_events), r, folder)
 
 
+def follow_seeds(spark: SparkSession, crawl: Crawl, seeds: DataFrame, folder: str, checkpoint: str, available_now: bool = True):  # noqa: ANN201
+    """Crawl from a stream of seeds (url, score): each of its batches is added to the states in folder, and rounds follow until nothing is left. The stream's query."""
+
+    def batch(more: DataFrame, number: int) -> None:
+        done = os.path.join(folder, "batches", str(number))  # a batch that comes again after a failure isn't added again
+        if not is_written(spark, done):
+            run(spark, crawl, more, folder, more_seeds=True)
+            written(spark.createDataFrame([(number,)], "batch bigint"), done)
+
+    return each_batch(seeds, checkpoint, batch, available_now)
+
+
+def _redirects(crawl: Crawl, raw: DataFrame, path: str) -> DataFrame | None:
+    """(url, status, location) of short URLs: those given, and those that the lengthener was asked about."""
+    if crawl.lengthener is None:
+        return crawl.redirects
+    short = raw.select("url").filter(F.lower(urls.host(F.col("url"))).isin(list(crawl.short_hosts))).distinct()
+    answers = crawl.lengthener(short)
+    found = written(answers.select("url", F.col("code").cast("int").alias("status"), F.coalesce(F.element_at(F.element_at("headers", "Location"), 1), "fetched_url").alias("location")), path)
+    return found if crawl.redirects is None else found.unionByName(crawl.redirects.select("url", F.col("status").cast("int").alias("status"), "location"))
+
+
 def _union(parts: list[DataFrame], empty: Callable[[], DataFrame]) -> DataFrame:
     if not parts:
         return empty()
@@ -175,7 +229,7 @@ def _queue(crawl: Crawl, states: DataFrame, scores: DataFrame | None, now: int)
         ready = candidates.filter((F.col("status") == "UNFETCHED") & (F.col("score") >= crawl.min_score))
         candidates = crawldb.within_quota(ready, crawldb.check_intervals(means), crawl.round_ms)
     shard = F.pmod(F.xxhash64("pld"), F.lit(crawl.shards)) if crawl.shards > 1 else None
-    return crawldb.fetch_queue(candidates, crawl.queue_size, crawl.min_score, shard).select("url", "score", "rank")
+    return crawl.queue(candidates, crawl.queue_size, crawl.min_score, shard).select("url", "score", "rank")
 
 
 def _rules(spark: SparkSession, crawl: Crawl, queue: DataFrame, rules: DataFrame | None, now: int, path: str) -> tuple[DataFrame, DataFrame]:
@@ -184,7 +238,7 @@ def _rules(spark: SparkSession, crawl: Crawl, queue: DataFrame, rules: DataFrame
     answers = crawl.robots_fetcher(wanted.select("url"))
     body = F.decode("content", "UTF-8")
     responses = wanted.join(answers.select("url", F.when(F.col("failure").isNull(), F.col("code")).alias("code"), body.alias("body")), "url", "left")
-    fresh = written(robots.rules_of(responses.select("origin", "code", "body"), now, crawl.agent), path)
+    fresh = written(crawl.robots_parser(responses.select("origin", "code", "body"), now, crawl.agent), path)
     if rules is None:
         return fresh, fresh
     return written(rules.filter(F.col("expires_at") > now).unionByName(fresh), path + "_all"), fresh

@@ -102,7 +102,7 @@ def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT unnest([url, 't' || url, url || '<x>', substr(url, 8), 'http:' || url, url || ' x']) AS u FROM pages)""")
 def url_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")
-    made = table(spark, sf_dir, "pages").select(F.explode(F.array(u, F.concat(F.lit("t"), u), F.concat(u, F.lit("<x>")), F.substring(u, 8, 10_000), F.concat(F.lit("http:"), u), F.concat(u, F.lit(" x")))).alias("url"))
+    made = table(spark, sf_dir, "pages").select(F.explode(F.array(u, F.concat(F.lit("t"), u), F.concat(u, F.lit("<x>")), F.substr(u, F.lit(8)), F.concat(F.lit("http:"), u), F.concat(u, F.lit(" x")))).alias("url"))
     return made.select("url", urls.is_valid(u).alias("valid"))
 
 

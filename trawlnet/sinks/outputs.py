@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,26 +12,34 @@ from pyspark.sql import functions as F
 from trawlnet.functions.text import one_line
 from trawlnet.sources.warc import SCHEMA, WarcSource
 
+_EPOCH = datetime(1970, 1, 1)
+
 
 def text_lines(parsed: DataFrame) -> DataFrame:
     """(value) a line `url<TAB>text` for each parsed page (url, parsed_text, score) of a score above zero."""
     return parsed.filter("score > 0").select(F.concat_ws("\t", "url", one_line(F.coalesce("parsed_text", F.lit("")))).alias("value"))
 
 
+def print_text(parsed: DataFrame) -> None:
+    """The lines of text to standard output, one after another, as they come from the tasks' partitions."""
+    for row in text_lines(parsed).toLocalIterator():
+        print(row.value)
+
+
 def write_text(parsed: DataFrame, path: str) -> None:
     text_lines(parsed).write.mode("overwrite").text(path)
 
 
 def warc_records(results: DataFrame, software: str = "trawlnet", agent: str = "") -> DataFrame:
     """(headers, content): a warcinfo record for each partition, then a resource record for each fetched page."""
-    rows = results.filter("status = 'FETCHED'").select("fetched_url", F.timestamp_millis("status_time").cast("string").alias("at"), "content_type", "content")
+    rows = results.filter("status = 'FETCHED'").select("fetched_url", F.col("status_time").alias("at"), "content_type", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = True
         for batch in batches:
             out = []
             for url, at, kind, content in batch.itertuples(index=False):
-                date = at.replace(" ", "T")[:19] + "Z"
+                date = (_EPOCH + timedelta(milliseconds=int(at))).strftime("%Y-%m-%dT%H:%M:%SZ")
                 if first:
                     out.append(([("WARC-Type", "warcinfo"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], f"software: {software}\r\nformat: WARC File Format 1.0\r\nhttp-header-user-agent: {agent}\r\n".encode()))
                     first = False

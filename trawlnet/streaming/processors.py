@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from trawlnet.functions.http import HOUR_MS, LIFETIMES_MS, OTHER_LIFETIME_MS
 from trawlnet.schema import MAX_IN_FLIGHT, MOVING_AVERAGE, QUEUE_SIZE
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -82,12 +83,15 @@ class Politeness(StatefulProcessor):
 
 
 class RobotsCache(StatefulProcessor):
-    """Lets a request through to the fetch of its origin's rules only if none are held or they have expired."""
+    """Lets a request through to the fetch of its origin's rules only if none are held, on their way, or they have expired.
+
+    Rows with a `code` are answers: their rules hold as long as robots.rules_of says of that status, from when they came. One that never comes is asked for again after `patience_ms`.
+    """
 
     SCHEMA = "origin string, url string, now bigint, fetch_rules boolean"
 
-    def __init__(self, lifetime_ms: int = 12 * 3_600_000):
-        self.lifetime = lifetime_ms
+    def __init__(self, patience_ms: int = 12 * HOUR_MS):
+        self.patience = patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.expires = handle.getValueState("expires", "at bigint")
@@ -98,12 +102,17 @@ class RobotsCache(StatefulProcessor):
             return
         at = self.expires.get()[0] if self.expires.exists() else None
         out = []
-        for url, now in zip(batch["url"], batch["now"]):
+        codes = batch["code"] if "code" in batch else [None] * len(batch)
+        for url, now, code in zip(batch["url"], batch["now"], codes):
+            if code is not None and not pd.isna(code):
+                at = int(now) + LIFETIMES_MS.get(int(code), OTHER_LIFETIME_MS)
+                continue
             fresh = at is None or now >= at
             if fresh:
-                at = int(now) + self.lifetime
+                at = int(now) + self.patience
             out.append((key[0], url, now, fresh))
-        self.expires.update((at,))
+        if at is not None:
+            self.expires.update((at,))
         yield pd.DataFrame(out, columns=["origin", "url", "now", "fetch_rules"])
 
     def close(self) -> None:
@@ -171,14 +180,17 @@ class FetchQueue(StatefulProcessor):
         n = self.flying.get()[0] if self.flying.exists() else 0
         n = max(0, n - int((batch["kind"] == "done").sum()))
         new = batch[(batch["kind"] == "candidate") & (batch["score"] >= self.min_score)]
-        held = sorted([*held, *zip(new["url"], new["score"].astype(float))], key=lambda x: -x[1])
+        best: dict[str, float] = {}
+        for url, score in [*held, *zip(new["url"], new["score"].astype(float))]:  # a URL offered again stays once, with its best score
+            best[url] = max(score, best.get(url, score))
+        held = sorted(best.items(), key=lambda x: -x[1])
         out = [("evicted", *x) for x in held[self.size :]]
         held = held[: self.size]
         free = max(0, self.most - n)
         out += [("fetch", *x) for x in held[:free]]
         n += len(held[:free])
         held = held[free:]
-        self.queue.put(held)
+        self.queue.put(held) if held else self.queue.clear()
         self.flying.update((n,))
         yield pd.DataFrame([(key[0], *x) for x in out], columns=["shard", "kind", "url", "score"])
 
