@@ -22,7 +22,7 @@ def trigrams(text: str) -> Counter[str]:
 
 
 @lru_cache(maxsize=1)
-def _profiles() -> dict[str, dict[str, float]]:
+def profiles() -> dict[str, dict[str, float]]:
     out = {}
     for name, sample in _SAMPLES.items():
         counts = trigrams(sample)
@@ -37,5 +37,5 @@ def detect(text: str | None, least_margin: float = 0.02, least_letters: int = 20
         return ""
     counts = trigrams(text)
     norm = np.sqrt(sum(v * v for v in counts.values())) or 1.0
-    scores = sorted(((sum(v * profile.get(k, 0.0) for k, v in counts.items()) / norm, name) for name, profile in _profiles().items()), reverse=True)
+    scores = sorted(((sum(v * profile.get(k, 0.0) for k, v in counts.items()) / norm, name) for name, profile in profiles().items()), reverse=True)
     return scores[0][1] if scores[0][0] - scores[1][0] >= least_margin else ""

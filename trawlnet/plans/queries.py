@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from trawlnet.functions import http, urls
 from trawlnet.functions.hashing import url_hash
-from trawlnet.functions.language import detect
+from trawlnet.functions.language import detect, profiles
 from trawlnet.operators import archive, clean, crawldb, fetch, parse, robots, sitemap
 from trawlnet.plans import crawl
 from trawlnet.schema import FETCH_RESULT
@@ -93,9 +93,16 @@ def url_pld(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("url", urls.pld(F.col("url")).alias("pld"))
 
 
-@query("SELECT url AS raw, regexp_replace(url, '#.*$', '') AS url FROM pages")
+@query(r"""WITH p AS (SELECT url, regexp_extract(url, '^https?://[^/?#]*') AS head, regexp_replace(url, '#.*$', '') AS bare FROM pages),
+    q AS (SELECT *, substr(url, len(head) + 1) AS tail, CASE WHEN starts_with(url, 'https') THEN ':443' ELSE ':80' END AS port, CASE WHEN contains(bare, '?') THEN '&' ELSE '?' END AS sep FROM p)
+    SELECT unnest([url, upper(head) || tail, head || port || tail, '  ' || url || ' ', bare || sep || 'jsessionid=0123456789ABCDEF0123456789ABCDEF', bare || '#part']) AS raw, bare AS url FROM q""")
 def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(F.col("url").alias("raw"), urls.normalized(F.col("url")).alias("url"))
+    u = F.col("url")
+    head, bare = F.regexp_extract(u, "^https?://[^/?#]*", 0), F.regexp_replace(u, "#.*$", "")
+    tail, port = F.substr(u, F.length(head) + 1), F.when(u.startswith("https"), ":443").otherwise(":80")
+    session = F.concat(bare, F.when(bare.contains("?"), "&").otherwise("?"), F.lit("jsessionid=0123456789ABCDEF0123456789ABCDEF"))
+    raw = F.explode(F.array(u, F.concat(F.upper(head), tail), F.concat(head, port, tail), F.concat(F.lit("  "), u, F.lit(" ")), session, F.concat(bare, F.lit("#part")))).alias("raw")
+    return table(spark, sf_dir, "pages").select(raw).select("raw", urls.normalized(F.col("raw")).alias("url"))
 
 
 @query("""SELECT u AS url, regexp_matches(u, '^https?://[a-z0-9.-]+(/[^ <>]*)?$') AS valid
@@ -416,12 +423,48 @@ def segment_index_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_index.segments(table(spark, sf_dir, "pages").select(line.alias("value"))).select("key", "index_file", "seg_offset", "seg_length", "seg_id")
 
 
-@query()
+def _shifted(x: str, bits: int, right: bool) -> str:
+    """x << bits or, of signed numbers, x >> bits in 64-bit arithmetic, as a number from 0 to 2**64 - 1."""
+    if not right:
+        return f"(({x}) * {1 << bits}::HUGEINT % {_TOP})"
+    signed = f"(CASE WHEN {x} >= {_TOP} // 2 THEN {x} - {_TOP} ELSE {x} END)"
+    return f"((({signed} - (({signed} % {1 << bits} + {1 << bits}) % {1 << bits})) // {1 << bits} + {_TOP}) % {_TOP})"
+
+
+def _steps(x: str, *steps: str) -> str:
+    """x through steps, each a SQL expression of x."""
+    for step in steps:
+        x = f"list_transform([{x}], lambda x: {step})[1]"
+    return x
+
+
+_TOP = "18446744073709551616::HUGEINT"
+_ADD, _XOR = (lambda n: f"(x + {_shifted('x', n, False)}) % {_TOP}"), (lambda n: f"xor(x, {_shifted('x', n, True)})")
+_BYTES = "list_transform(range(0, len(hex(encode(url))) // 2), lambda k: ((strpos('0123456789ABCDEF', hex(encode(url))[2 * k + 1]) - 1) * 16 + strpos('0123456789ABCDEF', hex(encode(url))[2 * k + 2]) - 1)::HUGEINT)"
+_EACH = _steps(f"(h + b) % {_TOP}", _ADD(20), _XOR(12))
+_HASH = _steps("list_reduce(bytes, lambda h, b: " + _EACH + ", 0::HUGEINT)", _ADD(6), _XOR(22), _ADD(30))
+
+
+@query(f"SELECT url, (CASE WHEN h >= {_TOP} // 2 THEN h - {_TOP} ELSE h END)::BIGINT AS hash FROM (SELECT url, {_HASH} AS h FROM (SELECT url, {_BYTES} AS bytes FROM pages))")
 def joaat64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("url", url_hash(F.col("url")).alias("hash"))
 
 
-@query()
+def _detect_sql() -> str:
+    known = ", ".join(f"('{name}', '{gram}', {float(weight)!r}::DOUBLE)" for name, grams in profiles().items() for gram, weight in grams.items())
+    return rf"""
+WITH profile(name, gram, w) AS (VALUES {known}),
+d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text FROM documents),
+p AS (SELECT r, ' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^\p{{L}}]+'), lambda x: x <> ''), ' ') || ' ' AS padded FROM d),
+g AS (SELECT r, gram, count(*) AS v FROM (SELECT r, substr(padded, i, 3) AS gram FROM (SELECT r, padded, unnest(range(1, length(padded) - 1)) AS i FROM p)) GROUP BY r, gram),
+norm AS (SELECT r, sqrt(sum(v * v)) AS n FROM g GROUP BY r),
+score AS (SELECT r, name, sum(v * w) / any_value(n) AS s FROM g JOIN profile USING (gram) JOIN norm USING (r) GROUP BY r, name),
+every AS (SELECT d.r, names.name, coalesce(s, 0) AS s FROM d CROSS JOIN (SELECT DISTINCT name FROM profile) names LEFT JOIN score ON score.r = d.r AND score.name = names.name),
+best AS (SELECT r, max_by(name, s) AS name, max(s) - list_sort(list(s), 'DESC')[2] AS margin FROM every GROUP BY r)
+SELECT doc_id, lang, CASE WHEN length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) >= 20 AND margin >= 0.02 THEN name ELSE '' END AS detected FROM d JOIN best USING (r)"""
+
+
+@query(_detect_sql())
 def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
