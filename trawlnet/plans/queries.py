@@ -223,6 +223,23 @@ def fetch_queue_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawldb.fetch_queue(_states(spark, sf_dir), min_score=50.0, shard=F.col("seq") % 4, order=F.col("seq")).select("seq", "url", "score", "rank")
 
 
+_AT_WORK = f"SELECT url, score, status_time, row_number() OVER (ORDER BY score DESC, url) AS place FROM (SELECT url, sum(score) AS score, max(status_time) AS status_time FROM ({_STATES}) WHERE status = 'UNFETCHED' GROUP BY url)"
+
+
+@query(f"SELECT url, CASE WHEN place <= 200 THEN 'QUEUED' ELSE 'UNFETCHED' END AS status, CASE WHEN place <= 200 THEN 'UNFETCHED' END AS previous_status, CASE WHEN place <= 200 THEN 7 ELSE status_time END AS status_time FROM ({_AT_WORK})")
+def states_queued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = crawldb.merge(_states(spark, sf_dir).filter("status = 'UNFETCHED'"))
+    return crawldb.queued(states, crawldb.fetch_queue(states, 200), 7).select("url", "status", "previous_status", "status_time")
+
+
+@query(f"SELECT url, 'UNFETCHED' AS status, score FROM ({_AT_WORK}) WHERE place > 100 AND place <= 200")
+def queue_evicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = crawldb.merge(_states(spark, sf_dir).filter("status = 'UNFETCHED'"))
+    queue = crawldb.queued(states, crawldb.fetch_queue(states, 200), 7).filter("status = 'QUEUED'")
+    better = crawldb.fetch_queue(states, 100).select("url")
+    return crawldb.evicted(queue.join(better, "url", "left_anti")).select("url", "status", "score")
+
+
 _LATEST = "SELECT 'd' || user_id AS pld, greatest(0.01, arg_max(floor(value), event_id)) AS score FROM events GROUP BY user_id"
 
 
