@@ -22,6 +22,8 @@ from .textkit import release_memory
 
 #: Values that a worker gathers before it sends them to their buckets.
 FLUSH = 1 << 19
+#: Row keys (16 bytes each) that are sent to every executor.
+KEYS_AT_ONCE = 2_000_000
 _FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -56,6 +58,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Remove the files of a checkpointed df that nothing will read again."""
+    path = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if path.isDefined():
+        remove(df.sparkSession, path.get())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(at, True)
+
+
 def buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -165,13 +180,16 @@ def row_key(df: DataFrame) -> Column:
     return F.struct(F.xxhash64(*own, nulls).alias("a"), F.xxhash64(F.lit(1), nulls, *own).alias("b"))
 
 
-def only(docs: DataFrame, dropped: DataFrame, limit: int = 2_000_000) -> DataFrame:
-    """docs without the rows whose row_key is in `dropped` (columns a and b). Up to `limit` keys (32 MB) go to every executor and the texts stay where they are; more are joined by a shuffle."""
-    gone = checkpointed(dropped.select("a", "b").distinct())
-    few = gone.limit(limit + 1).count() <= limit
+def by_key(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Semi- or anti-join of docs with row_keys (columns a and b). Up to KEYS_AT_ONCE keys go to every executor and the texts stay where they are; more are joined by a shuffle."""
+    few = keys.limit(KEYS_AT_ONCE + 1).count() <= KEYS_AT_ONCE
     name = "row_key"
     while name in docs.columns:
         name += "_"
-    keyed = docs.select("*", row_key(docs).alias(name))
-    gone = gone.select(F.struct("a", "b").alias(name))
-    return keyed.join(F.broadcast(gone) if few else gone, name, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    keyed, wanted = docs.select("*", row_key(docs).alias(name)), keys.select(F.struct("a", "b").alias(name))
+    return keyed.join(F.broadcast(wanted) if few else wanted, name, how).select(*(f"`{c}`" for c in docs.columns))
+
+
+def only(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose row_key is in `dropped` (columns a and b)."""
+    return by_key(docs, checkpointed(dropped.select("a", "b").distinct()), "left_anti")

@@ -7,14 +7,14 @@ record is spread to all rows of the record.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FLUSH, blob, bucket_of, buckets, checkpointed, exchange, gathered, packed, ranges, runs, split, unpacked, unpacked_rising
+from .common import FLUSH, blob, bucket_of, buckets, checkpointed, exchange, packed, packed_rising, ranges, split, unpacked, unpacked_rising
 from .textkit import chunks, mix, words
 
 MIN_WORDS = 50
@@ -22,6 +22,9 @@ SPANS = "doc_id bigint, start_word int, end_word int"
 #: A home's text: its symbols, where each begins and its words, runs found so far, and (place, record, words) of its texts.
 TEXT = "bucket int, symbols binary, starts binary, sizes binary, runs binary, texts binary"
 REPLIES = "bucket int, source int, names binary"
+REGIONS = "bucket int, symbols binary, aux binary"
+#: Symbols from here on end the text of a home.
+HOME_END = np.uint64(1 << 40)
 #: Low bits of a word's hash that aren't kept.
 _DROPPED = np.uint64(25)
 
@@ -80,20 +83,30 @@ def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     parts.append(own[a : a + c])
                     at += c + 1
     if home >= 0:
-        yield text_row(home, np.concatenate(parts), b"", b"", b"", blob(np.array(table, np.int64)))
+        yield text_row(home, np.concatenate(parts), texts=blob(np.array(table, np.int64)))
 
 
-def text_row(home: int, symbols: np.ndarray, starts: bytes, sizes: bytes, found: bytes, texts: bytes) -> pa.RecordBatch:
+def text_row(home: int, symbols: np.ndarray, start: np.ndarray | None = None, size: np.ndarray | None = None, found: bytes = b"", texts: bytes = b"") -> pa.RecordBatch:
+    """A row of TEXT; of the symbols' starts only those are written that aren't the end of the one before."""
+    starts = sizes = b""
+    if start is not None:
+        at = np.flatnonzero(np.r_[True, start[1:] != (start + size)[:-1]][: len(start)])
+        starts, sizes = len(at).to_bytes(8, "little") + blob(np.r_[at, start[at]].astype(np.int64)), packed(size)
     return pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "symbols": [packed(symbols)], "starts": [starts], "sizes": [sizes], "runs": [found], "texts": [texts]})
 
 
 def read_text(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of a home, where each begins and its words; at first, when they are words, the texts tell that."""
+    """Symbols of a home, where each begins and its words; at first, when they are words, the texts tell that. Symbols without a name are left out."""
     symbols = unpacked(row["symbols"])
     if row["texts"]:
         table = np.frombuffer(row["texts"], np.int64).reshape(-1, 3)
-        return symbols, ranges(table[:, 0], table[:, 2]), np.ones(len(symbols), np.int64)
-    return symbols, unpacked_rising(row["starts"], len(symbols)).astype(np.int64), unpacked(row["sizes"]).astype(np.int64)
+        keep = symbols > 0
+        return symbols[keep], ranges(table[:, 0], table[:, 2])[keep], np.ones(int(keep.sum()), np.int64)
+    size = unpacked(row["sizes"]).astype(np.int64)
+    n = int.from_bytes(row["starts"][:8], "little")
+    at, first = np.frombuffer(row["starts"], np.int64, offset=8).reshape(2, n)
+    before = np.cumsum(size) - size
+    return symbols, before + np.repeat(first - before[at], np.diff(np.r_[at, len(size)])), size
 
 
 def with_replies(texts: DataFrame, replies: DataFrame) -> DataFrame:
@@ -114,48 +127,131 @@ def merged(owner: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nda
     return owner[starts], low[starts], (reach - shift)[ends]
 
 
-def regions(min_words: int, n: int):
-    """Places around anchors met twice, merged, for their homes."""
+def distinct_keys(key: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Owner, keys (rising) and whether a home has each several times."""
+    names, count = np.unique(key, return_counts=True)
+    for b, (x, c) in split(bucket_of(mix(names), n), n, names, count):
+        yield b, x, c > 1
+
+
+def key_rows(keys_of: Callable[[dict], np.ndarray], n: int):
+    """A home's distinct keys, for their owners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, owner = [], -1
         for batch in batches:
             for row in batch.to_pylist():
-                owner, keys = row["bucket"], np.frombuffer(row["keys"], np.uint64)
-                parts.append((keys, np.full(len(keys), row["home"]), unpacked_rising(row["starts"], len(keys)).astype(np.int64), unpacked(row["sizes"]).astype(np.int64)))
-        if not parts:
-            return
-        keys, homes, starts, sizes = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(keys, kind="stable")
-        _, length = runs(keys[order])
-        take = order[np.repeat(length > 1, length)]
-        for home, (a, m) in split(homes[take], n, starts[take], sizes[take]):
-            low, high = np.maximum(0, np.minimum(a, a + m - min_words)), np.maximum(a + m, a + min_words)
-            low, high = np.where(m < min_words, low, np.maximum(0, a - min_words)), np.where(m < min_words, high, a + m + min_words)
-            order = np.argsort(low, kind="stable")
-            _, low, high = merged(np.zeros(len(low), np.int64), low[order], high[order])
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "source": pa.array([owner], pa.int32()), "names": [blob(np.stack([low, high], 1))]})
+                for b, x, several in distinct_keys(keys_of(row), n):
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "home": pa.array([row["bucket"]], pa.int32()), "keys": [packed_rising(x)], "several": [blob(several)]})
+
+    return run, "bucket int, home int, keys binary, several binary"
+
 
-    return run, REPLIES
+def owned(batches: Iterator[pa.RecordBatch]) -> tuple[int, list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """An owner, the homes that sent keys and how many, for each of their keys its number among the distinct ones, and whether each of those is met at several places."""
+    owner, parts = -1, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            owner, several = row["bucket"], np.frombuffer(row["several"], bool)
+            parts.append((row["home"], unpacked_rising(row["keys"], len(several)), several))
+    if owner < 0:
+        return owner, [], np.zeros(0, np.int64), np.zeros(0, bool)
+    _, at, count = np.unique(np.concatenate([x for _, x, _ in parts]), return_inverse=True, return_counts=True)
+    shared = count > 1
+    shared[at[np.concatenate([s for _, _, s in parts])]] = True
+    return owner, [(home, len(x)) for home, x, _ in parts], at, shared
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """To each home, for its keys in its order, whether they are met at several places."""
+    owner, homes, at, shared = owned(batches)
+    lo = 0
+    for home, n in homes:
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "source": pa.array([owner], pa.int32()), "names": [blob(np.packbits(shared[at[lo : lo + n]]))]})
+        lo += n
+
+
+def shared_keys(homes: DataFrame, keys_of: Callable[[dict], np.ndarray], n: int) -> DataFrame:
+    """What the owners answer homes about their keys. A key goes from a home to its owner once, however often the home has it."""
+    return exchange(homes.mapInArrow(*key_rows(keys_of, n))).mapInArrow(_answers, REPLIES)
+
+
+def is_shared(key: np.ndarray, replies: dict[int, bytes], n: int) -> np.ndarray:
+    """Of a home's keys those that its answers say are met at several places."""
+    mine = list(distinct_keys(key, n))
+    if not mine:
+        return np.zeros(0, bool)
+    names = np.concatenate([x for _, x, _ in mine])
+    bits = np.concatenate([np.unpackbits(np.frombuffer(replies[b], np.uint8), count=len(x)) for b, x, _ in mine]) > 0
+    order = np.argsort(names)
+    return bits[order][np.searchsorted(names[order], key)]
+
+
+def of_home(batches: Iterator[pa.RecordBatch]) -> tuple[dict | None, dict[int, bytes]]:
+    """A home's text and the answers to it."""
+    text, replies = None, {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["source"] is None:
+                text = row
+            else:
+                replies[row["source"]] = row["names"]
+    return text, replies
 
 
-def _to_spans(min_words: int):
-    """Spans of a bucket of records from the places (record, word) where a repeated passage of min_words words begins."""
+def around(start: np.ndarray, end: np.ndarray, min_words: int, partly: np.ndarray | None = None) -> np.ndarray:
+    """(low, high) where passages of min_words words may be that hold an anchor, or may overlap one that is no shorter or that counts partly; merged."""
+    whole = end - start < min_words
+    if partly is not None:
+        whole &= ~partly
+    low, high = np.where(whole, end, start) - min_words, np.where(whole, start, end) + min_words
+    order = np.argsort(low, kind="stable")
+    _, low, high = merged(np.zeros(len(low), np.int64), np.maximum(low[order], 0), high[order])
+    return np.stack([low, high], 1)
+
+
+def region_text(homes: DataFrame, replies: DataFrame, regions_of: Callable[[dict, dict[int, bytes]], np.ndarray], min_words: int) -> DataFrame:
+    """Of each home its regions of min_words words or more joined to one text, 0 between them and HOME_END + home at the end; aux has (place, record, first word, words) of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, a = gathered(batches, records=np.int64, starts=np.int64)
-        order = np.lexsort((a, r))
-        r, a, b = merged(r[order], a[order], a[order] + min_words)
-        for at in range(0, len(r), 1 << 16):
-            s = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(r[s]), pa.array(a[s], pa.int32()), pa.array(b[s], pa.int32())], ["record", "start_word", "end_word"])
+        text, answers = of_home(batches)
+        if text is None:
+            return
+        found = regions_of(text, answers)
+        low, high = found[:, 0], found[:, 1]
+        table, own = np.frombuffer(text["texts"], np.int64).reshape(-1, 3), unpacked(text["symbols"])
+        # a region that reaches over the end of a text is one in each
+        first, last = np.searchsorted(table[:, 0], low, "right") - 1, np.searchsorted(table[:, 0], high, "left") - 1
+        which, of = np.repeat(np.arange(len(low)), last - first + 1), ranges(first, last - first + 1)
+        low, high = np.maximum(low[which], table[of, 0]), np.minimum(high[which], table[of, 0] + table[of, 2])
+        ok = high - low >= min_words
+        low, of, size = low[ok], of[ok], (high - low)[ok]
+        if not len(low):
+            return
+        at = np.cumsum(size + 1) - size - 1
+        symbols = np.zeros(int(at[-1] + size[-1]) + 1, np.uint64)
+        symbols[ranges(at, size)] = own[ranges(low - of, size)]
+        symbols[-1] = HOME_END + np.uint64(text["bucket"])
+        aux = np.stack([at, table[of, 1], low - table[of, 0], size], 1)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([text["bucket"]], pa.int32()), "symbols": [packed(symbols)], "aux": [blob(aux)]})
+
+    return checkpointed(with_replies(homes, replies).mapInArrow(run, REGIONS))
+
+
+def spans_at(places: np.ndarray, aux: bytes, min_words: int) -> pa.RecordBatch:
+    """(record, start_word, end_word) of a home from the places of its region text, rising, where passages begin that occur twice. A home has all of a record."""
+    table = np.frombuffer(aux, np.int64).reshape(-1, 4)
+    at = np.searchsorted(table[:, 0], places, "right") - 1
+    record, word = table[at, 1], table[at, 2] + places - table[at, 0]
+    order = np.lexsort((word, record))
+    r, a, b = merged(record[order], word[order], word[order] + min_words)
+    return pa.RecordBatch.from_arrays([pa.array(r), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["record", "start_word", "end_word"])
+
 
-    return run, "record bigint, start_word int, end_word int"
+RECORD_SPANS = "record bigint, start_word int, end_word int"
 
 
-def spread(places: DataFrame, known: DataFrame, min_words: int) -> DataFrame:
-    """SPANS of all rows from the places (bucket, records, starts) found per record. Texts of min_words words that occur twice are spans as a whole."""
-    spans = exchange(places).mapInArrow(*_to_spans(min_words))
+def spread(spans: DataFrame, known: DataFrame, min_words: int) -> DataFrame:
+    """SPANS of all rows from those of the records. Texts of min_words words that occur twice are spans as a whole."""
     copied = known.groupBy("record").agg(F.count("*").alias("n"), F.max("n_words").alias("end_word"))
     whole = known.select("doc_id", "record").join(copied.filter(f"n > 1 and end_word >= {min_words}"), "record").select("doc_id", F.lit(0).alias("start_word"), "end_word")
     single = spans.join(copied.filter("n = 1"), "record", "left_semi").join(known, "record").select("doc_id", "start_word", "end_word")

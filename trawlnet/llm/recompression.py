@@ -1,6 +1,6 @@
 """Repeated passages by recompression: rounds name runs and pairs of symbols globally, and shared high-level symbols give repeats away.
 
-Texts, each different one once, are spread over homes by hash; a text begins as its words. A round first takes each run of one symbol that covers
+Texts, each different one once, are spread over homes by hash; a text begins as its words, which get names like all symbols after them. A round first takes each run of one symbol that covers
 `RUN_WORDS` words as one symbol, then each pair of a left and a right symbol: which symbols are left ones is a coin toss per symbol and
 round, the same in all texts. Homes send the distinct runs and pairs they have to the owners of their names. An owner sees all homes' and
 gives one name to equal ones; what is met at one place of the corpus only gets none and leaves the text, as it can't lie inside a passage that occurs twice.
@@ -10,26 +10,25 @@ run that goes on beyond the end. `settings` sums that up: a passage of min_words
 rounds, whatever surrounds it, unless it has a run, and runs are anchors themselves. Sequences of symbols that cover so many words and occur at several places
 reveal where passages may be; there the windows of `min_words` words are named from the words themselves, which verifies the passages and finds their exact ends.
 
-Words are 39 bits of their hashes: that two different words are one symbol (1 in 10**11) would have to befall each word in which two passages differ.
+Before they have names, words are 39 bits of their hashes: that two different words are one symbol (1 in 10**11) would have to befall each word in which two passages differ.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import FLUSH, blob, bucket_of, buckets, checkpointed, exchange, gathered, packed, packed_rising, ranges, runs, split, unpacked, unpacked_rising
-from .passages import MIN_WORDS, REPLIES, TEXT, homes_of, known_rows, merged, read_text, regions, rows_of, spread, text_row, with_replies
+from .common import blob, buckets, checkpointed, exchange, forget, packed, unpacked
+from .passages import HOME_END, MIN_WORDS, RECORD_SPANS, REPLIES, TEXT, around, distinct_keys, homes_of, is_shared, key_rows, known_rows, of_home, owned, read_text, region_text, rows_of, shared_keys, spans_at, spread, text_row, with_replies
 from .textkit import _BASE, _INVERSE, mix, powers, window_hashes
 
 ROUNDS = 3
 #: Words from which on a run is one symbol, and an anchor.
 RUN_WORDS = 4
 _RUN, _LEFT, _RIGHT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
-_NAMED = np.uint64(1 << 39)
 
 
 def settings(min_words: int) -> tuple[int, int]:
@@ -46,10 +45,10 @@ def settings(min_words: int) -> tuple[int, int]:
 
 
 def cut(symbol: np.ndarray, start: np.ndarray, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, starts and sizes in words after round k, which of them are new (runs or pairs), and start, end and symbol of the runs."""
+    """Keys, starts and sizes in words after round k, which of them are new (runs or pairs), and start, end and symbol of the runs. Round -1 names the words."""
     n = len(symbol)
-    if not n:
-        return symbol, start, size, np.zeros(0, bool), np.zeros((0, 3), np.uint64)
+    if not n or k < 0:
+        return symbol, start, size, np.full(n, k < 0), np.zeros((0, 3), np.uint64)
     next_to = start[:-1] + size[:-1] == start[1:]
     head = np.r_[True, (symbol[1:] != symbol[:-1]) | ~next_to]
     at = np.flatnonzero(head)
@@ -77,77 +76,54 @@ def cut(symbol: np.ndarray, start: np.ndarray, size: np.ndarray, k: int) -> tupl
     return key[keep], start[keep], size[keep], new[keep], found
 
 
-def _distinct(key: np.ndarray, new: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Owner, keys (rising) and whether the home has each several times, of the new symbols."""
-    names, count = np.unique(key[new], return_counts=True)
-    for b, (x, c) in split(bucket_of(names, n), n, names, count):
-        yield b, x, c > 1
-
-
-def _keys(k: int, n: int):
-    """The runs and pairs of a home in round k, for the owners of their names."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                key, _, _, new, _ = cut(*read_text(row), k)
-                for b, x, several in _distinct(key, new, n):
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "home": pa.array([row["bucket"]], pa.int32()), "keys": [packed_rising(x)], "several": [blob(several)]})
-
-    return run, "bucket int, home int, keys binary, several binary"
-
-
 def _names(k: int, n: int):
     """An owner's names, one for equal keys of all homes and 0 for those met once, sent back in the order of each home's keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, parts = -1, []
-        for batch in batches:
-            for row in batch.to_pylist():
-                owner = row["bucket"]
-                several = np.frombuffer(row["several"], bool)
-                parts.append((row["home"], unpacked_rising(row["keys"], len(several)), several))
-        if owner < 0:
-            return
-        every, at, count = np.unique(np.concatenate([x for _, x, _ in parts]), return_inverse=True, return_counts=True)
-        shared = count > 1
-        shared[at[np.concatenate([s for _, _, s in parts])]] = True
-        name = np.where(shared, _NAMED + ((np.cumsum(shared).astype(np.uint64) * np.uint64(n) + np.uint64(owner)) * np.uint64(ROUNDS) + np.uint64(k)), np.uint64(0))
+        owner, homes, at, shared = owned(batches)
+        name = np.where(shared, (np.cumsum(shared).astype(np.uint64) * np.uint64(n) + np.uint64(max(owner, 0))) * np.uint64(ROUNDS + 1) + np.uint64(k + 1), np.uint64(0))
         lo = 0
-        for home, x, _ in parts:
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "source": pa.array([owner], pa.int32()), "names": [packed(name[at[lo : lo + len(x)]])]})
-            lo += len(x)
+        for home, size in homes:
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "source": pa.array([owner], pa.int32()), "names": [packed(name[at[lo : lo + size]])]})
+            lo += size
 
     return run, REPLIES
 
 
+def _new_keys(k: int):
+    """The runs and pairs of a home in round k."""
+
+    def keys(row: dict) -> np.ndarray:
+        key, _, _, new, _ = cut(*read_text(row), k)
+        return key[new]
+
+    return keys
+
+
 def _renamed(k: int, n: int):
-    """A home's text of the next round: what got no name is left out."""
+    """A home's text of the next round: what got no name is left out. Words stay in their places, without a name as 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, replies = None, {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["source"] is None:
-                    text = row
-                else:
-                    replies[row["source"]] = row["names"]
+        text, replies = of_home(batches)
         if text is None:
             return
         key, start, size, new, found = cut(*read_text(text), k)
-        mine = list(_distinct(key, new, n))
+        mine = list(distinct_keys(key[new], n))
         if mine:
             keys, names = np.concatenate([x for _, x, _ in mine]), np.concatenate([unpacked(replies[b]) for b, _, _ in mine])
             order = np.argsort(keys)
             key[new] = names[order][np.searchsorted(keys[order], key[new])]
+        if k < 0:
+            yield text_row(text["bucket"], key, texts=text["texts"])
+            return
         keep = key > 0
-        yield text_row(text["bucket"], key[keep], packed_rising(start[keep]), packed(size[keep]), text["runs"] + blob(found), b"")
+        yield text_row(text["bucket"], key[keep], start[keep], size[keep], text["runs"] + blob(found))
 
     return run, TEXT
 
 
-def anchors(symbol: np.ndarray, start: np.ndarray, size: np.ndarray, found: np.ndarray, anchor_words: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, first word and end of each sequence of neighbouring symbols that takes anchor_words words to cover, and of the runs; a run that repeats itself counts twice."""
+def anchors(symbol: np.ndarray, start: np.ndarray, size: np.ndarray, found: np.ndarray, anchor_words: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first word and end of each sequence of neighbouring symbols that takes anchor_words words to cover, and of the runs, which the last array tells apart: a passage may hold a part of one. A run that repeats itself counts twice."""
     n = len(symbol)
     a, b, key = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if n:
@@ -163,71 +139,42 @@ def anchors(symbol: np.ndarray, start: np.ndarray, size: np.ndarray, found: np.n
         a, b = start[first], ends[last]
     head, end, name = found[:, 0].astype(np.int64), found[:, 1].astype(np.int64), mix(found[:, 2] + _RUN)
     again = end - head > min_words
-    return np.r_[key, name, name[again]], np.r_[a, head, head[again] + 1], np.r_[b, end, end[again]]
+    of_run = np.r_[np.zeros(len(key), bool), np.ones(len(name) + int(again.sum()), bool)]
+    return np.r_[key, name, name[again]], np.r_[a, head, head[again] + 1], np.r_[b, end, end[again]], of_run
+
 
+def _regions(row_anchors: Callable[[dict], tuple[np.ndarray, ...]], min_words: int, n: int):
+    """A home's regions around its anchors that are met at several places."""
 
-def _anchors(anchor_words: int, min_words: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                key, a, b = anchors(*read_text(row), np.frombuffer(row["runs"], np.uint64).reshape(-1, 3), anchor_words, min_words)
-                order = np.argsort(a, kind="stable")
-                key, a, b = key[order], a[order], b[order]
-                for owner, (x, y, z) in split(bucket_of(key, n), n, key, a, b - a):
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([owner], pa.int32()), "home": pa.array([row["bucket"]], pa.int32()), "keys": [blob(x)], "starts": [packed_rising(y)], "sizes": [packed(z)]})
+        text, replies = of_home(batches)
+        if text is None:
+            return
+        key, a, b, of_run = row_anchors(text)
+        ok = is_shared(key, replies, n)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([text["bucket"]], pa.int32()), "source": pa.array([0], pa.int32()), "names": [blob(around(a[ok], b[ok], min_words, of_run[ok]))]})
 
-    return run, "bucket int, home int, keys binary, starts binary, sizes binary"
+    return run, REPLIES
+
+
+def windows(symbols: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and names of the windows of min_words words in a home's region text. One with a word met once (0), or over the end of a region, is in no passage."""
+    gaps = np.r_[0, np.cumsum((symbols == 0) | (symbols >= HOME_END))]
+    place = np.flatnonzero(gaps[min_words:] == gaps[: max(0, len(gaps) - min_words)])
+    return place, window_hashes(symbols, min_words)[place]
 
 
-def _windows(min_words: int, n: int):
-    """The windows of min_words words in a home's regions, by name."""
+def _verified(min_words: int, n: int):
+    """Spans of a home's records where windows begin that are met at several places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, found = None, [np.zeros((0, 2), np.int64)]
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["source"] is None:
-                    text = row
-                else:
-                    found.append(np.frombuffer(row["names"], np.int64).reshape(-1, 2))
-        found = np.concatenate(found)
-        if text is None or not len(found):
+        text, replies = of_home(batches)
+        if text is None:
             return
-        table = np.frombuffer(text["texts"], np.int64).reshape(-1, 3)
-        own = unpacked(text["symbols"])
-        order = np.argsort(found[:, 0], kind="stable")
-        _, low, high = merged(np.zeros(len(found), np.int64), found[order, 0], found[order, 1])
-        # words at their places, 0 between texts
-        placed = np.zeros(int(table[-1, 0] + table[-1, 2]) + 1, np.uint64)
-        placed[ranges(table[:, 0], table[:, 2])] = own
-        high = np.minimum(high, len(placed)) - min_words + 1
-        place = ranges(low, np.maximum(0, high - low))
-        of = np.searchsorted(table[:, 0], place, "right") - 1
-        inside = place + min_words <= table[of, 0] + table[of, 2]
-        place, of = place[inside], of[inside]
-        for lo in range(0, len(place), FLUSH):
-            p, o = place[lo : lo + FLUSH], of[lo : lo + FLUSH]
-            first = int(p[0])
-            key = window_hashes(placed[first : int(p[-1]) + min_words], min_words)[p - first]
-            record, word = table[o, 1], p - table[o, 0]
-            for b, (x, r, s) in split(bucket_of(key, n), n, key, record, word):
-                heads, lengths = runs(r)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "keys": [blob(x)], "records": [blob(r[heads])], "counts": [blob(lengths.astype(np.uint32))], "starts": [blob(s.astype(np.uint32))]})
-
-    return run, "bucket int, keys binary, records binary, counts binary, starts binary"
-
-
-def _met_twice(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, names, counts, starts = gathered(batches, keys=np.uint64, records=np.int64, counts=np.uint32, starts=np.uint32)
-        names = np.repeat(names, counts)
-        order = np.argsort(keys, kind="stable")
-        _, size = runs(keys[order])
-        take = order[np.repeat(size > 1, size)]
-        for b, (r, s) in split(bucket_of(mix(names[take].view(np.uint64)), n), n, names[take], starts[take].astype(np.int64)):
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "records": [blob(r)], "starts": [blob(s)]})
+        place, key = windows(unpacked(text["symbols"]), min_words)
+        yield spans_at(place[is_shared(key, replies, n)], text["aux"], min_words)
 
-    return run, "bucket int, records binary, starts binary"
+    return run, RECORD_SPANS
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -240,10 +187,24 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rounds, anchor_words = settings(min_words)
     rows = rows_of(docs)
     first = homes_of(rows, min_words)
-    text = first
-    for k in range(rounds):
-        replies = exchange(text.mapInArrow(*_keys(k, n))).mapInArrow(*_names(k, n))
-        text = checkpointed(with_replies(text, replies).mapInArrow(*_renamed(k, n)))
-    found = exchange(text.mapInArrow(*_anchors(anchor_words, min_words, n))).mapInArrow(*regions(min_words, n))
-    places = checkpointed(exchange(with_replies(first, found).mapInArrow(*_windows(min_words, n))).mapInArrow(*_met_twice(n)))
-    return spread(places, known_rows(rows, first), min_words)
+    known = known_rows(rows, first)
+    words = text = None
+    for k in range(-1, rounds):
+        before = first if k < 0 else text
+        replies = exchange(before.mapInArrow(*key_rows(_new_keys(k), n))).mapInArrow(*_names(k, n))
+        text = checkpointed(with_replies(before, replies).mapInArrow(*_renamed(k, n)))
+        if k < 0:
+            words = text
+        if k != 0:
+            forget(before)
+
+    def row_anchors(row: dict) -> tuple[np.ndarray, ...]:
+        return anchors(*read_text(row), np.frombuffer(row["runs"], np.uint64).reshape(-1, 3), anchor_words, min_words)
+
+    found = with_replies(text, shared_keys(text, lambda row: row_anchors(row)[0], n)).mapInArrow(*_regions(row_anchors, min_words, n))
+    parts = region_text(words, found, lambda row, replies: np.frombuffer(replies[0], np.int64).reshape(-1, 2) if replies else np.zeros((0, 2), np.int64), min_words)
+    forget(words)
+    forget(text)
+    met = shared_keys(parts, lambda row: windows(unpacked(row["symbols"]), min_words)[1], n)
+    spans = checkpointed(with_replies(parts, met).mapInArrow(*_verified(min_words, n)))
+    return spread(spans, known, min_words)

@@ -25,16 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob, bucket_of, buckets, checkpointed, exchange, packed, packed_rising, ranges, split, unpacked, unpacked_rising
-from .passages import MIN_WORDS, homes_of, known_rows, merged, regions, rows_of, spread, with_replies
-from .textkit import mix, sliding_min, window_hashes, window_mask
+from .common import buckets, checkpointed, exchange, forget, packed, packed_rising, split, unpacked, unpacked_rising
+from .passages import HOME_END, MIN_WORDS, RECORD_SPANS, REGIONS, around, homes_of, is_shared, known_rows, region_text, rows_of, shared_keys, spans_at, spread
+from .textkit import sliding_min, window_hashes, window_mask
 
 FINGERPRINT = 16
 #: Triples, and suffixes, of a home that choose the borders of the ranges.
 SAMPLES = 64
-#: Symbols from here on end the text of a home.
-_END = np.uint64(1 << 39)
-_TEXT = "bucket int, symbols binary, aux binary"
 
 
 def winnowed(symbols: np.ndarray, bounds: np.ndarray, min_words: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,54 +66,12 @@ def winnowed(symbols: np.ndarray, bounds: np.ndarray, min_words: int, k: int) ->
     return place, h[place]
 
 
-def _anchors(min_words: int, k: int, n: int):
-    """A home's winnowed fingerprints, for the owners of their hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                table = np.frombuffer(row["texts"], np.int64).reshape(-1, 3)
-                at, key = winnowed(unpacked(row["symbols"]), np.r_[0, np.cumsum(table[:, 2])], min_words, k)
-                place = at + np.searchsorted(np.cumsum(table[:, 2]), at, "right")  # texts are a place apart
-                for owner, (x, y) in split(bucket_of(key, n), n, key, place):
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([owner], pa.int32()), "home": pa.array([row["bucket"]], pa.int32()), "keys": [blob(x)], "starts": [packed_rising(y)], "sizes": [packed(np.full(len(x), k))]})
-
-    return run, "bucket int, home int, keys binary, starts binary, sizes binary"
-
-
-def _joined(min_words: int):
-    """A home's regions of min_words words or more joined to one text; aux has (place, record, first word, words) of each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, found = None, [np.zeros((0, 2), np.int64)]
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["source"] is None:
-                    text = row
-                else:
-                    found.append(np.frombuffer(row["names"], np.int64).reshape(-1, 2))
-        found = np.concatenate(found)
-        if text is None or not len(found):
-            return
-        table, own = np.frombuffer(text["texts"], np.int64).reshape(-1, 3), unpacked(text["symbols"])
-        order = np.argsort(found[:, 0], kind="stable")
-        _, low, high = merged(np.zeros(len(found), np.int64), found[order, 0], found[order, 1])
-        # a region that reaches over the end of a text is one in each
-        first, last = np.searchsorted(table[:, 0], low, "right") - 1, np.searchsorted(table[:, 0], high, "left") - 1
-        which, of = np.repeat(np.arange(len(low)), last - first + 1), ranges(first, last - first + 1)
-        low, high = np.maximum(low[which], table[of, 0]), np.minimum(high[which], table[of, 0] + table[of, 2])
-        ok = high - low >= min_words
-        low, of, size = low[ok], of[ok], (high - low)[ok]
-        if not len(low):
-            return
-        at = np.cumsum(size + 1) - size - 1
-        symbols = np.zeros(int(at[-1] + size[-1]) + 1, np.uint64)
-        symbols[ranges(at, size)] = own[ranges(low - of, size)]
-        symbols[-1] = _END + np.uint64(text["bucket"])
-        aux = np.stack([at, table[of, 1], low - table[of, 0], size], 1)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array([text["bucket"]], pa.int32()), "symbols": [packed(symbols)], "aux": [blob(aux)]})
-
-    return run, _TEXT
+def _anchors(row: dict, min_words: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A home's winnowed fingerprints: places and hashes."""
+    table = np.frombuffer(row["texts"], np.int64).reshape(-1, 3)
+    ends = np.cumsum(table[:, 2])
+    at, key = winnowed(unpacked(row["symbols"]), np.r_[0, ends], min_words, k)
+    return at + np.searchsorted(ends, at, "right"), key  # texts are a place apart
 
 
 def _ahead(x: np.ndarray, k: int) -> np.ndarray:
@@ -233,7 +188,7 @@ def _next_text(offsets: np.ndarray):
         name[at] = np.concatenate([*names, np.zeros(0, np.uint64)])[number]
         yield pa.RecordBatch.from_pydict({"bucket": pa.array([text["bucket"]], pa.int32()), "symbols": [packed(np.r_[name[1::3], name[2::3]])], "aux": [b""]})
 
-    return run, _TEXT
+    return run, REGIONS
 
 
 def _merge_borders(text: DataFrame, up: DataFrame, n: int) -> np.ndarray:
@@ -295,7 +250,7 @@ def _merge_items(borders: np.ndarray, min_words: int, lowest: bool, n: int):
         if lowest:
             h = window_hashes(s, min_words)
             window[: len(h)] = np.maximum(h, np.uint64(1))
-            ends = np.flatnonzero((s == 0) | (s >= _END))
+            ends = np.flatnonzero((s == 0) | (s >= HOME_END))
             cut = np.zeros(m + 1, np.int64)
             np.add.at(cut, np.maximum(ends - min_words + 1, 0), 1)
             np.add.at(cut, ends + 1, -1)
@@ -410,29 +365,24 @@ def _place_ranks(offsets: np.ndarray):
         out[at] = r
         yield pa.RecordBatch.from_pydict({"bucket": pa.array([home], pa.int32()), "symbols": [packed(out)], "aux": [b""]})
 
-    return run, _TEXT
+    return run, REGIONS
 
 
-def _found(edges: list[tuple[int, int]], n: int):
-    """(record, word) of a home's places, sent to the buckets of the records."""
+def _found(edges: list[tuple[int, int]], min_words: int):
+    """Spans of a home's records from the places found in it."""
     kept = set(edges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, parts = None, [np.zeros(0, np.int64)]
+        aux, parts = b"", [np.zeros(0, np.int64)]
         for row in _rows(batches):
             if row["source"] is None:
-                table = np.frombuffer(row["aux"], np.int64).reshape(-1, 4)
+                aux = row["aux"]
             elif not row["edge"] or (row["source"], row["edge"]) in kept:
                 parts.append(_placed(row)[0])
-        places = np.unique(np.concatenate(parts))
-        if table is None or not len(places):
-            return
-        at = np.searchsorted(table[:, 0], places, "right") - 1
-        record, word = table[at, 1], table[at, 2] + places - table[at, 0]
-        for b, (r, s) in split(bucket_of(mix(record.view(np.uint64)), n), n, record, word):
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "records": [blob(r)], "starts": [blob(s.astype(np.int64))]})
+        if len(places := np.unique(np.concatenate(parts))):
+            yield spans_at(places, aux, min_words)
 
-    return run, "bucket int, records binary, starts binary"
+    return run, RECORD_SPANS
 
 
 def _as_ranks(texts: DataFrame) -> DataFrame:
@@ -440,24 +390,28 @@ def _as_ranks(texts: DataFrame) -> DataFrame:
     return texts.select("bucket", F.lit(0).alias("source"), F.col("symbols").alias("ranks"))
 
 
-def repeated_places(text: DataFrame, min_words: int) -> DataFrame:
-    """(bucket, records, starts): where passages of min_words words begin that occur twice in the texts of the homes."""
+def repeated_spans(text: DataFrame, min_words: int) -> DataFrame:
+    """RECORD_SPANS of the passages of min_words words that occur twice in the region texts of the homes."""
     n = buckets(text.sparkSession)
     down = [text]
     while True:
         names = checkpointed(exchange(down[-1].mapInArrow(*_triples(_triple_borders(down[-1], n)))).mapInArrow(_name, _NAMES))
         up = checkpointed(_both(down[-1], names).mapInArrow(*_next_text(_offsets(names, n))))
-        if names.filter("repeats").isEmpty():
+        distinct = names.filter("repeats").isEmpty()
+        forget(names)
+        if distinct:
             break
         down.append(up)
     while True:
         lowest = len(down) == 1
         items = _both(down[-1], _as_ranks(up)).mapInArrow(*_merge_items(_merge_borders(down[-1], up, n), min_words, lowest, n))
         ranks = checkpointed(exchange(items).mapInArrow(*_merge(lowest, n)))
+        forget(up)
         if lowest:
-            return checkpointed(_both(text, ranks).mapInArrow(*_found(_over_borders(ranks), n)))
+            return checkpointed(_both(text, ranks).mapInArrow(*_found(_over_borders(ranks), min_words)))
         up = checkpointed(exchange(ranks).mapInArrow(*_place_ranks(_offsets(ranks, n))))
-        down.pop()
+        forget(ranks)
+        forget(down.pop())
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, fingerprint: int = FINGERPRINT) -> DataFrame:
@@ -471,6 +425,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, fingerprint:
     n = buckets(docs.sparkSession)
     rows = rows_of(docs)
     homes = homes_of(rows, min_words)
-    found = exchange(homes.mapInArrow(*_anchors(min_words, fingerprint, n))).mapInArrow(*regions(min_words, n))
-    text = checkpointed(with_replies(homes, found).mapInArrow(*_joined(min_words)))
-    return spread(repeated_places(text, min_words), known_rows(rows, homes), min_words)
+    known = known_rows(rows, homes)
+    replies = shared_keys(homes, lambda row: _anchors(row, min_words, fingerprint)[1], n)
+
+    def regions(row: dict, answers: dict[int, bytes]) -> np.ndarray:
+        at, key = _anchors(row, min_words, fingerprint)
+        at = at[is_shared(key, answers, n)]
+        return around(at, at + fingerprint, min_words)
+
+    text = region_text(homes, replies, regions, min_words)
+    forget(homes)
+    return spread(repeated_spans(text, min_words), known, min_words)
