@@ -133,6 +133,8 @@ def test_links_and_pairs_against_brute_force(spark, threshold, monkeypatch):
     docs = random_docs(3, 80)
     docs += [(1000 + k, docs[0][1] if k % 3 else docs[3][1]) for k in range(40)] + [(2000 - k, docs[1][1] + f" x{k // 2}") for k in range(9)]
     table = spark.createDataFrame(docs + docs[:9], DOC)
+    if threshold == 0.5:  # so that records have their partners in several parts here too
+        monkeypatch.setattr(jaccard_join, "_PARTNERS", 2)
     got = [tuple(r) for r in jaccard_join.links(table, 3, threshold).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_links(docs, 3, threshold)
     want, sets = brute_pairs(docs, 3, threshold)
@@ -469,8 +471,8 @@ def test_suffix_array_is_in_order(spark):
     """The whole recursion against a plain sort: ranks of all suffixes of one home, with passages that repeat for long."""
     rng = random.Random(31)
     unit = [rng.randrange(1, 9) for _ in range(40)]
-    words_ = [rng.randrange(1, 4) for _ in range(150)] + [0] + unit * 4 + [0] + [7] * 60 + [0] + unit + [int(suffix_array._END)]
-    text = spark.createDataFrame([(0, common.packed(np.array(words_, np.uint64)), b"")], suffix_array._TEXT)
+    words_ = [rng.randrange(1, 4) for _ in range(150)] + [0] + unit * 4 + [0] + [7] * 60 + [0] + unit + [int(passages.HOME_END)]
+    text = spark.createDataFrame([(0, common.packed(np.array(words_, np.uint64)), b"")], passages.REGIONS)
     down, n = [text], 3
     spark.conf.set("spark.sql.shuffle.partitions", n)
     while True:
@@ -488,6 +490,9 @@ def test_suffix_array_is_in_order(spark):
     got = common.unpacked(up.collect()[0].symbols).tolist()
     want = sorted(range(len(words_)), key=lambda k: words_[k:])
     assert [got.index(k + 1) for k in range(len(words_))] == want
+    common.forget(up)
+    with pytest.raises(Exception):
+        up.collect()
 
 
 def test_packed_numbers():
@@ -499,6 +504,22 @@ def test_packed_numbers():
     assert len(common.unpacked(common.packed(np.zeros(0)))) == 0 == len(common.unpacked_rising(common.packed_rising(np.zeros(0)), 0))
 
 
+@pytest.mark.parametrize("operator", [suffix_array, recompression])
+def test_passages_that_begin_or_end_in_a_run(spark, operator):
+    rng = random.Random(77)
+    filler = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    docs = []
+    for k in range(30):
+        inside, run = 4 + k % 7, ["r"] * (12 + k % 9)
+        rest = [f"p{k}x{j}" for j in range(50 - inside)]
+        passage = run[:inside] + rest if k % 2 else rest + run[:inside]
+        for j in range(2):
+            more = run[: 3 + 5 * j + k % 4]
+            docs.append((2 * k + j, " ".join(filler(60) + (more + passage if k % 2 else passage + more) + filler(60))))
+    got = {tuple(r) for r in operator.repeated_passages(spark.createDataFrame(docs, DOC)).collect()}
+    assert len(got) >= 60 and got == brute_spans(docs, 50)
+
+
 def test_recompression_settings_hold():
     """Whatever stands around a passage, after the rounds an anchor lies inside it, cut alike in all its occurrences."""
     rng = np.random.default_rng(8)
@@ -517,7 +538,7 @@ def test_recompression_settings_hold():
                 for k in range(rounds):
                     symbol, start, size, _, more = recompression.cut(symbol, start, size, k)
                     found.append(more)
-                key, a, b = recompression.anchors(symbol, start, size, np.concatenate(found), anchor_words, least)
+                key, a, b, _ = recompression.anchors(symbol, start, size, np.concatenate(found), anchor_words, least)
                 near = (np.minimum(b, len(before) + least) - np.maximum(a, len(before)) > 0)
                 keys.append({x for x, lo, hi in zip(key[near].tolist(), a[near], b[near]) if lo - len(before) > -400})
             assert set.intersection(*keys), (least, letters)
@@ -529,12 +550,15 @@ def test_recompression_names_are_global(spark):
     texts = [(k, f"{'p q r s t u v w ' * 3} only{k} other{k}") for k in range(12)]
     rows = spark.createDataFrame(texts, "record bigint, text string")
     text = common.exchange(rows.mapInArrow(*passages.spread_texts(5, n)), n=n).mapInArrow(passages._homes, passages.TEXT)
-    text = common.checkpointed(text)
-    replies = common.exchange(text.mapInArrow(*recompression._keys(0, n)), n=n).mapInArrow(*recompression._names(0, n))
-    after = passages.with_replies(text, replies).mapInArrow(*recompression._renamed(0, n)).collect()
-    assert len(after) > 1
-    named = [{int(x) for x in common.unpacked(r.symbols) if x >= recompression._NAMED} for r in after]
-    assert named[0] and all(x == named[0] for x in named)
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    for k in (-1, 0):
+        text = common.checkpointed(text)
+        replies = common.exchange(text.mapInArrow(*passages.key_rows(recompression._new_keys(k), n)), n=n).mapInArrow(*recompression._names(k, n))
+        text = passages.with_replies(text, replies).mapInArrow(*recompression._renamed(k, n))
+        after = text.collect()
+        named = [{int(x) for x in common.unpacked(r.symbols) if x % (recompression.ROUNDS + 1) == k + 1} - {0} for r in after]
+        assert len(after) > 1 and named[0] and all(x == named[0] for x in named)
+    spark.conf.set("spark.sql.shuffle.partitions", 3)
 
 
 # 6 packing
@@ -980,6 +1004,68 @@ def test_pipeline_stages(spark, tmp_path):
     assert again.count() == left.count()
 
 
+def by_sql(name, docs):
+    """The rows of a query's SQL over other documents."""
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{SF}/benchmark.parquet'")
+    db.register("documents", docs.toArrow())
+    return db.execute(f"SELECT * FROM ({queries.ORACLE_SQL[name]})").df()
+
+
+def test_every_stage_against_brute_force(spark):
+    """Each stage on what the stage before it kept, against SQL by brute force or plain loops."""
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = lambda df: {r.doc_id: r.text for r in df.collect()}
+    before = text(docs)
+    quality = by_sql("op1_quality_rules", docs)
+    one = common.checkpointed(stages["quality_rules"](spark, docs, SF))
+    assert text(one) == {k: before[k] for k in quality.doc_id[quality.keep]} and one.columns == docs.columns
+    links = by_sql("op2_ngram_jaccard", one)
+    gone = set(links.doc_id[links.doc_id != links.class_id])
+    two = common.checkpointed(stages["near_duplicates"](spark, one, SF))
+    assert gone and text(two) == {k: t for k, t in text(one).items() if k not in gone}
+    matched = set(by_sql("op7_decontamination", two).doc_id)
+    three = common.checkpointed(stages["decontamination"](spark, two, SF))
+    assert matched and text(three) == {k: t for k, t in text(two).items() if k not in matched}
+    judge, want = pii.model(), {}
+    for k, t in text(three).items():
+        for kind, a, b in reversed(brute_spans_of(t, judge)):
+            t = f"{t[:a]}[{kind.upper()}]{t[b:]}"
+        want[k] = t
+    four = common.checkpointed(stages["personal_data"](spark, three, SF))
+    assert text(four) == want and want != text(three)
+    assert all(r.n_chars == len(r.text) for r in four.collect() if r.text != before[r.doc_id])
+    counts, n = {}, {}
+    for k, t in want.items():
+        n[k] = len(packing.token_counter(packing.VOCABULARY).encoding.encode_ordinary(t))
+        for piece in [packing.CAPACITY] * (n[k] // packing.CAPACITY) + [n[k] % packing.CAPACITY] * (n[k] % packing.CAPACITY > 0):
+            counts[piece] = counts.get(piece, 0) + 1
+    bins, by_doc = {}, {}
+    for r in stages["best_fit_packing"](spark, four, SF).collect():
+        bins[r.bin_id] = bins.get(r.bin_id, 0) + r.n_tokens
+        by_doc[r.doc_id] = by_doc.get(r.doc_id, 0) + r.n_tokens
+    assert by_doc == {k: v for k, v in n.items() if v} and max(bins.values()) <= packing.CAPACITY
+    assert sorted(bins.values()) == sorted(sum(p) for p, times in packing.plan(counts, packing.CAPACITY) for _ in range(times))
+
+
+def test_stages_on_odd_rows(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, bucket int, row_key string, __dropped string, a bigint, toxic int"
+    rows = [(i, t, None, "s", None, 1, "k", "d", 5, None) for i, t in odd_rows() if t is None or len(t) < 10_000]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        empty = stage(spark, docs.limit(0), SF)
+        assert empty.count() == 0, name
+        if name == "best_fit_packing":
+            assert {r.doc_id for r in got.collect()} == {None, 3, 4, 5, 6, 8}
+        else:
+            assert got.columns == docs.columns, name
+            ids = sorted(str(r.doc_id) for r in got.collect())
+            assert ids == sorted(map(str, [1, 2, 3, 4, 6, 8] if name == "near_duplicates" else [r[0] for r in rows])), name
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")

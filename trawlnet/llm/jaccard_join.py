@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FLUSH, blob, bucket_of, buckets, checkpointed, column, exchange, only, packed, ranges, row_key, runs, split, unpacked
+from .common import FLUSH, blob, bucket_of, buckets, by_key, checkpointed, column, exchange, only, packed, ranges, row_key, runs, split, unpacked
 from .textkit import Words, chunks, mix, window_hashes, window_mask, words
 
 NGRAM = 3
@@ -31,6 +31,8 @@ LINKS = "doc_id bigint, class_id bigint, copy_of bigint, n_links bigint"
 _SLACK = 1e-9
 #: Records of a gram that one fragment lists pairs of; those of a gram of more are cut into blocks.
 _BLOCK = 1 << 14
+#: Partners of a record that go with its grams, about; those of one that has more are cut into parts.
+_PARTNERS = 1 << 12
 
 
 def ngram_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -340,7 +342,7 @@ def _candidates(threshold: float):
 
 
 def _with_partners(levels: np.ndarray, counts: np.ndarray, fragments: int):
-    """Segments of records that are in a candidate pair; each carries the record's partners of greater name."""
+    """Segments of records that are in a candidate pair; each carries the record's partners of greater name, or a part of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -418,7 +420,9 @@ def _joined(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataF
     n_grams, work = np.array([r[1] for r in levels], np.float64), np.array([r[1] * r[0] for r in levels], np.float64)  # a gram's work grows with the square of its records
     counts = work / work.sum() + n_grams / n_grams.sum()  # no fragment gets over twice its share of either the work or the grams
     candidates = checkpointed(exchange(several.mapInArrow(*_prefixes(df, counts, p, threshold))).mapInArrow(*_candidates(threshold)).distinct())
-    partners = candidates.groupBy(F.col("doc_a").alias("record")).agg(F.collect_list("doc_b").alias("partners"))
+    many = candidates.groupBy("doc_a").agg(F.count("*").alias("n")).filter(F.col("n") > _PARTNERS)
+    part = F.pmod(F.xxhash64("doc_b"), F.ceil(F.coalesce("n", F.lit(1)) / _PARTNERS))  # 0 but for records of many partners
+    partners = candidates.join(many, "doc_a", "left").groupBy(F.col("doc_a").alias("record"), part.alias("part")).agg(F.collect_list("doc_b").alias("partners")).drop("part")
     inside = candidates.select(F.explode(F.array("doc_a", "doc_b")).alias("record")).distinct()
     paired = several.join(inside, "record", "left_semi").join(partners, "record", "left")
     partial = exchange(paired.mapInArrow(*_with_partners(df, counts, p))).mapInArrow(_overlaps, "doc_a bigint, doc_b bigint, overlap bigint")
@@ -500,6 +504,5 @@ def one_per_group(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     judged = rows.join(stays, "group_id")
     repeated = checkpointed(judged.filter("row = best and n > 1").select("row.a", "row.b"))
     left = only(docs, judged.filter("row <> best").select("row.a", "row.b").unionByName(repeated))
-    key = row_key(docs)
-    again = docs.filter(F.lit(False)) if repeated.isEmpty() else docs.join(repeated, (key["a"] == repeated["a"]) & (key["b"] == repeated["b"]), "left_semi").dropDuplicates()
+    again = docs.filter(F.lit(False)) if repeated.isEmpty() else by_key(docs, repeated, "left_semi").dropDuplicates()
     return left.unionByName(again)
