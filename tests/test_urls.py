@@ -125,4 +125,4 @@ def test_bloom_filter():
 
 def test_suffix_list_can_be_read():
     s = suffixes.Suffixes.read(["// comment", "com", "co.uk", "*.ck", "!www.ck", "a.b.c"])
-    assert s == suffixes.Suffixes(frozenset({"com", "ck"}), frozenset({"co.uk"}), frozenset({"ck"}))
+    assert s == suffixes.Suffixes(frozenset({"com", "ck"}), frozenset({"co.uk"}), frozenset({"ck"}), frozenset({"a.b.c"}), frozenset({"www.ck"}))
