@@ -411,7 +411,7 @@ def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crawl of two rounds from all pages; what they link to and isn't there is not found. Of pages of the same normal URL the first is the one that is there."""
     pages = table(spark, sf_dir, "pages")
     known = pages.groupBy(urls.normalized(F.col("url")).alias("url")).agg(F.min_by("html", "page_id").alias("html")).select("url", F.lit(200).alias("code"), F.encode("html", "UTF-8").alias("content"), F.lit("text/html; charset=utf-8").alias("content_type"))
-    job = crawl.Crawl(fetch.TableFetcher(known), default_delay_ms=0, queue_size=100_000_000, shards=8, max_rounds=2)
+    job = crawl.Crawl(fetch.TableFetcher(known), default_delay_ms=0, queue_size=100_000_000, shards=8, paced=False, max_rounds=2)
     return crawldb.status_counts(crawl.run(spark, job, pages.select("url", F.lit(1.0).alias("score")), start_ms=1_000_000).states)
 
 
