@@ -520,6 +520,19 @@ def test_passages_that_begin_or_end_in_a_run(spark, operator):
     assert len(got) >= 60 and got == brute_spans(docs, 50)
 
 
+@pytest.mark.parametrize("operator", [suffix_array, recompression])
+def test_passages_that_overlap_themselves(spark, operator):
+    rng = random.Random(78)
+    filler = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    docs = []
+    for k in range(120):
+        period = 1 + k % 12
+        unit = [f"u{k}x{j}" for j in range(period)]
+        docs.append((k, " ".join(filler(20) + (unit * 70)[: 50 + period - (k % 5 == 0) + (k % 3)] + filler(20))))
+    got = {tuple(r) for r in operator.repeated_passages(spark.createDataFrame(docs, DOC)).collect()}
+    assert len(got) > 80 and got == brute_spans(docs, 50)
+
+
 def test_recompression_settings_hold():
     """Whatever stands around a passage, after the rounds an anchor lies inside it, cut alike in all its occurrences."""
     rng = np.random.default_rng(8)
