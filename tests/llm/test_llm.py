@@ -176,6 +176,31 @@ def test_candidates_of_a_gram_of_very_many_records(spark, monkeypatch):
     assert truly and truly <= pairs and want == {tuple(r) for r in jaccard_join.links(table, 3, 0.3).collect()}
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_crowds_against_brute_force(spark, threshold, monkeypatch):
+    """Near copies that share grams of very many records: counted block by block, none is lost or counted twice, and few pairs are sent."""
+    rng = random.Random(8)
+    docs = random_docs(21, 30)
+    for c in range(3):
+        core = [f"c{c}w{k}" for k in range(30 + 20 * c)]
+        docs += [(100 * (c + 1) + k, " ".join(w if rng.random() > 0.06 else f"x{rng.randrange(9)}" for w in core)) for k in range(40)]
+    docs += [(600 + k, docs[40][1]) for k in range(3)] + [(700, docs[35][1] + " " + docs[75][1])]
+    table = spark.createDataFrame(docs + docs[30:40], DOC)
+    for name, value in (("_CROWD", 6), ("_BLOCK", 8), ("_BLOCK_GRAMS", 300), ("_DENSE", 4), ("_COLUMNS", 16)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    got = [tuple(r) for r in jaccard_join.links(table, 3, threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_links(docs, 3, threshold)
+    want, sets = brute_pairs(docs, 3, threshold)
+    stands = {k: min(d for d in sets if sets[d] == s) for k, s in sets.items()}
+    listed = [(r.doc_a, r.doc_b, r.overlap) for r in jaccard_join.near_pairs(table, 3, threshold).collect()]
+    assert sorted(listed) == sorted((a, b, len(sets[a] & sets[b])) for a, b in want if stands[a] == a and stands[b] == b and sets[a] != sets[b])
+    monkeypatch.setattr(jaccard_join, "_BLOCK", 64)
+    monkeypatch.setattr(jaccard_join, "_BLOCK_GRAMS", 1 << 20)
+    _, near, crowd = jaccard_join._joined(table, 3, threshold, False)
+    assert near.count() + crowd.count() < len(listed) / 2 or threshold == 0.8
+    assert {r.doc_id for r in jaccard_join.one_per_group(table).collect()} == {k for k, t in docs} - {k for k, r in closure(brute_pairs(docs, 3, 0.5)[0]).items() if r != k}
+
+
 def test_near_duplicates_odd_rows(spark):
     assert sorted(tuple(r) for r in jaccard_join.links(odd(spark)).collect()) == [(4, 4, 4, 1), (5, 4, 4, 1)]
     left = jaccard_join.one_per_group(odd(spark))

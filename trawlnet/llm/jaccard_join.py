@@ -9,8 +9,12 @@ the candidate pairs, and the partial counts are summed per pair. Grams are named
 2. A record of which fewer than `threshold` of all grams are shared has no partner and leaves.
 3. Two records at or above the threshold share one of the first n - ceil(threshold * n) + 1 grams of each. The
    fragments list such pairs, with the filters by length and by place: what follows the first shared gram must suffice for the
-   threshold. A gram of very many records is cut into blocks of records, and each pair of blocks is listed by a fragment of its own.
+   threshold.
 4. Fragments count the pairs' overlaps; sum and exact Jaccard test per pair.
+
+Near copies of one text that all differ are pairs by their number squared, too many to be listed, sent and summed one by one. Records that are tied by such grams of
+more than `_CROWD` records are a *crowd*, and the fragments leave out its pairs. A crowd is cut into blocks of records, and whoever has a pair of blocks counts all overlaps
+between them from whole sets, tests them, and returns sums and ties; only `near_pairs` lists the pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import FLUSH, blob, bucket_of, buckets, by_key, checkpointed, column, exchange, only, packed, ranges, row_key, runs, split, unpacked
@@ -29,8 +33,10 @@ NGRAM = 3
 THRESHOLD = 0.5
 LINKS = "doc_id bigint, class_id bigint, copy_of bigint, n_links bigint"
 _SLACK = 1e-9
-#: Records of a gram that one fragment lists pairs of; those of a gram of more are cut into blocks.
-_BLOCK = 1 << 14
+#: Records of a gram that one fragment lists pairs of; those of a gram of more are a crowd.
+_CROWD = 1 << 8
+#: Records, and grams, of a block of a crowd.
+_BLOCK, _BLOCK_GRAMS = 1 << 11, 1 << 20
 #: Partners of a record that go with its grams, about; those of one that has more are cut into parts.
 _PARTNERS = 1 << 12
 
@@ -209,41 +215,89 @@ def fragment_of(grams: np.ndarray, df: np.ndarray, levels: np.ndarray, counts: n
     return np.minimum((place * (fragments / counts.sum())).astype(np.int64), fragments - 1)
 
 
-def _prefixes(levels: np.ndarray, counts: np.ndarray, fragments: int, threshold: float):
-    """Of every record the grams that a partner must share one of, each with the grams from it on, cut into fragments; a gram of more than _BLOCK records goes to a fragment per pair of blocks."""
+def _prefix(g: np.ndarray, size: int, threshold: float) -> int:
+    """How many of a record's shared grams, rarest first, a partner must share one of."""
+    return max(0, size - int(np.ceil(threshold * size - _SLACK)) + 1 - (size - len(g)))
+
+
+def _components(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of u and v, rising, and of each the least that pairs (u[k], v[k]) lead to."""
+    names, at = np.unique(np.r_[u, v], return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(names))
+    while True:
+        least = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, a, least)
+        np.minimum.at(after, b, least)
+        after = after[after]
+        if (after == label).all():
+            return names, names[label]
+        label = after
+
+
+def _ties(threshold: float, most: int):
+    """Grams of over `most` records that records have in their prefixes, each with one that it is tied to by the records of the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = [np.zeros((0, 2), np.int64)]
+        for batch in batches:
+            for size, grams, df in zip(*(batch.column(c).to_pylist() for c in ("size", "grams", "df"))):
+                g = _grams(grams)
+                hot = g[np.flatnonzero(unpacked(df)[: _prefix(g, size, threshold)] > most)].view(np.int64)
+                if len(hot):
+                    edges.append(np.stack([np.full(len(hot), hot[0]), hot], 1))
+            if sum(map(len, edges)) > FLUSH:
+                edges = [np.stack(_components(*np.concatenate(edges).T), 1)]
+        names, least = _components(*np.concatenate(edges).T)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(least)], ["gram", "tied"])
+
+    return run, "gram bigint, tied bigint"
+
+
+class _Crowds:
+    """The crowd of a record: the least of the grams that its first hot gram is tied to; 0 for none."""
+
+    def __init__(self, grams: np.ndarray, least: np.ndarray, threshold: float, most: int):
+        self.grams, self.least, self.threshold, self.most = grams, least, threshold, most
+
+    def of(self, g: np.ndarray, df: np.ndarray, size: int) -> int:
+        hot = np.flatnonzero(df[: _prefix(g, size, self.threshold)] > self.most)
+        return int(self.least[np.searchsorted(self.grams, g[hot[:1]].view(np.int64)[0])]) if len(hot) else 0
+
+    def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            crowd = [self.of(_grams(g), unpacked(df), size) for g, df, size in zip(*(batch.column(c).to_pylist() for c in ("grams", "df", "size")))]
+            found = pa.RecordBatch.from_arrays([batch.column("record"), batch.column("size"), pa.array(crowd, pa.int64())], ["record", "size", "crowd"])
+            yield found.filter(pa.array(np.array(crowd, np.int64) != 0))
+
+
+def _prefixes(levels: np.ndarray, counts: np.ndarray, fragments: int, threshold: float, crowds: _Crowds | None = None):
+    """Of every record the grams that a partner must share one of, each with the grams from it on, cut into fragments; without those that make crowds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         total = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            frag, docs, sizes, grams, rest = (np.concatenate(x) for x in zip(*held))
-            for b, (d, s, g, m) in split(frag, fragments, docs, sizes, grams, rest):
+            frag, docs, sizes, crowd, grams, rest = (np.concatenate(x) for x in zip(*held))
+            for b, (d, s, c, g, m) in split(frag, fragments, docs, sizes, crowd, grams, rest):
                 starts, lengths = runs(d)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "docs": [blob(d[starts])], "sizes": [packed(s[starts])], "counts": [packed(lengths)], "grams": [_named(g)], "rest": [packed(m)]})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "docs": [blob(d[starts])], "sizes": [packed(s[starts])], "crowds": [packed(c[starts].view(np.uint64))], "counts": [packed(lengths)], "grams": [_named(g)], "rest": [packed(m)]})
 
         for batch in batches:
             for k in range(batch.num_rows):
                 g, df = _grams(batch.column("grams")[k].as_py()), unpacked(batch.column("df")[k].as_py())
                 doc, size = batch.column("record")[k].as_py(), batch.column("size")[k].as_py()
-                first = size - int(np.ceil(threshold * size - _SLACK)) + 1
+                crowd = crowds.of(g, df, size) if crowds else 0
                 rest = np.arange(len(g), 0, -1)
-                cut = max(0, first - (size - len(g)))
+                cut = _prefix(g, size, threshold)
                 g, df, rest = g[:cut], df[:cut], rest[:cut]
+                if crowd:
+                    g, df, rest = (x[df <= crowds.most] for x in (g, df, rest))
                 if not len(g):
                     continue
-                frag = fragment_of(g, df, levels, counts, fragments)
-                hot = np.flatnonzero(df > _BLOCK)
-                if len(hot):
-                    blocks = -(-df[hot].astype(np.int64) // _BLOCK)
-                    mine = (mix(g[hot] ^ np.uint64(doc % (1 << 64))) % blocks.astype(np.uint64)).astype(np.int64)
-                    at, other = np.repeat(hot, blocks), ranges(np.zeros(len(hot), np.int64), blocks)
-                    mine = np.repeat(mine, blocks)
-                    names = mix(g[at] + np.minimum(mine, other).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.maximum(mine, other).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-                    cold = df <= _BLOCK
-                    frag, rest = np.r_[frag[cold], bucket_of(names, fragments)], np.r_[rest[cold], rest[at]]
-                    g = np.r_[g[cold], names]
-                held.append((frag, np.full(len(g), doc), np.full(len(g), size, np.int64), g, rest))
+                held.append((fragment_of(g, df, levels, counts, fragments), np.full(len(g), doc), np.full(len(g), size, np.int64), np.full(len(g), crowd, np.int64), g, rest))
                 total += len(g)
                 if total >= FLUSH:
                     yield from flush()
@@ -251,16 +305,16 @@ def _prefixes(levels: np.ndarray, counts: np.ndarray, fragments: int, threshold:
         if held:
             yield from flush()
 
-    return run, "bucket int, docs binary, sizes binary, counts binary, grams binary, rest binary"
+    return run, "bucket int, docs binary, sizes binary, crowds binary, counts binary, grams binary, rest binary"
 
 
 def _fragment(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
     parts = []
     for batch in batches:
-        for docs, sizes, counts, grams, rest in zip(*(batch.column(c).to_pylist() for c in ("docs", "sizes", "counts", "grams", "rest"))):
+        for docs, sizes, crowds, counts, grams, rest in zip(*(batch.column(c).to_pylist() for c in ("docs", "sizes", "crowds", "counts", "grams", "rest"))):
             n = unpacked(counts).astype(np.int64)
-            parts.append((np.repeat(np.frombuffer(docs, np.int64), n), np.repeat(unpacked(sizes).astype(np.int64), n), _grams(grams), unpacked(rest).astype(np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
+            parts.append((np.repeat(np.frombuffer(docs, np.int64), n), np.repeat(unpacked(sizes).astype(np.int64), n), np.repeat(unpacked(crowds), n), _grams(grams), unpacked(rest).astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 5
 
 
 #: Posting lists up to this length are expanded many at a time.
@@ -268,7 +322,7 @@ _SHORT = 48
 
 
 class _PairSet:
-    """Distinct pairs of numbers below n, gathered in bounded memory beyond the distinct ones."""
+    """Distinct pairs of numbers below n, in bounded memory: where there are very many, they are given out in parts, which may have pairs in common."""
 
     def __init__(self, n: int):
         self.n, self.parts, self.size, self.limit = n, [], 0, 2 << 20
@@ -276,12 +330,17 @@ class _PairSet:
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
         self.parts.append(a * self.n + b)
         self.size += len(a)
+
+    def full(self) -> bool:
+        """Whether a part is to be taken now."""
         if self.size > self.limit:
-            self.values()
+            self.parts = [np.unique(np.concatenate(self.parts))]
+            self.size, self.limit = len(self.parts[0]), max(2 << 20, 2 * len(self.parts[0]))
+        return self.size > 4 << 20
 
     def values(self) -> np.ndarray:
         out = np.unique(np.concatenate(self.parts)) if self.parts else np.zeros(0, np.int64)
-        self.parts, self.size, self.limit = [out], len(out), max(2 << 20, 2 * len(out))
+        self.parts, self.size, self.limit = [], 0, 2 << 20
         return out
 
 
@@ -289,12 +348,12 @@ def _candidates(threshold: float):
     """Distinct pairs (a < b) that share a prefix gram in this fragment and whose sizes, and grams from that one on, allow the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, s, g, rest = _fragment(batches)
+        d, s, crowd, g, rest = _fragment(batches)
         if not len(d):
             return
         ids, first = np.unique(d, return_index=True)
         by_size = np.lexsort((ids, s[first]))  # records are numbered by size, so partners of fitting size are a range of a posting list
-        ids, sizes = ids[by_size], s[first][by_size]
+        ids, sizes, crowd = ids[by_size], s[first][by_size], crowd[first][by_size]
         number = np.empty(len(ids), np.int64)
         number[by_size] = np.arange(len(ids))
         x = number[np.searchsorted(np.sort(ids), d)]
@@ -305,8 +364,16 @@ def _candidates(threshold: float):
 
         def add(a: np.ndarray, b: np.ndarray, rest_a: np.ndarray, rest_b: np.ndarray) -> None:
             ok = (sizes[a] >= threshold * sizes[b] - _SLACK) & (np.minimum(rest_a, rest_b) * (1 + threshold) >= threshold * (sizes[a] + sizes[b]) - _SLACK)
+            ok &= (crowd[a] != crowd[b]) | (crowd[a] == 0)
             found.add(a[ok], b[ok])
 
+        def taken() -> Iterator[pa.RecordBatch]:
+            pairs = found.values()
+            a, b = ids[pairs // len(ids)], ids[pairs % len(ids)]
+            for at in range(0, len(pairs), 1 << 16):
+                p, q = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["doc_a", "doc_b"])
+
         for n in np.unique(lengths[(lengths > 1) & (lengths <= _SHORT)]):
             at = starts[lengths == n]
             i, j = np.triu_indices(n, 1)
@@ -315,6 +382,8 @@ def _candidates(threshold: float):
                 place = at[lo : lo + step, None] + np.arange(n)
                 posting, left = x[place], rest[place]
                 add(posting[:, i].ravel(), posting[:, j].ravel(), left[:, i].ravel(), left[:, j].ravel())
+                if found.full():
+                    yield from taken()
         lists: dict[bytes, np.ndarray] = {}
         for lo, n in zip(starts[lengths > _SHORT], lengths[lengths > _SHORT]):  # grams of the same records list the same pairs, the first of them the most
             key = x[lo : lo + n].tobytes()
@@ -332,11 +401,9 @@ def _candidates(threshold: float):
                 j, i = ranges(i + 1, more[i]), np.repeat(i, more[i])
                 add(posting[i], posting[j], left[i], left[j])
                 lo_i = hi_i
-        pairs = found.values()
-        a, b = ids[pairs // len(ids)], ids[pairs % len(ids)]
-        for at in range(0, len(pairs), 1 << 16):
-            p, q = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["doc_a", "doc_b"])
+                if found.full():
+                    yield from taken()
+        yield from taken()
 
     return run, "doc_a bigint, doc_b bigint"
 
@@ -401,8 +468,130 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a_out, b_out, n_out)], ["doc_a", "doc_b", "overlap"])
 
 
-def _joined(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(record, size, doc_id, a, b) of each row of docs with words, named by a and b, and (doc_a, doc_b, overlap, jaccard) of the pairs of records."""
+#: Grams of a pair of blocks that are held by so many of its records or more are counted by products of matrices, so many at a time.
+_DENSE, _COLUMNS = 32, 1 << 10
+
+
+def block_overlaps(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
+    """Of each set of a and each of b (None: a again) the number of grams that both have."""
+    sides = [a] if b is None else [a, b]
+    sizes = [np.array([len(x) for x in side]) for side in sides]
+    _, code, count = np.unique(np.concatenate([x for side in sides for x in side]), return_inverse=True, return_counts=True)
+    owner = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    codes = [code] if b is None else [code[: len(owner[0])], code[len(owner[0]) :]]
+    na, nb = len(a), len(sides[-1])
+    out = np.zeros(na * nb, np.float32)
+    # rare ones: of each in a those in b
+    rare_a, rare_b = (np.flatnonzero((count[c] > 1) & (count[c] < _DENSE)) for c in (codes[0], codes[-1]))
+    rare_b = rare_b[np.argsort(codes[-1][rare_b], kind="stable")]
+    sorted_b = codes[-1][rare_b]
+    lo, hi = (np.searchsorted(sorted_b, codes[0][rare_a], side) for side in ("left", "right"))
+    step = (1 << 20) // _DENSE
+    for k in range(0, len(rare_a), step):
+        n = (hi - lo)[k : k + step]
+        at = np.repeat(owner[0][rare_a[k : k + step]], n) * nb + owner[-1][rare_b[ranges(lo[k : k + step], n)]]
+        cell, times = np.unique(at, return_counts=True)
+        out[cell] += times
+    out = out.reshape(na, nb)
+    number = np.full(len(count), -1)
+    dense = np.flatnonzero(count >= _DENSE)
+    number[dense] = np.arange(len(dense))
+    columns = [number[c] for c in codes]
+    for k in range(0, len(dense), _COLUMNS):
+        parts = []
+        for col, own, n in zip(columns, owner, sizes):
+            m = np.zeros((len(n), min(_COLUMNS, len(dense) - k)), np.float32)
+            mine = np.flatnonzero((col >= k) & (col < k + _COLUMNS))
+            m[own[mine], col[mine] - k] = 1
+            parts.append(m)
+        out += parts[0] @ parts[-1].T
+    return out
+
+
+def _spanning(ok: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A row, and the rows and columns that it is connected with, for each part of the graph of the true cells."""
+    todo, met = ok.any(1), np.zeros(ok.shape[1], bool)
+    for k in np.flatnonzero(todo):
+        if not todo[k]:
+            continue
+        rows, own_rows, own_columns = np.array([k]), [], []
+        while len(rows):
+            todo[rows] = False
+            columns = np.flatnonzero(ok[rows].any(0) & ~met)
+            met[columns] = True
+            own_rows.append(rows)
+            own_columns.append(columns)
+            rows = np.flatnonzero(ok[:, columns].any(1) & todo)
+        yield k, np.concatenate(own_rows), np.concatenate(own_columns)
+
+
+def _crowd(threshold: float, listed: bool):
+    """Of each pair of blocks the pairs of records at or above the threshold; if they aren't listed, of each record the weight of its partners, and pairs that connect what they connect."""
+    schema = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("overlap", pa.int64()), ("jaccard", pa.float64()), ("near", pa.int64())])
+
+    def batch(**columns: np.ndarray) -> pa.RecordBatch:
+        n = len(columns["doc_a"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def judged(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        same = rows[0]["i"] == rows[0]["j"]
+        sides = [[r for r in rows if r["block"] == k] for k in ((rows[0]["i"],) if same else (rows[0]["i"], rows[0]["j"]))]
+        if not all(sides):
+            return
+        overlap = block_overlaps(*([_grams(r["grams"]) for r in side] for side in sides), *([None] * same))
+        of = lambda c, k: np.array([r[c] for r in sides[k]], np.int64)
+        a, b, size_a, size_b = of("record", 0), of("record", -1), of("size", 0), of("size", -1)
+        ok = np.empty(overlap.shape, bool)
+        for k in range(len(a)):
+            ok[k] = overlap[k] / (size_a[k] + size_b - overlap[k].astype(np.float64)) >= threshold - _SLACK
+        if same:
+            np.fill_diagonal(ok, False)
+        if not listed:
+            for record, near in ((a, ok @ of("weight", -1)), *(() if same else ((b, ok.T @ of("weight", 0)),))):
+                yield batch(doc_a=record[near > 0], near=near[near > 0])
+            for k, x, y in _spanning(ok):
+                other = np.r_[a[x], b[y]]
+                yield batch(doc_a=np.minimum(a[k], other), doc_b=np.maximum(a[k], other))
+            return
+        for k in range(len(a)):
+            at = np.flatnonzero(ok[k, k + 1 :]) + k + 1 if same else np.flatnonzero(ok[k])
+            if len(at):
+                n = overlap[k, at].astype(np.int64)
+                yield batch(doc_a=np.minimum(a[k], b[at]), doc_b=np.maximum(a[k], b[at]), overlap=n, jaccard=n / (size_a[k] + size_b[at] - n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for part in batches:
+            for at in range(0, part.num_rows, 256):
+                for row in part.slice(at, 256).to_pylist():
+                    if held and any(row[c] != held[0][c] for c in ("crowd", "i", "j")):
+                        yield from judged(held)
+                        held = []
+                    held.append(row)
+        if held:
+            yield from judged(held)
+
+    return run, "doc_a bigint, doc_b bigint, overlap bigint, jaccard double, near bigint"
+
+
+def _crowded(several: DataFrame, members: DataFrame, crowds: _Crowds, threshold: float, listed: bool) -> DataFrame:
+    """What _crowd gives for all pairs of blocks of all crowds. A block has records of about one size, and pairs of blocks whose sizes rule out the threshold aren't made."""
+    found = several.select("record", "size", "grams", "df").mapInArrow(crowds.rows, "record bigint, size bigint, crowd bigint")
+    before = Window.partitionBy("crowd").orderBy("size", "record").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.greatest(F.lit(1 / _BLOCK), F.col("size") / _BLOCK_GRAMS)
+    placed = checkpointed(found.withColumn("block", F.floor(F.coalesce(F.sum(room).over(before), F.lit(0.0)) + _SLACK).cast("bigint")))
+    blocks = placed.groupBy("crowd", "block").agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"))
+    two = blocks.select("crowd", F.col("block").alias("i"), F.col("high").alias("most")).join(blocks.select("crowd", F.col("block").alias("j"), "n", "low"), "crowd")
+    two = two.filter(((F.col("i") < F.col("j")) & (F.col("most") >= threshold * F.col("low") - _SLACK)) | ((F.col("i") == F.col("j")) & (F.col("n") > 1)))
+    sides = two.select("crowd", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    weights = members.filter("doc_id is not null").select("record", "doc_id").distinct().groupBy("record").agg(F.count("*").alias("weight"))
+    whole = several.select("record", "grams").join(placed, "record").join(weights, "record", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+    sent = whole.join(sides, ["crowd", "block"]).repartition(buckets(several.sparkSession), "crowd", "i", "j").sortWithinPartitions("crowd", "i", "j")
+    return checkpointed(sent.select("crowd", "i", "j", "block", "record", "size", "weight", "grams").mapInArrow(*_crowd(threshold, listed)))
+
+
+def _joined(docs: DataFrame, n: int, threshold: float, listed: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(record, size, doc_id, a, b) of each row of docs with words, named by a and b; (doc_a, doc_b, overlap, jaccard) of the pairs of records that are in no crowd together; what _crowd gives for the others."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
@@ -415,11 +604,17 @@ def _joined(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataF
     several = records.filter("grams is not null").select("record", "size", "grams", "df")
     levels = several.select("df").mapInArrow(_df_counts, "df bigint, n bigint").groupBy("df").agg(F.sum("n").alias("n")).orderBy("df").collect()  # at most one row per distinct count
     if not levels:
-        return members, spark.createDataFrame([], "doc_a bigint, doc_b bigint, overlap bigint, jaccard double")
+        return members, spark.createDataFrame([], "doc_a bigint, doc_b bigint, overlap bigint, jaccard double"), spark.createDataFrame([], _crowd(threshold, listed)[1])
     df = np.array([r[0] for r in levels], np.uint64)
     n_grams, work = np.array([r[1] for r in levels], np.float64), np.array([r[1] * r[0] for r in levels], np.float64)  # a gram's work grows with the square of its records
     counts = work / work.sum() + n_grams / n_grams.sum()  # no fragment gets over twice its share of either the work or the grams
-    candidates = checkpointed(exchange(several.mapInArrow(*_prefixes(df, counts, p, threshold))).mapInArrow(*_candidates(threshold)).distinct())
+    crowds, crowd = None, spark.createDataFrame([], _crowd(threshold, listed)[1])
+    if df[-1] > _CROWD:
+        ties = np.array([tuple(r) for r in several.select("size", "grams", "df").mapInArrow(*_ties(threshold, _CROWD)).distinct().collect()], np.int64).reshape(-1, 2)  # only of grams of over _CROWD records
+        if len(ties):
+            crowds = _Crowds(*_components(*ties.T), threshold, _CROWD)
+            crowd = _crowded(several, members, crowds, threshold, listed)
+    candidates = checkpointed(exchange(several.mapInArrow(*_prefixes(df, counts, p, threshold, crowds))).mapInArrow(*_candidates(threshold)).distinct())
     many = candidates.groupBy("doc_a").agg(F.count("*").alias("n")).filter(F.col("n") > _PARTNERS)
     part = F.pmod(F.xxhash64("doc_b"), F.ceil(F.coalesce("n", F.lit(1)) / _PARTNERS))  # 0 but for records of many partners
     partners = candidates.join(many, "doc_a", "left").groupBy(F.col("doc_a").alias("record"), part.alias("part")).agg(F.collect_list("doc_b").alias("partners")).drop("part")
@@ -434,7 +629,7 @@ def _joined(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataF
         .filter(F.col("jaccard") >= threshold - _SLACK)
         .select("doc_a", "doc_b", "overlap", "jaccard")
     )
-    return members, checkpointed(near)
+    return members, checkpointed(near), crowd
 
 
 def near_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
@@ -443,12 +638,18 @@ def near_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) ->
     Rows of docs (doc_id, text) with equal sets are one set. Rows of null doc_id name no set; null, empty or
     blank texts are in no pair; a doc_id with several texts stands for each of them; an empty table gives no pairs; other columns don't matter.
     """
-    members, near = _joined(docs, n, threshold)
+    members, near, crowd = _joined(docs, n, threshold, True)
+    near = near.unionByName(crowd.drop("near"))
     least = members.groupBy("record").agg(F.min("doc_id").alias("least")).dropna()
     named = near.join(least.toDF("doc_a", "a"), "doc_a").join(least.toDF("doc_b", "b"), "doc_b")
     return named.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "overlap", "jaccard")
 
 
+def _all_ties(near: DataFrame, crowd: DataFrame) -> DataFrame:
+    """Pairs that connect all records that are connected."""
+    return near.select("doc_a", "doc_b").unionByName(crowd.filter("near is null").select("doc_a", "doc_b"))
+
+
 def links(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, copy_of, n_links) of each document (doc_id, text) whose set of word n-grams has Jaccard >= threshold with that of another.
 
@@ -457,13 +658,14 @@ def links(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> Data
     set: rows repeated with the same doc_id are one, a doc_id with two different texts has a row for each. Rows of null doc_id and null, empty or
     blank texts have no links; an empty table gives no rows; other columns don't matter.
     """
-    members, near = _joined(docs, n, threshold)
+    members, near, crowd = _joined(docs, n, threshold, False)
     named = members.select("record", "doc_id").filter("doc_id is not null").distinct()
     sets = named.groupBy("record").agg(F.count("*").alias("n"), F.min("doc_id").alias("copy_of"))
     both = near.select("doc_a", "doc_b").unionByName(near.select(F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b")))
-    linked = both.join(sets.select(F.col("record").alias("doc_b"), "n"), "doc_b").groupBy(F.col("doc_a").alias("record")).agg(F.sum("n").alias("near"))
+    weighed = both.join(sets.select(F.col("record").alias("doc_b"), "n"), "doc_b").select("doc_a", F.col("n").alias("near")).unionByName(crowd.filter("near is not null").select("doc_a", "near"))
+    linked = weighed.groupBy(F.col("doc_a").alias("record")).agg(F.sum("near").alias("near"))
     sets = sets.join(linked, "record", "left").withColumn("n_links", F.col("n") - 1 + F.coalesce("near", F.lit(0))).filter("n_links > 0")
-    sets = checkpointed(sets.join(groups(near).withColumnRenamed("doc_id", "record"), "record", "left").withColumn("group_id", F.coalesce("group_id", "record")).select("record", "copy_of", "n_links", "group_id"))
+    sets = checkpointed(sets.join(groups(_all_ties(near, crowd)).withColumnRenamed("doc_id", "record"), "record", "left").withColumn("group_id", F.coalesce("group_id", "record")).select("record", "copy_of", "n_links", "group_id"))
     classes = sets.groupBy("group_id").agg(F.min("copy_of").alias("class_id"))
     return named.join(sets.join(classes, "group_id").drop("group_id"), "record").select("doc_id", "class_id", "copy_of", "n_links")
 
@@ -497,8 +699,8 @@ def one_per_group(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     Rows are judged apiece, whatever their doc_id: two different texts of one doc_id don't go together, and of rows repeated whole one
     stays. Null, empty and blank texts are no duplicates; an empty table stays empty; columns may have any names.
     """
-    members, near = _joined(docs, n, threshold)
-    grouped = members.join(groups(near).withColumnRenamed("doc_id", "record"), "record", "left").select(F.coalesce("group_id", "record").alias("group_id"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b").alias("row"))
+    members, near, crowd = _joined(docs, n, threshold, False)
+    grouped = members.join(groups(_all_ties(near, crowd)).withColumnRenamed("doc_id", "record"), "record", "left").select(F.coalesce("group_id", "record").alias("group_id"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b").alias("row"))
     rows = checkpointed(grouped.groupBy("group_id", "row").agg(F.count("*").alias("n")))
     stays = rows.groupBy("group_id").agg(F.min("row").alias("best"))
     judged = rows.join(stays, "group_id")
