@@ -599,6 +599,24 @@ def test_recompression_names_are_global(spark):
     spark.conf.set("spark.sql.shuffle.partitions", 3)
 
 
+def test_homes_and_ranges_of_many_buckets(spark, monkeypatch):
+    """Of many buckets few homes and ranges are made, ever fewer up the levels, and small rows go to Spark together; the spans stay the same."""
+    assert [suffix_array.homes_for(n) for n in (1, 12, 51, 200, 600, 3000)] == [1, 12, 51, 64, 150, 750]
+    assert [suffix_array.ranges_for(150, k) for k in (0, 1, 2, 20)] == [150, 100, 67, 1]
+    borders = np.stack([np.arange(1, 40, dtype=np.uint64)] * 3, 1)
+    import pyarrow as pa
+
+    text = pa.RecordBatch.from_pylist([{"bucket": 0, "symbols": common.packed(np.arange(1, 60)), "aux": b""}])
+    sent = run_arrow(spark, suffix_array._triples(borders), [text])
+    assert len(sent) == 1 and sent[0].num_rows > 20
+    docs = random_docs(5, 40, 2, 60)
+    table = spark.createDataFrame(docs, DOC)
+    want = sorted(tuple(r) for r in suffix_array.repeated_passages(table, 9, 4).collect())
+    monkeypatch.setattr(suffix_array, "_HOMES", 2)
+    monkeypatch.setattr(suffix_array, "_JOINED", 100)
+    assert want and want == sorted(tuple(r) for r in suffix_array.repeated_passages(table, 9, 4).collect())
+
+
 # 6 packing
 
 

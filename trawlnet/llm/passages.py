@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FLUSH, blob, bucket_of, buckets, checkpointed, exchange, packed, packed_rising, ranges, split, unpacked, unpacked_rising
+from .common import FLUSH, blob, bucket_of, buckets, checkpointed, exchange, joined, packed, packed_rising, ranges, split, unpacked, unpacked_rising
 from .textkit import chunks, mix, words
 
 MIN_WORDS = 50
@@ -109,9 +109,9 @@ def read_text(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbols, before + np.repeat(first - before[at], np.diff(np.r_[at, len(size)])), size
 
 
-def with_replies(texts: DataFrame, replies: DataFrame) -> DataFrame:
+def with_replies(texts: DataFrame, replies: DataFrame, n: int | None = None) -> DataFrame:
     """Texts and what came back for them, those of a home in one partition."""
-    return exchange(texts.unionByName(replies, allowMissingColumns=True))
+    return exchange(texts.unionByName(replies, allowMissingColumns=True), n=n)
 
 
 def merged(owner: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +143,7 @@ def key_rows(keys_of: Callable[[dict], np.ndarray], n: int):
                 for b, x, several in distinct_keys(keys_of(row), n):
                     yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "home": pa.array([row["bucket"]], pa.int32()), "keys": [packed_rising(x)], "several": [blob(several)]})
 
-    return run, "bucket int, home int, keys binary, several binary"
+    return joined(run), "bucket int, home int, keys binary, several binary"
 
 
 def owned(batches: Iterator[pa.RecordBatch]) -> tuple[int, list[tuple[int, int]], np.ndarray, np.ndarray]:
@@ -172,7 +172,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_keys(homes: DataFrame, keys_of: Callable[[dict], np.ndarray], n: int) -> DataFrame:
     """What the owners answer homes about their keys. A key goes from a home to its owner once, however often the home has it."""
-    return exchange(homes.mapInArrow(*key_rows(keys_of, n))).mapInArrow(_answers, REPLIES)
+    return exchange(homes.mapInArrow(*key_rows(keys_of, n)), n=n).mapInArrow(joined(_answers), REPLIES)
 
 
 def is_shared(key: np.ndarray, replies: dict[int, bytes], n: int) -> np.ndarray:
@@ -209,7 +209,7 @@ def around(start: np.ndarray, end: np.ndarray, min_words: int, partly: np.ndarra
     return np.stack([low, high], 1)
 
 
-def region_text(homes: DataFrame, replies: DataFrame, regions_of: Callable[[dict, dict[int, bytes]], np.ndarray], min_words: int) -> DataFrame:
+def region_text(homes: DataFrame, replies: DataFrame, regions_of: Callable[[dict, dict[int, bytes]], np.ndarray], min_words: int, n: int | None = None) -> DataFrame:
     """Of each home its regions of min_words words or more joined to one text, 0 between them and HOME_END + home at the end; aux has (place, record, first word, words) of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +234,7 @@ def region_text(homes: DataFrame, replies: DataFrame, regions_of: Callable[[dict
         aux = np.stack([at, table[of, 1], low - table[of, 0], size], 1)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array([text["bucket"]], pa.int32()), "symbols": [packed(symbols)], "aux": [blob(aux)]})
 
-    return checkpointed(with_replies(homes, replies).mapInArrow(run, REGIONS))
+    return checkpointed(with_replies(homes, replies, n).mapInArrow(run, REGIONS))
 
 
 def spans_at(places: np.ndarray, aux: bytes, min_words: int) -> pa.RecordBatch:
@@ -265,10 +265,10 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(table[:, 1]), pa.array(table[:, 2], pa.int32())], ["record", "n_words"])
 
 
-def homes_of(rows: DataFrame, min_words: int) -> DataFrame:
+def homes_of(rows: DataFrame, min_words: int, n: int | None = None) -> DataFrame:
     """The homes of all texts of min_words words or more, kept in the shared folder."""
-    n = buckets(rows.sparkSession)
-    return checkpointed(exchange(rows.select("record", "text").mapInArrow(*spread_texts(min_words, n))).mapInArrow(_homes, TEXT))
+    n = n or buckets(rows.sparkSession)
+    return checkpointed(exchange(rows.select("record", "text").mapInArrow(*spread_texts(min_words, n)), n=n).mapInArrow(_homes, TEXT))
 
 
 def known_rows(rows: DataFrame, homes: DataFrame) -> DataFrame:

@@ -25,13 +25,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, checkpointed, exchange, forget, packed, packed_rising, split, unpacked, unpacked_rising
+from .common import buckets, checkpointed, exchange, forget, joined, packed, packed_rising, split, unpacked, unpacked_rising
 from .passages import HOME_END, MIN_WORDS, RECORD_SPANS, REGIONS, around, homes_of, is_shared, known_rows, region_text, rows_of, shared_keys, spans_at, spread
 from .textkit import sliding_min, window_hashes, window_mask
 
 FINGERPRINT = 16
 #: Triples, and suffixes, of a home that choose the borders of the ranges.
 SAMPLES = 64
+#: Homes, and ranges, up to which there are as many as buckets; beyond, there is one of each for so many buckets, at least as many as these.
+_HOMES, _JOINED = 64, 4
+
+
+def homes_for(n: int) -> int:
+    """Homes and ranges for n buckets. In each of some thirty exchanges all homes send to all ranges, which takes time by the square of their number whatever the input."""
+    return max(min(n, _HOMES), -(-n // _JOINED))
+
+
+def ranges_for(homes: int, level: int) -> int:
+    """Ranges of a level: its text has two thirds of the words of the one below."""
+    return max(1, -(-homes * 2**level // 3**level))
 
 
 def winnowed(symbols: np.ndarray, bounds: np.ndarray, min_words: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +149,7 @@ def _triples(borders: np.ndarray):
                 if hi > lo:
                     yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "home": pa.array([row["bucket"]], pa.int32()), "n": pa.array([hi - lo]), "repeats": [bool((count[lo:hi] > 1).any())], "a": [packed_rising(t[0][lo:hi])], "b": [packed(t[1][lo:hi])], "c": [packed(t[2][lo:hi])]})
 
-    return run, "bucket int, home int, n bigint, repeats boolean, a binary, b binary, c binary"
+    return joined(run), "bucket int, home int, n bigint, repeats boolean, a binary, b binary, c binary"
 
 
 def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +273,7 @@ def _merge_items(borders: np.ndarray, min_words: int, lowest: bool, n: int):
         for b, (p, x, y, u, v, w) in split(bucket, n, np.arange(m), s, t1, first, second, window):
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "home": pa.array([home], pa.int32()), "places": [packed_rising(p)], "a": [packed(x)], "b": [packed(y)], "u": [packed(u)], "v": [packed(v)], "w": [packed(w)]})
 
-    return run, "bucket int, home int, places binary, a binary, b binary, u binary, v binary, w binary"
+    return joined(run), "bucket int, home int, places binary, a binary, b binary, u binary, v binary, w binary"
 
 
 def merge_order(kind: np.ndarray, a: np.ndarray, b: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -325,7 +337,7 @@ def _merge(lowest: bool, n: int):
         for edge, k in ((1, 0), (2, -1)):
             yield from _by_home(bucket, homes[order[[k]]], places[order[[k]]], np.zeros(1, np.int64), n, len(order), edge, int(w[[k]].view(np.int64)[0]))
 
-    return run, _RANKS
+    return joined(run), _RANKS
 
 
 def _over_borders(ranks: DataFrame) -> list[tuple[int, int]]:
@@ -339,9 +351,9 @@ def _over_borders(ranks: DataFrame) -> list[tuple[int, int]]:
     return out
 
 
-def _both(texts: DataFrame, ranks: DataFrame) -> DataFrame:
+def _both(texts: DataFrame, ranks: DataFrame, n: int | None = None) -> DataFrame:
     """Texts and ranks, those of a home in one partition."""
-    return exchange(texts.unionByName(ranks, allowMissingColumns=True))
+    return exchange(texts.unionByName(ranks, allowMissingColumns=True), n=n)
 
 
 def _placed(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -390,26 +402,26 @@ def _as_ranks(texts: DataFrame) -> DataFrame:
     return texts.select("bucket", F.lit(0).alias("source"), F.col("symbols").alias("ranks"))
 
 
-def repeated_spans(text: DataFrame, min_words: int) -> DataFrame:
-    """RECORD_SPANS of the passages of min_words words that occur twice in the region texts of the homes."""
-    n = buckets(text.sparkSession)
+def repeated_spans(text: DataFrame, min_words: int, n: int) -> DataFrame:
+    """RECORD_SPANS of the passages of min_words words that occur twice in the region texts of n homes."""
     down = [text]
     while True:
-        names = checkpointed(exchange(down[-1].mapInArrow(*_triples(_triple_borders(down[-1], n)))).mapInArrow(_name, _NAMES))
-        up = checkpointed(_both(down[-1], names).mapInArrow(*_next_text(_offsets(names, n))))
+        r = ranges_for(n, len(down) - 1)
+        names = checkpointed(exchange(down[-1].mapInArrow(*_triples(_triple_borders(down[-1], r))), n=r).mapInArrow(joined(_name), _NAMES))
+        up = checkpointed(_both(down[-1], names, n).mapInArrow(*_next_text(_offsets(names, r))))
         distinct = names.filter("repeats").isEmpty()
         forget(names)
         if distinct:
             break
         down.append(up)
     while True:
-        lowest = len(down) == 1
-        items = _both(down[-1], _as_ranks(up)).mapInArrow(*_merge_items(_merge_borders(down[-1], up, n), min_words, lowest, n))
-        ranks = checkpointed(exchange(items).mapInArrow(*_merge(lowest, n)))
+        lowest, r = len(down) == 1, ranges_for(n, len(down) - 1)
+        items = _both(down[-1], _as_ranks(up), n).mapInArrow(*_merge_items(_merge_borders(down[-1], up, r), min_words, lowest, r))
+        ranks = checkpointed(exchange(items, n=r).mapInArrow(*_merge(lowest, n)))
         forget(up)
         if lowest:
-            return checkpointed(_both(text, ranks).mapInArrow(*_found(_over_borders(ranks), min_words)))
-        up = checkpointed(exchange(ranks).mapInArrow(*_place_ranks(_offsets(ranks, n))))
+            return checkpointed(_both(text, ranks, n).mapInArrow(*_found(_over_borders(ranks), min_words)))
+        up = checkpointed(exchange(ranks, n=n).mapInArrow(*_place_ranks(_offsets(ranks, r))))
         forget(ranks)
         forget(down.pop())
 
@@ -422,9 +434,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, fingerprint:
     """
     if min_words <= fingerprint:
         raise ValueError("min_words must exceed the fingerprint")
-    n = buckets(docs.sparkSession)
+    n = homes_for(buckets(docs.sparkSession))
     rows = rows_of(docs)
-    homes = homes_of(rows, min_words)
+    homes = homes_of(rows, min_words, n)
     known = known_rows(rows, homes)
     replies = shared_keys(homes, lambda row: _anchors(row, min_words, fingerprint)[1], n)
 
@@ -433,6 +445,6 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, fingerprint:
         at = at[is_shared(key, answers, n)]
         return around(at, at + fingerprint, min_words)
 
-    text = region_text(homes, replies, regions, min_words)
+    text = region_text(homes, replies, regions, min_words, n)
     forget(homes)
-    return spread(repeated_spans(text, min_words), known, min_words)
+    return spread(repeated_spans(text, min_words, n), known, min_words)
