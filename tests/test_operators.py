@@ -237,6 +237,13 @@ def test_quick_links_agree_with_the_parser(spark):
     assert {(r.page, r.url) for r in parse.quick_links(pages).collect()} == want
 
 
+def test_top_links_of_pages_with_the_same_url_have_an_order(spark):
+    links = [("p", k, u, s) for k, u, s in ((0, "a", 1), (0, "b", 1), (1, "d", 2), (1, "c", 2), (2, "e", 2))]
+    for rows in (links, links[::-1]):
+        got = parse.top_links(spark.createDataFrame(rows, "page string, position int, url string, score int").coalesce(1), 4).collect()
+        assert sorted(r.url for r in got) == ["a", "c", "d", "e"]
+
+
 def test_text_helpers(spark):
     row = spark.createDataFrame([("a\t\tb", "x\ty\r\nz", "en-US", "q")], "a string, b string, c string, d string").select(split_on(F.col("a"), "\t"), one_line(F.col("b")), language_code(F.col("c")), language_code(F.col("d"))).first()
     assert tuple(row) == (["a", "", "b"], "x y  z", "en", "q")

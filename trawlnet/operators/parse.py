@@ -120,8 +120,8 @@ def outlinks(parsed: DataFrame, most: int = MAX_OUTLINKS) -> DataFrame:
 
 
 def top_links(links: DataFrame, most: int) -> DataFrame:
-    """The same for rows (page, position, url, score)."""
-    return links.withColumn("__n", F.row_number().over(W.partitionBy("page").orderBy(F.desc("score"), "position"))).filter(F.col("__n") <= most).drop("__n")
+    """The same for rows (page, position, url, score); of links at the same position, as of pages with the same URL, the first by URL."""
+    return links.withColumn("__n", F.row_number().over(W.partitionBy("page").orderBy(F.desc("score"), "position", "url"))).filter(F.col("__n") <= most).drop("__n")
 
 
 def raw_urls(links: DataFrame) -> DataFrame:
