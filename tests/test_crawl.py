@@ -195,6 +195,21 @@ def test_query_against_sql(spark, tables, name):
         assert canon(tuple(r) for r in got) == canon(tuple(r[k] for k in order) for r in result.fetchall())
 
 
+def of_pages(spark, folder, name, pages):
+    """Rows of a query over pages (url, html), and those of its SQL."""
+    spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], "page_id bigint, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{folder}/pages.parquet/*.parquet')")
+    df = entry.queries()[name](spark, str(folder))
+    return canon(tuple(r) for r in df.collect()), canon(con.execute(f"select {', '.join(df.columns)} from ({entry.oracle_sql()[name]})").fetchall())
+
+
+def test_longest_links_of_a_page_with_many(spark, tmp_path):
+    links = [f"/{'x' * k}" for k in range(1, 121)]
+    got, want = of_pages(spark, tmp_path, "outlink_topk", [("http://a.com/p", "".join(f'<a href="{k}">x</a>' for k in links)), ("http://a.com/none", "no links")])
+    assert got == want == canon([("http://a.com/p", k, "http://a.com" + links[k]) for k in (117, 118, 119)])
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert rows and rows == sorted(rows, key=lambda r: (-r.score, r.url)) and set(entry.oracle_sql()) <= set(entry.queries())

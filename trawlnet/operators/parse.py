@@ -132,10 +132,11 @@ def raw_urls(links: DataFrame) -> DataFrame:
 _HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)\""""
 
 
-def quick_links(pages: DataFrame, most: int = MAX_EXTRACTED_LINKS) -> DataFrame:
-    """(page, position, url, n_links) of pages (url, html), without a Python worker: quoted href of anchors, absolute, each once."""
+def quick_links(pages: DataFrame, most: int | None = MAX_EXTRACTED_LINKS) -> DataFrame:
+    """(page, position, url, n_links) of pages (url, html), without a Python worker: quoted href of anchors, absolute, each once, the first `most` of a page or, if that is None, all."""
     base = F.col("url")
-    found = F.slice(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(_HREF), 1), lambda k: urls.resolved(k, base))), 1, most)
+    found = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(_HREF), 1), lambda k: urls.resolved(k, base)))
+    found = found if most is None else F.slice(found, 1, most)
     barred = F.col("html").rlike(r"""(?i)<meta\s+name\s*=\s*["']robots["'][^>]*\b(?:none|nofollow)\b""")
     rows = pages.select(F.col("url").alias("page"), F.when(~barred, found).alias("found"))
     return rows.select("page", F.posexplode("found").alias("position", "url"), F.size("found").alias("n_links"))
