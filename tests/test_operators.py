@@ -356,6 +356,28 @@ def test_warc_source(spark, tmp_path, compressed):
     assert {r.fetched_url: bytes(r.content) for r in fetched.collect() if r.status == "FETCHED"} == {k["WARC-Target-URI"]: bytes(r.content) for k, r in zip(kinds, rows) if k["WARC-Type"] == "resource"}
 
 
+def test_warc_reading_holds_a_few_records_at_once(tmp_path):
+    from trawlnet.sources.warc import PIECE_BYTES, PIECE_ROWS
+
+    bodies = [os.urandom(1_000_000) for _ in range(11)] + [b"x"] * (PIECE_ROWS + 1) + [b""]
+    (tmp_path / "a.warc").write_bytes(b"".join(warc.Record([("N", str(k))], c).encode() for k, c in enumerate(bodies)))
+    reader = WarcSource({"path": str(tmp_path)}).reader(None)
+    pieces = [p for part in reader.partitions() for p in reader.read(part)]
+    assert max(p.num_rows for p in pieces) <= PIECE_ROWS and max(p.nbytes for p in pieces) < PIECE_BYTES + 1_100_000
+    assert [c for p in pieces for c in p.column("content").to_pylist()] == bodies
+    assert [h[0]["value"] for p in pieces for h in p.column("headers").to_pylist()] == [str(k) for k in range(len(bodies))]
+
+
+def test_warc_records_of_missing_contents_and_types(spark, tmp_path):
+    rows = [("FETCHED", f"http://a.com/{k}", k, None if k % 2 else "text/html", None if k % 3 == 0 else bytearray(b"x" * k)) for k in range(1200)]
+    fetched = spark.createDataFrame(rows, "status string, fetched_url string, status_time bigint, content_type string, content binary").coalesce(1)
+    outputs.write_warc(fetched, str(tmp_path / "w"))
+    spark.dataSource.register(WarcSource)
+    got = [({h.name: h.value for h in r.headers}, bytes(r.content)) for r in spark.read.format("warc").load(str(tmp_path / "w")).collect()]
+    assert [h["WARC-Type"] for h, _ in got] == ["warcinfo"] + ["resource"] * 1200
+    assert [(h["WARC-Target-URI"], h["Content-Type"], c) for h, c in got[1:]] == [(u, kind or "application/octet-stream", bytes(c or b"")) for _, u, _, kind, c in rows]
+
+
 def test_json_of_rules_is_plain(spark):
     rules = robots.rules_of(spark.createDataFrame([("o", 200, ROBOTS)], "origin string, code int, body string"), 0)
     assert json.loads(rules.select(F.to_json("rules")).first()[0])[0] == {"allowed": False, "prefix": "/private", "size": 8}

@@ -13,15 +13,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatch
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Row
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from trawlnet.functions.warc import Record, read
 
 SCHEMA = "headers array<struct<name:string,value:string>>, content binary"
+HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 SEGMENT_BYTES = 1_000_000_000
+#: Most records, and bytes of content after which no more are added, of what is held as objects at once.
+PIECE_ROWS, PIECE_BYTES = 500, 4_000_000
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
@@ -55,18 +58,38 @@ class _Reader(DataSourceReader):
         names = sorted(i.path for i in system.get_file_info(fs.FileSelector(folder)) if i.type == fs.FileType.File and fnmatch(i.base_name, pattern) and i.base_name[0] not in "._")
         return [_File(p) for p in names]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         with located(self.path)[0].open_input_stream(partition.path, compression=None) as raw:
             stream = io.BufferedReader(raw)
+            held, size = [], 0
             for record in read(gzip.GzipFile(fileobj=stream) if partition.path.endswith(".gz") else stream):
-                yield (record.headers, record.content)
+                held.append(record)
+                size += len(record.content)
+                if len(held) >= PIECE_ROWS or size >= PIECE_BYTES:
+                    yield _batch(held)
+                    held, size = [], 0
+            if held:
+                yield _batch(held)
 
 
-class _Writer(DataSourceWriter):
+def _batch(records: list[Record]) -> pa.RecordBatch:
+    headers = [[{"name": k, "value": v} for k, v in r.headers] for r in records]
+    return pa.RecordBatch.from_arrays([pa.array(headers, HEADERS), pa.array([r.content for r in records], pa.binary())], ["headers", "content"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict[str, str]] | None, bytes | None]]:
+    """Headers and contents of batches, a row at a time."""
+    for batch in batches:
+        headers, contents = batch.columns
+        for k in range(batch.num_rows):
+            yield headers[k].as_py(), contents[k].as_py()
+
+
+class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, compressed: bool, most: int):
         self.path, self.compressed, self.most = path, compressed, most
 
-    def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         context = TaskContext.get()
@@ -75,14 +98,14 @@ class _Writer(DataSourceWriter):
         system.create_dir(folder, recursive=True)
         paths, stream, size = [], None, 0
         try:
-            for row in rows:
+            for headers, content in _rows(batches):
                 if stream is None or size > self.most:  # the record that goes beyond stays
                     if stream:
                         stream.close()
                     name = f"part-{part:05d}-{attempt}-seg-{len(paths):05d}.warc{'.gz' if self.compressed else ''}"
                     paths.append(f"{folder}/.{name}")
                     stream, size = system.open_output_stream(paths[-1], compression=None), 0
-                data = Record([(h[0], h[1]) for h in row[0] or []], bytes(row[1] or b"")).encode()
+                data = Record([(h["name"], h["value"]) for h in headers or []], content or b"").encode()
                 data = gzip.compress(data) if self.compressed else data
                 stream.write(data)
                 size += len(data)
